@@ -593,9 +593,10 @@ _per = [f"sum({x}) as s{j}" for j, x in _X.items()]
 _per += [f"sum({_X[j]} * {_X[k]}) as q{j}_{k}" for j, k in _PAIRS]
 _per += [f"sum({x} * outcome) as r{j}" for j, x in _X.items()]
 _all = [f"s{j}" for j in _X] + [f"q{j}_{k}" for j, k in _PAIRS] + [f"r{j}" for j in _X] + ["t", "yy"]
-_out = [f"round(sum({c}), 2) as {c}" for c in _all]
-_out += [f"round(sum(s{j} * s{k}), 2) as ss{j}_{k}" for j, k in _PAIRS]
-_out += [f"round(sum(s{j} * t), 2) as st{j}" for j in _X] + ["round(sum(t * t), 2) as tt"]
+_totals = [(c, c) for c in _all] + [(f"ss{j}_{k}", f"s{j} * s{k}") for j, k in _PAIRS]
+_totals += [(f"st{j}", f"s{j} * t") for j in _X] + [("tt", "t * t")]
+_SQUARES = ("q3_3", "r3", "yy", "ss3_3", "st3", "tt")
+_out = [f"round(sum({c}), {2 if n in _SQUARES else 6}) as {n}" for n, c in _totals]
 add(
     "q_fit_stats",
     UNITS

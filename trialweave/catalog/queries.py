@@ -539,7 +539,9 @@ def q_substitute_outcome(v: Views) -> DataFrame:
 def q_fit_stats(v: Views) -> DataFrame:
     formula = _small_formula()
     sums = model.size_sums(model.cluster_sums(v.units, formula), len(formula.names))
-    return rounded(sums, *[c for c in sums.columns if c not in ("n", "n_clusters")], digits=2)
+    squares = ("q3_3", "r3", "yy", "ss3_3", "st3", "tt")
+    plain = [c for c in sums.columns if c not in (*squares, "n", "n_clusters")]
+    return rounded(rounded(sums, *plain), *squares, digits=2)
 
 
 def _small_formula() -> model.Formula:
