@@ -222,9 +222,9 @@ def test_interim_and_two_stage_analyses(spark):
     strata = ("half",)
     units = units.withColumn("half", F.when(F.col("cluster_id") % 2 == 0, "even").otherwise("odd"))
     got = interim.interim_analysis(units, preds, f, cut=44, strata=strata, ndraws=400)
-    p = got.decisions.first()
+    p = got.decisions().first()
     assert all(0 <= x <= 1 for x in p) and p.p_high_above_control > 0.95
-    c = {r.contrast: r for r in got.contrasts.collect()}
+    c = {r.contrast: r for r in got.contrasts().collect()}
     assert set(c) == {"H-Ctrl", "L-Ctrl", "L-H"}
     assert c["H-Ctrl"].lower < 12 < c["H-Ctrl"].upper and c["H-Ctrl"].n_values == 1200
     ids = spark.range(45).select(F.col("id").alias("cluster_id"))

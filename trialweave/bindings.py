@@ -28,14 +28,26 @@ class Views:
     spark: SparkSession
     folder: str
 
+    @cached_property
+    def _opened(self) -> dict[str, DataFrame]:
+        return {}
+
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A raw table; its files are listed and its schema is read once."""
+        if name not in self._opened:
+            self._opened[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._opened[name]
 
     @cached_property
     def hot_clusters(self) -> list:
         """Clusters that may hold over 1% of the units, from one column of the unit table."""
         return hot_keys(self.table("orders"), "o_custkey")
 
+    @cached_property
+    def hot_units(self) -> list:
+        """Units that may hold over 1% of the measurements."""
+        return hot_keys(self.table("lineitem"), "l_orderkey")
+
     @cached_property
     def last_cluster(self) -> int:
         return self.table("customer").agg(F.max("c_custkey")).first()[0]
@@ -44,7 +56,7 @@ class Views:
         """Largest cluster id among the first k of 109 parts of the id range."""
         return k * self.last_cluster // 109
 
-    @property
+    @cached_property
     def clusters(self) -> DataFrame:
         c, n = self.table("customer"), self.table("nation")
         key = F.col("c_custkey")
@@ -57,7 +69,7 @@ class Views:
             F.when(key % 17 != 0, key % 10 + 1).alias("decile"),
         )
 
-    @property
+    @cached_property
     def measurements(self) -> DataFrame:
         """One row per measurement; a unit can have several per time."""
         return self.table("lineitem").select(
@@ -66,11 +78,11 @@ class Views:
             (F.col("l_extendedprice") / 1000).alias("value"),
         )
 
-    @property
+    @cached_property
     def measured(self) -> DataFrame:
         return pivot_time(self.measurements, "unit_id", "time", "value", {1: "baseline", 2: "outcome"})
 
-    @property
+    @cached_property
     def bare_units(self) -> DataFrame:
         """Units with their cluster's attributes, before measurements."""
         orders = self.table("orders").select(
@@ -85,14 +97,14 @@ class Views:
             }
         )
 
-    @property
+    @cached_property
     def units(self) -> DataFrame:
         return self.bare_units.join(self.measured, "unit_id", "left").select(
             "unit_id", "cluster_id", "remoteness", "stype", "arm", "decile", "ses",
             "baseline", "outcome", "cohort",
         )
 
-    @property
+    @cached_property
     def preds(self) -> DataFrame:
         """Stand-in predictions: every unit under every arm and imputation."""
         cells = [
@@ -106,7 +118,7 @@ class Views:
         pred = F.col("unit_id") % 97 + 10 * F.col("c.ix") + F.col("c.imp")
         return rows.select("unit_id", "c.arm", "old_arm", pred.cast("double").alias("pred"), "c.imp")
 
-    @property
+    @cached_property
     def draws(self) -> DataFrame:
         orders = self.table("orders").select("o_orderkey", F.col("o_custkey").alias("cluster_id"), "o_totalprice")
         customers = self.table("customer").select(F.col("c_custkey").alias("cluster_id"), "c_acctbal")
@@ -140,7 +152,10 @@ class Views:
     def long_source(self) -> DataFrame:
         """Raw rows of the one-row-per-measurement trial: the clusters up to the cohort cut."""
         early = self.bare_units.where(F.col("cohort") == 1)
-        return self.measurements.join(early, "unit_id").select(
+        rows = attach(
+            self.measurements, early, "unit_id", ["time", "value"], "inner", self.hot_units
+        )
+        return rows.select(
             F.col("unit_id").alias("teacher_IDFIN"),
             F.col("cluster_id").alias("SCHOOLID"),
             "time",

@@ -551,7 +551,8 @@ def _small_formula() -> model.Formula:
 @query
 def q_fit(v: Views) -> DataFrame:
     """Coefficients of the main regression, complete rows only."""
-    return model.coefficient_summary(model.fit_random_intercept(v.units, v.formula))
+    units = cut_lineage(v.units, "units")
+    return model.coefficient_summary(model.fit_random_intercept(units, v.formula))
 
 
 @query
@@ -623,14 +624,22 @@ def q_impute_pmm(v: Views) -> DataFrame:
 
 @query
 def q_interim_data(v: Views) -> DataFrame:
-    early = interim.up_to_cluster(v.units, v.share_of_clusters(56))
-    out = interim.stage_data(early, v.preds, ARMS, STRATA, SEED, hot=v.hot_clusters)
+    cut = v.share_of_clusters(56)
+    out = interim.stage_data(
+        interim.up_to_cluster(v.units, cut),
+        v.preds,
+        ARMS,
+        STRATA,
+        SEED,
+        hot=v.hot_clusters,
+        strata_from=interim.up_to_cluster(v.bare_units, cut),
+    )
     return out.select("unit_id", "cluster_id", "arm", "old_arm", "imp", "outcome")
 
 
 @query
 def q_two_stage_data(v: Views) -> DataFrame:
-    out = _two_stage(v, v.units)
+    out = _two_stage(v, cut_lineage(v.units, "units"))
     return out.select("unit_id", "cluster_id", "arm", "old_arm", "imp", "outcome")
 
 
@@ -655,8 +664,7 @@ def _early_high(v: Views) -> DataFrame:
 
 
 def _within_arm(v: Views) -> DataFrame:
-    trial = F.when(F.col("cohort") == 1, "Sup").otherwise("Noninf")
-    return v.units.where(F.col("arm") == "H").withColumn("trial", trial)
+    return interim.within_arm_data(v.units, _early_high(v), "H", v.hot_clusters)
 
 
 @query
@@ -683,7 +691,7 @@ def q_interim_decisions(v: Views) -> DataFrame:
     out = interim.interim_analysis(
         cut_lineage(v.units, "units"), v.preds, v.formula, cut=v.share_of_clusters(56), hot=v.hot_clusters
     )
-    return out.decisions
+    return out.decisions()
 
 
 @query
@@ -691,13 +699,13 @@ def q_interim_contrasts(v: Views) -> DataFrame:
     out = interim.interim_analysis(
         cut_lineage(v.units, "units"), v.preds, v.formula, cut=v.share_of_clusters(37), hot=v.hot_clusters
     )
-    return out.contrasts
+    return out.contrasts()
 
 
 @query
 def q_two_stage_decisions(v: Views) -> DataFrame:
     data = cut_lineage(_two_stage(v, cut_lineage(v.units, "units")), "two-stage")
-    return interim.analyse(data, v.formula).decisions
+    return interim.analyse(data, v.formula).decisions()
 
 
 @query
@@ -706,4 +714,4 @@ def q_sensitivity_decisions(v: Views) -> DataFrame:
     found, _ = interim.exclusion_sensitivity(
         cut_lineage(v.units, "units"), _early_high(v), v.formula, factors, ("cohort",), hot=v.hot_clusters
     )
-    return found.decisions
+    return found.decisions()

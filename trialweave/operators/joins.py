@@ -8,17 +8,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_SHARE = 0.01
-SALTS = 64
+SALT_BITS = 6
 
 
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
-    """Key values that may hold more than ``share`` of all rows.
+    """Key values that hold more than ``share`` of all rows.
 
-    One pass with a fixed-size sketch per task and no shuffle by key. The answer has at most
-    1/share values; it may name a value that is not hot, and never misses one that is.
+    A pass with a fixed-size sketch per task names every value that may be hot, at most 1/share of
+    them; a second pass counts just those. Neither shuffles the table by key.
     """
-    found = df.select(key).where(F.col(key).isNotNull()).stat.freqItems([key], share).first()[0]
-    return sorted(found or [])
+    keys = df.select(key).where(F.col(key).isNotNull())
+    maybe = keys.stat.freqItems([key], share).first()[0] or []
+    if not maybe:
+        return []
+    listed = F.when(F.col(key).isin(list(maybe)), F.col(key))
+    counts = {r[0]: r[1] for r in keys.groupBy(listed).count().collect()}
+    floor = share * sum(counts.values())
+    return sorted(k for k, n in counts.items() if k is not None and n > floor)
 
 
 def attach(
@@ -28,11 +34,11 @@ def attach(
     spread: Sequence[str],
     how: str = "left",
     hot: Sequence | None = None,
-    salts: int = SALTS,
+    salt_bits: int = SALT_BITS,
 ) -> DataFrame:
     """Join a table with one row per ``key`` to a table where some keys hold very many rows.
 
-    Rows of a hot key are spread over ``salts`` tasks by a hash of the ``spread`` columns, and the
+    Rows of a hot key are spread over 2**salt_bits tasks by a hash of the ``spread`` columns, and the
     keyed row is copied once per salt; every fact row still meets exactly one copy. Other keys
     join as usual. ``how`` is ``left``, ``inner``, ``left_semi`` or ``left_anti``.
     """
@@ -43,12 +49,12 @@ def attach(
     if not hot:
         return facts.join(keyed, key, how)
     is_hot = F.col(key).isin(list(hot))
-    salted = facts.withColumn(
-        "_salt",
-        F.when(is_hot, F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(F.lit(0)).cast("int"),
-    )
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    return salted.join(keyed.withColumn("_salt", F.explode(copies)), [key, "_salt"], how).drop("_salt")
+    salt = F.shiftrightunsigned(F.xxhash64(*spread), 64 - salt_bits).cast("int")
+    salted = facts.withColumn("_salt", F.when(is_hot, salt).otherwise(0))
+    every = F.array(*[F.lit(i) for i in range(2**salt_bits)])
+    copies = F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0))))
+    copied = keyed.withColumn("_salt", copies)
+    return salted.join(copied, [key, "_salt"], how).drop("_salt")
 
 
 def left_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:

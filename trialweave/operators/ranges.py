@@ -188,14 +188,25 @@ def _small_quantiles(
     src: DataFrame, by: Sequence[str], probs: Mapping[str, float], kind: str
 ) -> DataFrame:
     """The built-in exact aggregates; used where the counted rows fit into one task."""
+    if kind == "linear":  # one value map per group for all probabilities
+        every = F.percentile("_v", F.array(*[F.lit(p) for p in probs.values()])).alias("_q")
+        found = src.groupBy(*by).agg(F.count("_v").alias("n_values"), every)
+        return found.select(
+            *by, "n_values", *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)]
+        )
+    keyed = src.withColumn(GROUP, group_key(by))
+    whole = Window.partitionBy(GROUP)
+    numbered = keyed.withColumn("_no", F.row_number().over(whole.orderBy("_v"))).withColumn(
+        "_total", F.count("*").over(whole)
+    )
     picks = []
     for name, p in probs.items():
-        if kind == "linear":
-            picks.append(F.percentile("_v", F.lit(p)).alias(name))
-        elif kind == "average":
-            low = F.expr(f"percentile_disc({p!r}) within group (order by _v)")
-            high = F.expr(f"percentile_disc({1 - p!r}) within group (order by _v desc)")
-            picks.append(((low + high) / 2).alias(name))
-        else:
-            raise ValueError(f"unknown quantile kind {kind!r}")
-    return src.groupBy(*by).agg(F.count("_v").alias("n_values"), *picks)
+        low, high, weight = _rank_pair(p, F.col("_total"), kind)
+        first = F.sum(F.when(F.col("_no") == low, F.col("_v") * (1.0 - weight)))
+        second = F.sum(F.when(F.col("_no") == high, F.col("_v") * weight))
+        picks.append((first + second).alias(name))
+    return (
+        numbered.groupBy(GROUP)
+        .agg(F.max("_total").alias("n_values"), *picks)
+        .select(*[F.col(GROUP)[c].alias(c) for c in by], "n_values", *probs)
+    )

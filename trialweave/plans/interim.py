@@ -28,7 +28,13 @@ from trialweave.operators.decide import (
     pool_probabilities,
 )
 from trialweave.operators.impute import impute_pmm
-from trialweave.operators.joins import attach_new_arm, drop_listed, keep_listed, predictions_matched
+from trialweave.operators.joins import (
+    attach,
+    attach_new_arm,
+    drop_listed,
+    keep_listed,
+    predictions_matched,
+)
 from trialweave.operators.model import (
     Fit,
     Formula,
@@ -74,12 +80,16 @@ def stage_data(
     seed: int = ASSIGNMENT_SEED,
     independent_strata: bool = False,
     hot: Sequence | None = None,
+    strata_from: DataFrame | None = None,
 ) -> DataFrame:
     """Re-assigned units with predictions, one row per unit and imputation.
 
     Clusters without a stratum get no arm and their units drop out at the join to the predictions.
+    ``strata_from`` is a cheaper table of the same units to read the strata from, when the unit
+    table carries joins the strata do not need.
     """
-    clusters = representative_units(units).select("cluster_id", *strata)
+    source = units if strata_from is None else strata_from
+    clusters = representative_units(source.select("unit_id", "cluster_id", *strata)).drop("unit_id")
     assigned = assign_blocks(clusters, strata, arms, seed, "cluster_id", independent_strata)
     placed = attach_new_arm(units, assigned, hot=hot)
     return predictions_matched(placed, preds).withColumn(
@@ -105,9 +115,25 @@ def two_stage_data(
 
 @dataclass(frozen=True)
 class Analysis:
+    """A fitted re-analysis; probabilities and contrasts are worked out when asked for."""
+
+    data: DataFrame
     fit: Fit
-    decisions: DataFrame
-    contrasts: DataFrame
+    arms: Sequence[str] = ARMS
+    ndraws: int = 1000
+    seed: int = FIT_SEED
+
+    def decisions(self) -> DataFrame:
+        """The four decision probabilities, averaged over the imputations."""
+        return pool_probabilities(decision_probs_from_fit(self.fit, "arm_H", "arm_L"))
+
+    def contrasts(self) -> DataFrame:
+        """Average difference for each pair of arms over the draws of all imputations."""
+        formula = self.fit.formula
+        vectors = contrast_vectors(self.data, formula, self.arms)
+        at = [formula.names.index(n) for n in formula.depends_on("arm")]
+        draws = draws_from_fit(self.fit, self.ndraws, self.seed)
+        return pairwise_contrasts(draws, vectors, [F.col("beta")[j] for j in at])
 
 
 def analyse(
@@ -119,14 +145,9 @@ def analyse(
     priors: Priors | None = None,
     seed: int = FIT_SEED,
 ) -> Analysis:
-    """Fit per imputation, pooled decision probabilities and pooled pairwise contrasts."""
+    """Fit the outcome model, separately per imputation unless ``by`` is empty."""
     fit = fit_random_intercept(data, formula, by, priors)
-    per_imp = decision_probs_from_fit(fit, "arm_H", "arm_L")
-    draws = draws_from_fit(fit, ndraws, seed)
-    vectors = contrast_vectors(data, formula, arms)
-    at = [formula.names.index(n) for n in formula.depends_on("arm")]
-    contrasts = pairwise_contrasts(draws, vectors, [F.col("beta")[j] for j in at])
-    return Analysis(fit, pool_probabilities(per_imp), contrasts)
+    return Analysis(data, fit, arms, ndraws, seed)
 
 
 def interim_analysis(
@@ -216,11 +237,19 @@ def exclusion_sensitivity(
     return found, counterfactual_predictions(imputed, found.fit, ndraws, seed, hot=hot)
 
 
-def within_arm_data(imputed: DataFrame, first_ids: Iterable[int], arm: str = "H") -> DataFrame:
-    """One arm only, labelled by the source trial of the cluster."""
-    return imputed.where(F.col("arm") == arm).withColumn(
-        "trial", recode_member("cluster_id", first_ids, "Sup", "Noninf")
-    )
+def within_arm_data(
+    imputed: DataFrame,
+    first_ids: Iterable[int] | DataFrame,
+    arm: str = "H",
+    hot: Sequence | None = None,
+) -> DataFrame:
+    """One arm only, labelled by the source trial of the cluster (listed ids: the first trial)."""
+    rows = imputed.where(F.col("arm") == arm)
+    if not isinstance(first_ids, DataFrame):
+        return rows.withColumn("trial", recode_member("cluster_id", first_ids, "Sup", "Noninf"))
+    listed = first_ids.select("cluster_id").distinct().withColumn("trial", F.lit("Sup"))
+    marked = attach(rows, listed, "cluster_id", ["unit_id"], "left", hot)
+    return marked.withColumn("trial", F.coalesce("trial", F.lit("Noninf")))
 
 
 def within_arm_comparison(
