@@ -57,6 +57,19 @@ def test_quantiles_without_groups(spark):
         assert [(r.n_values, r.m) for r in got] == [(1001, 500.0)]
 
 
+def test_sampled_cut_points_change_no_result(spark, monkeypatch):
+    df = spark.range(20_000).select(
+        F.pmod(F.xxhash64("id"), F.lit(997)).cast("double").alias("x"), (F.col("id") % 2).alias("g")
+    )
+    probs = {"a": 0.1, "b": 0.5}
+    want = rows(ranges.group_quantiles(df, ["g"], "x", probs), "g", "a", "b")
+    monkeypatch.setattr(ranges, "CUT_SAMPLE", 200)
+    assert len(ranges.plan_ranges(df, "x", 0).cuts) >= 2
+    assert rows(ranges.group_quantiles(df, ["g"], "x", probs, "linear", 0), "g", "a", "b") == want
+    monkeypatch.setattr(ranges, "CUT_SAMPLE", 0)
+    assert rows(ranges.group_quantiles(df, ["g"], "x", probs, "linear", 0), "g", "a", "b") == want
+
+
 def test_first_row_puts_missing_last(spark):
     df = spark.createDataFrame([(1, None, "x"), (1, 2, "y"), (2, None, "z")], "u int, t int, v string")
     assert rows(cohort.first_row(df, ["u"], ["t"]), "u", "v") == [(1, "y"), (2, "z")]

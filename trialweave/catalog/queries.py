@@ -212,7 +212,7 @@ def _representatives(v: Views) -> DataFrame:
     units = describe.group_mean(
         v.units, "cluster_id", "baseline", "base_pa", ["unit_id"], v.hot_clusters
     )
-    return cohort.representative_units(units)
+    return cut_lineage(cohort.representative_units(units), "representatives")
 
 
 @query
@@ -252,7 +252,7 @@ def q_tbl_strata(v: Views) -> DataFrame:
 
 @query
 def q_test_chisq(v: Views) -> DataFrame:
-    reps = cut_lineage(_representatives(v), "representatives")
+    reps = _representatives(v)
     parts = [hypothesis.chi_square(reps, "cohort", x, p_value=False) for x in ("stype", "ses", "remoteness")]
     return rounded(reshape.union_strict(*parts), "statistic", "min_expected")
 
@@ -269,7 +269,7 @@ def q_test_ranksum(v: Views) -> DataFrame:
 
 @query
 def q_test_fisher(v: Views) -> DataFrame:
-    reps = cut_lineage(_representatives(v).select("cohort", "ses", "remoteness"), "representatives")
+    reps = _representatives(v)
     parts = [
         hypothesis.fisher_2x2(reps, "cohort", x, (1, 0), levels)
         for x, levels in (("ses", ("Most", "Least")), ("remoteness", ("Major Cities", "Regional/Remote")))
@@ -281,7 +281,7 @@ def q_test_fisher(v: Views) -> DataFrame:
 def q_compare_groups(v: Views) -> DataFrame:
     """Baseline comparison with the chosen test and its p-value per variable."""
     return hypothesis.compare_groups(
-        cut_lineage(_representatives(v), "representatives"),
+        _representatives(v),
         "cohort",
         (1, 0),
         {"stype": SEGMENTS, "ses": SES, "remoteness": ("Major Cities", "Regional/Remote")},

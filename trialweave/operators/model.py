@@ -300,7 +300,8 @@ def fit_random_intercept(
 ) -> Fit:
     """Posterior of the random-intercept regression, separately per ``by`` group.
 
-    The data is read once for the means and once for the sums. Given the two variances the
+    The data is read once for the means and once for the sums (and again for the cluster means, if
+    predictions are asked for). Given the two variances the
     coefficients are exactly Normal; the variances are summed out over a grid that is refined
     twice around the posterior weight.
     """
@@ -310,7 +311,7 @@ def fit_random_intercept(
     if not by:
         df = df.withColumn("_all", F.lit(0))
     centre = centring(df, formula)
-    clusters = cut_lineage(cluster_sums(df, formula, keys, centre), "cluster-sums")
+    clusters = cluster_sums(df, formula, keys, centre)
     sizes = cut_lineage(size_sums(clusters, p, keys), "size-sums")
     key_fields = [sizes.schema[k] for k in keys]
     grid_schema = T.StructType([*key_fields, T.StructField("grid", T.ArrayType(T.DoubleType()))])

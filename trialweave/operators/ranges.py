@@ -23,6 +23,7 @@ from trialweave.session import cut_lineage, shuffle_partitions
 
 SINGLE_TASK_ROWS = 1_000_000
 MAX_RANGES = 4096
+CUT_SAMPLE = 2_000_000
 
 GROUP = "_group"
 RANGE = "_range"
@@ -39,17 +40,23 @@ class RangePlan:
 
 
 def plan_ranges(df: DataFrame, value: str, single_task_rows: int | None = None) -> RangePlan:
-    """Count the rows and choose the cut points (one aggregate, one result row)."""
+    """Count the rows and, if they are many, choose cut points.
+
+    The cut points come from a sample of about ``CUT_SAMPLE`` rows, so that the sketch stays small
+    on any number of tasks. The sample decides only how evenly the work is spread: all rows are
+    ranked, and the result is the same for any cut points.
+    """
     limit = SINGLE_TASK_ROWS if single_task_rows is None else single_task_rows
+    v = F.col(value).cast("double")
+    rows = df.agg(F.count(v)).first()[0]
+    if rows <= limit:
+        return RangePlan(rows, ())
     parts = max(2, min(shuffle_partitions(df.sparkSession), MAX_RANGES))
     probs = [i / parts for i in range(1, parts)]
-    v = F.col(value).cast("double")
-    row = df.agg(
-        F.count(v).alias("n"), F.percentile_approx(v, probs, max(10_000, 10 * parts)).alias("cuts")
-    ).first()
-    if row["n"] <= limit or not row["cuts"]:
-        return RangePlan(row["n"], ())
-    return RangePlan(row["n"], tuple(sorted(set(row["cuts"]))))
+    share = CUT_SAMPLE / rows
+    source = df if share >= 1.0 else df.where(F.rand(0) < share)
+    cuts = source.agg(F.percentile_approx(v, probs, 20 * parts)).first()[0]
+    return RangePlan(rows, tuple(sorted(set(cuts or []))))
 
 
 def with_range(df: DataFrame, value: str, plan: RangePlan) -> DataFrame:

@@ -89,7 +89,8 @@ def stage_data(
     table carries joins the strata do not need.
     """
     source = units if strata_from is None else strata_from
-    clusters = representative_units(source.select("unit_id", "cluster_id", *strata)).drop("unit_id")
+    first = representative_units(source.select("unit_id", "cluster_id", *strata))
+    clusters = cut_lineage(first.drop("unit_id"), "clusters")  # one row per cluster, read twice
     assigned = assign_blocks(clusters, strata, arms, seed, "cluster_id", independent_strata)
     placed = attach_new_arm(units, assigned, hot=hot)
     return predictions_matched(placed, preds).withColumn(
