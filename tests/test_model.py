@@ -246,3 +246,19 @@ def test_within_arm_comparison(spark):
     below, contrast = interim.within_arm_comparison(data, f, 300)
     assert 0 <= below.first()[0] <= 1
     assert contrast.first().contrast == "Sup-Noninf"
+
+
+def test_main_and_sensitivity_analyses(spark):
+    rng = np.random.default_rng(17)
+    rows = [(*r[:4], None if rng.random() < 0.15 else r[4], r[5]) for r in make(seed=17)]
+    units = spark.createDataFrame(rows, "unit_id long, cluster_id long, arm string, s string, baseline double, outcome double")
+    f = model.Formula("outcome", "cluster_id", {"arm": ARMS, "s": ("p", "q")}, ("baseline",))
+    found, preds = interim.main_analysis(units, f, {"arm": ARMS, "s": ("p", "q")}, mincor=0.0, ndraws=2)
+    assert found.data.where("baseline is null").count() == 0
+    assert preds.count() == len(rows) * 3 * 2 and preds.where("pred is null").count() == 0
+    assert preds.schema["imp"].dataType.simpleString() == "int"
+    low = interim.exclusion_sensitivity(units, range(10), f, {"arm": ARMS, "s": ("p", "q")}, mincor=0.0)[0]
+    assert low.data.where("cluster_id < 10").count() == 0
+    assert 0 <= low.decisions().first().p_noninferior <= 1
+    with pytest.raises(ValueError):
+        interim.interim_analysis(units, preds, f)

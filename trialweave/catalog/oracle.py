@@ -404,7 +404,7 @@ add(
 )
 SUMMARY = " union all ".join(
     f"""select imp, '{c}' as coefficient, round(avg({c}), 6) as mean, round(stddev_samp({c}), 6) as sd,
-      round(quantile_cont({c}, 0.025), 6) as lower, round(quantile_cont({c}, 0.975), 6) as upper
+      round(quantile_cont({c}, 0.025), 9) as lower, round(quantile_cont({c}, 0.975), 9) as upper
     from v_draws group by imp"""
     for c in ("b_h", "b_l")
 )
@@ -456,8 +456,8 @@ per as (
 def contrast_sql(label: str, value: str, group: str = "") -> str:
     head = f"'{group}' as remoteness, " if group else ""
     return f"""select {head}'{label}' as contrast, count(*) as n_values,
-      round(quantile_cont({value}, 0.5), 6) as estimate, round(quantile_cont({value}, 0.025), 6) as lower,
-      round(quantile_cont({value}, 0.975), 6) as upper from v_draws"""
+      round(quantile_cont({value}, 0.5), 9) as estimate, round(quantile_cont({value}, 0.025), 9) as lower,
+      round(quantile_cont({value}, 0.975), 9) as upper from v_draws"""
 
 
 add(

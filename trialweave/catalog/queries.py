@@ -338,14 +338,14 @@ def q_direction_prob(v: Views) -> DataFrame:
 @query
 def q_posterior_summary(v: Views) -> DataFrame:
     out = decide.posterior_summary(v.draws, ["b_h", "b_l"], ["imp"])
-    return rounded(out, "mean", "sd", "lower", "upper")
+    return rounded(rounded(out, "mean", "sd"), "lower", "upper", digits=9)
 
 
 @query
 def q_posterior_summary_ranges(v: Views) -> DataFrame:
     """The same summary by range-wise selection, as used for draws beyond one task."""
     out = decide.posterior_summary(v.draws, ["b_h", "b_l"], ["imp"], single_task_rows=0)
-    return rounded(out, "mean", "sd", "lower", "upper")
+    return rounded(rounded(out, "mean", "sd"), "lower", "upper", digits=9)
 
 
 @query
@@ -378,7 +378,7 @@ def q_contrasts(v: Views) -> DataFrame:
     formula = model.Formula("outcome", "cluster_id", {"arm": ARMS})
     vectors = decide.contrast_vectors(v.bare_units, formula, ARMS)
     out = decide.pairwise_contrasts(v.draws, vectors, ["b_h", "b_l"])
-    return rounded(out, "estimate", "lower", "upper")
+    return rounded(out, "estimate", "lower", "upper", digits=9)
 
 
 @query
@@ -394,7 +394,7 @@ def q_contrasts_by(v: Views) -> DataFrame:
         ["b_h", "b_l", F.col("b_l") / 2, F.col("b_h") / 4],
         by=["remoteness"],
     )
-    return rounded(out, "estimate", "lower", "upper")
+    return rounded(out, "estimate", "lower", "upper", digits=9)
 
 
 @query
@@ -708,6 +708,15 @@ def q_two_stage_decisions(v: Views) -> DataFrame:
     return interim.analyse(data, v.formula).decisions()
 
 
+@query
+def q_main_contrasts(v: Views) -> DataFrame:
+    """Imputation, fit and pairwise contrasts on all units."""
+    factors = {"arm": ARMS, "stype": SEGMENTS, "remoteness": ("Major Cities", "Regional/Remote")}
+    units = cut_lineage(v.units, "units")
+    found, _ = interim.main_analysis(units, v.formula, factors, ("cohort",), mincor=0.0, hot=v.hot_clusters)
+    return found.contrasts()
+
+
 @query
 def q_sensitivity_decisions(v: Views) -> DataFrame:
     factors = {"arm": ARMS, "stype": SEGMENTS, "remoteness": ("Major Cities", "Regional/Remote")}

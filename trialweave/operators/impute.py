@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialweave.functions.noise import hash_pick
+from trialweave.functions.recode import level_index
 from trialweave.operators.joins import attach
 from trialweave.operators.ranges import RANGE, plan_ranges, with_range
 from trialweave.session import cut_lineage
@@ -51,6 +52,22 @@ def select_predictors(
     )
 
 
+def screened_predictors(
+    df: DataFrame,
+    target: str,
+    factors: dict[str, Sequence[str]],
+    numeric: Sequence[str] = (),
+    mincor: float = 0.1,
+) -> tuple[dict[str, Sequence[str]], list[str]]:
+    """The factors (by level number) and numeric columns that pass ``select_predictors``."""
+    coded = df.select(
+        target, *[level_index(name, levels).alias(name) for name, levels in factors.items()], *numeric
+    )
+    table = select_predictors(coded, target, [*factors, *numeric], mincor)
+    keep = {r["predictor"] for r in table.where("keep").collect()}  # one row per candidate
+    return {f: v for f, v in factors.items() if f in keep}, [n for n in numeric if n in keep]
+
+
 def audit_columns(df: DataFrame, columns: Sequence[str], limit: float = 0.999) -> DataFrame:
     """Constant columns and nearly collinear pairs, found in one aggregate."""
     cells = []

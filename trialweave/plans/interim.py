@@ -27,7 +27,7 @@ from trialweave.operators.decide import (
     pairwise_contrasts,
     pool_probabilities,
 )
-from trialweave.operators.impute import impute_pmm
+from trialweave.operators.impute import impute_pmm, screened_predictors
 from trialweave.operators.joins import (
     attach,
     attach_new_arm,
@@ -165,6 +165,8 @@ def interim_analysis(
     hot: Sequence | None = None,
 ) -> Analysis:
     """What the trial would have shown had it stopped after the chosen clusters."""
+    if (cut is None) == (ids is None):
+        raise ValueError("choose the clusters either by a cut or by a list")
     chosen = up_to_cluster(units, cut) if cut is not None else choose_clusters(units, ids, hot=hot)
     data = cut_lineage(stage_data(chosen, preds, arms, strata, seed, hot=hot), "interim")
     return analyse(data, formula, ("imp",), arms, ndraws, priors)
@@ -217,27 +219,45 @@ def counterfactual_predictions(
     return scored.select("unit_id", "arm", "old_arm", "pred", F.col("draw").cast("int").alias("imp"))
 
 
-def exclusion_sensitivity(
+def main_analysis(
     units: DataFrame,
-    excluded: Iterable[int] | DataFrame,
     formula: Formula,
     factors: dict[str, Sequence[str]],
     numeric: Sequence[str] = (),
-    ndraws: int = 10,
+    mincor: float = 0.1,
+    ndraws: int = 100,
     seed: int = FIT_SEED,
     priors: Priors | None = None,
     hot: Sequence | None = None,
 ) -> tuple[Analysis, DataFrame]:
-    """The main analysis and its predictions without the listed clusters.
+    """Impute missing baselines once, fit, and predict every unit under every arm.
 
-    ``factors`` and ``numeric`` are the predictors of the missing baselines.
+    ``factors`` and ``numeric`` are the candidate predictors of the baseline; those correlated with
+    it or with its missingness are used.
     """
-    kept = choose_clusters(units, excluded, False, hot)
-    imputed = cut_lineage(impute_pmm(kept, "baseline", factors, numeric, seed=seed), "sensitivity")
+    used, plain = screened_predictors(units, "baseline", factors, numeric, mincor)
+    imputed = cut_lineage(impute_pmm(units, "baseline", used, plain, seed=seed), "imputed")
     found = analyse(imputed, formula, (), priors=priors, seed=seed)
     return found, counterfactual_predictions(imputed, found.fit, ndraws, seed, hot=hot)
 
 
+def exclusion_sensitivity(
+    units: DataFrame,
+    excluded: Iterable[int] | DataFrame,
+    formula: Formula,
+    factors: dict[str, Sequence[str]],
+    numeric: Sequence[str] = (),
+    mincor: float = 0.1,
+    ndraws: int = 10,
+    seed: int = FIT_SEED,
+    priors: Priors | None = None,
+    hot: Sequence | None = None,
+) -> tuple[Analysis, DataFrame]:
+    """The main analysis without the listed clusters."""
+    kept = cut_lineage(choose_clusters(units, excluded, False, hot), "kept")
+    return main_analysis(kept, formula, factors, numeric, mincor, ndraws, seed, priors, hot)
+
+
 def within_arm_data(
     imputed: DataFrame,
     first_ids: Iterable[int] | DataFrame,
