@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trialweave.llm import near_dedup
+from trialweave.llm import near_dedup, quality
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
+
+
 def op5_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(_read(spark, folder, "documents"))
 
 
 REGISTRY = {
+    "op3_quality": op3_quality,
     "op5_near_dedup": op5_near_dedup,
 }
