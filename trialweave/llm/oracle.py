@@ -33,7 +33,101 @@ with recursive w as materialized (
 )
 """
 
+_ASSIGN = """(?i)(?:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_KINDS = [
+    (0, "assign", _ASSIGN, 1, 6),
+    (1, "access", "AKIA[A-Z0-9]+", 0, 20),
+    (2, "hex", "[0-9a-f]+", 0, 24),
+    (3, "pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1),
+    (4, "url", r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:([^\s/@]{6,200})@", 1, 1),
+]
+
+
+def _secrets() -> str:
+    parts = [
+        f"""select id, doc_id, source, {rank} as rank, '{kind}' as kind, unnest(list_transform(range(1, len(m) + 1), lambda i: struct_pack(
+          start := list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0),
+          size := length(m[i]), value := v[i]))) as s
+        from (select id, doc_id, source, string_split_regex(t, '{pattern}') as b, regexp_extract_all(t, '{pattern}') as m,
+          regexp_extract_all(t, '{pattern}', {group}) as v from d where regexp_matches(t, '{pattern}'))
+        where true"""
+        for rank, kind, pattern, group, least in _KINDS
+    ]
+    least = " ".join(f"when {rank} then {least}" for rank, _, _, _, least in _KINDS)
+    return f"""
+with d as materialized (
+  select row_number() over () as id, doc_id, source, coalesce(text, '') as t from documents
+), f as materialized (
+  select id, doc_id, source, rank, kind, s.value as value, cast(s.start as bigint) as start, cast(s.start + s.size as bigint) as stop
+  from ({' union all '.join(parts)}) where length(s.value) >= case rank {least} end
+), o as (
+  select value, count(distinct coalesce(source, '')) as owners from f group by 1
+), l as (
+  select doc_id, count(distinct value) filter (where owners < 3) as n_live,
+    count(distinct value) filter (where owners >= 3) as n_copied
+  from f join o using (value) group by 1
+), j as (
+  select id, count(*) filter (where rank = 0) as n_assign, count(*) filter (where rank = 1) as n_access,
+    count(*) filter (where rank = 2) as n_hex,
+    string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) filter (where rank < 3) as base,
+    string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) as spans
+  from f group by 1
+)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
+  coalesce(n_live, 0) as n_live, coalesce(n_copied, 0) as n_copied
+from d left join j on j.id = d.id left join l on l.doc_id is not distinct from d.doc_id"""
+
+
+def _leaks() -> str:
+    units = (
+        "kg mg g km cm mm m ml l s min h kb mb gb hz khz mhz w kw v a k percent dollars euros cents years year months "
+        "month weeks week days day hours hour minutes minute seconds second meters metres miles feet inches pounds tons"
+    ).replace(" ", "|")
+    t = "translate(coalesce(text, ''), '#:_' || chr(1), '   ' || chr(1))"
+    t = f"regexp_replace({t}, '([0-9])\\x20?({units})\\b', '\\1 #u:\\2 ', 'g')"
+    for _ in range(2):
+        t = f"regexp_replace({t}, '([0-9])[.,]([0-9])', '\\1_\\2', 'g')"
+    t = f"regexp_replace({t}, '([0-9][0-9_]*)', ' #n:\\1 ', 'g')"
+    t = f"regexp_replace({t}, '([\\p{{Ll}},;][\\x20\\x09-\\x0D])', '\\1' || chr(1), 'g')"
+    t = f"regexp_replace({t}, chr(1) || '(\\p{{Lu}}\\p{{Ll}}+)', ' #p:\\1', 'g')"
+    t = f"lower(replace({t}, chr(1), ''))"
+    split = "list_filter(string_split_regex({}, '[^\\p{{L}}\\p{{N}}#:_]+'), lambda x: x != '')"
+    bare = "regexp_replace(t, '(#[npu]):[\\p{L}\\p{N}_]+', '\\1', 'g')"
+
+    def windows(name: str, source: str, key: str, width: str) -> str:
+        return f"""{name} as materialized (
+  select distinct id, pos, array_to_string(c[pos:pos + w - 1], ' ') as key,
+    list_filter(m[pos:pos + w - 1], lambda x: x[1] = '#') as slots
+  from (select *, unnest(range(1, len(c) - w + 2)) as pos from (
+    select {key} as id, {split.format('t')} as m, {split.format(bare)} as c, {width} as w
+    from (select {key}, {t} as t from {source})) where len(c) >= w)
+)"""
+
+    return f"""
+with {windows('theirs', 'benchmark', 'item_id', 'least(len(c), 8)')}, {windows('own', 'documents', 'doc_id', '8')},
+found as materialized (
+  select distinct own.id as doc_id, theirs.id as item_id, own.pos - theirs.pos as place, theirs.pos as spot,
+    own.slots as now, theirs.slots as was
+  from own join theirs using (key)
+), pairs as (
+  select doc_id, item_id, place, was, min(now) as low, max(now) as high from (
+    select doc_id, item_id, place, unnest(was) as was, unnest(now) as now from found) group by all
+), per as (
+  select doc_id, item_id, place, count(*) as slots, count(*) filter (where low != was) as changed,
+    bool_or(low != high) as mixed from pairs group by all
+), held as (
+  select f.doc_id, f.item_id, count(distinct spot) as matched, max(coalesce(slots, 0)) as slots, max(coalesce(changed, 0)) as changed
+  from found f left join per p on f.doc_id is not distinct from p.doc_id and f.item_id = p.item_id and f.place = p.place
+  where not coalesce(mixed, false) group by 1, 2
+), total as (select id, count(distinct pos) as windows from theirs group by 1)
+select doc_id, item_id, windows, matched, cast(slots as bigint) as slots, cast(changed as bigint) as changed
+from held join total on total.id = held.item_id where matched >= 0.5 * windows"""
+
+
 SQL = {
+    "op8_secrets": _secrets(),
+    "op10_decontaminate": _leaks(),
     "op5_near_dedup": NEAR.format(docs="documents")
     + "select doc_id, cast(n_shingles as bigint) as n_shingles, component_id, doc_id = component_id as kept from near",
 }

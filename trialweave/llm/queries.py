@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trialweave.llm import near_dedup, quality
+from trialweave.llm import decontaminate, near_dedup, quality, secrets
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,7 +19,17 @@ def op5_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(_read(spark, folder, "documents"))
 
 
+def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(_read(spark, folder, "documents"))
+
+
+def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
+
+
 REGISTRY = {
     "op3_quality": op3_quality,
     "op5_near_dedup": op5_near_dedup,
+    "op8_secrets": op8_secrets,
+    "op10_decontaminate": op10_decontaminate,
 }
