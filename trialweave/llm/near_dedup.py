@@ -320,3 +320,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         comp.alias("component_id"),
         comp.eqNullSafe(F.col("doc_id")).alias("kept"),
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_cent: int = 75) -> DataFrame:
+    """One row of ``docs`` per group of near duplicates, the one with the smallest id; all columns as they are.
+
+    Of rows that repeat both id and text one stays; rows without id and texts without words all stay.
+    """
+    found = near_duplicates(docs, id_col, text_col, per_cent)
+    gone = cut_lineage(found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    own = docs[id_col].cast("long")
+    rows = docs.join(gone, own == F.col("__gone"), "left_anti")
+    # ids that stand in several rows are rare; only their rows are compared whole
+    again = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    again = cut_lineage(again.select(F.col("doc_id").alias("__again")), "again")
+    if again.isEmpty():
+        return rows
+    once = rows.join(again, own == F.col("__again"), "left_anti")
+    return once.unionByName(rows.join(again, own == F.col("__again"), "left_semi").dropDuplicates([id_col, text_col]))

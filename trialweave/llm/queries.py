@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trialweave.llm import decontaminate, near_dedup, quality, secrets
+import corpus_pipeline
+from trialweave.llm import decontaminate, near_dedup, pieces, quality, secrets
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,6 +16,10 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
 
 
+def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.digest(_read(spark, folder, "documents"))
+
+
 def op5_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(_read(spark, folder, "documents"))
 
@@ -29,7 +34,9 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 REGISTRY = {
     "op3_quality": op3_quality,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_near_dedup": op5_near_dedup,
     "op8_secrets": op8_secrets,
     "op10_decontaminate": op10_decontaminate,
+    "pipeline": corpus_pipeline.run,
 }
