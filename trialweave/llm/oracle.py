@@ -125,7 +125,37 @@ select doc_id, item_id, windows, matched, cast(slots as bigint) as slots, cast(c
 from held join total on total.id = held.item_id where matched >= 0.5 * windows"""
 
 
+LM = f"""
+with d as materialized (
+  select row_number() over () as id, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') as l from documents
+), g as materialized (
+  select id, n, e, array_to_string(l[e - n + 1:e], ' ') as g from (
+    select id, l, n, unnest(range(n, len(l) + 1)) as e from d, (values (1), (2), (3)) t(n))
+), own as materialized (select id, n, g, count(*) as c from g group by 1, 2, 3
+), tot as materialized (select n, g, sum(c) as c from own group by 1, 2
+), c as materialized (
+  select g.id, g.n, g.e, tot.c - own.c as c from g join own using (id, n, g) join tot on tot.n = g.n and tot.g = g.g
+), a as (
+  select u.id, u.e, u.c as c1, b.c as c2, t.c as c3, p.c as p1, q.c as p2
+  from c u left join c b on b.id = u.id and b.e = u.e and b.n = 2 left join c t on t.id = u.id and t.e = u.e and t.n = 3
+    left join c p on p.id = u.id and p.e = u.e - 1 and p.n = 1 left join c q on q.id = u.id and q.e = u.e - 1 and q.n = 2
+  where u.n = 1
+), s as (
+  select a.id, case when c3 > 0 then 3 when c2 > 0 then 2 else 1 end as k,
+    case when c3 > 0 then ln(c3 / p2)
+      when c2 > 0 then ln(c2 / p1) + case when e >= 3 then ln(0.4) else 0 end
+      else ln(greatest(c1, 0.5) / greatest(w.n - len(d.l), 1)) + ln(0.4) * least(e - 1, 2) end as v
+  from a join d using (id), (select sum(len(l)) as n from d) w
+)
+select d.doc_id, cast(len(d.l) as bigint) as n_words, count(*) filter (where k = 3) as order_3,
+  count(*) filter (where k = 2) as order_2, count(*) filter (where k = 1) as order_1,
+  round(coalesce(sum(v), 0.0), 4) as log_score, round(avg(v), 4) as mean_log_score
+from d left join s using (id) group by d.id, d.doc_id, len(d.l)"""
+
+
 SQL = {
+    "op9_lm": LM,
     "op8_secrets": _secrets(),
     "op10_decontaminate": _leaks(),
     "op5_near_dedup": NEAR.format(docs="documents")

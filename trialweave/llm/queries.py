@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trialweave.llm import chat, decontaminate, fingerprints, near_dedup, pieces, quality, secrets, sharding
+from trialweave.llm import chat, decontaminate, fingerprints, lm, near_dedup, pieces, quality, secrets, sharding
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -44,6 +45,11 @@ def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(_read(spark, folder, "documents"))
 
 
+def op9_lm(spark: SparkSession, folder: str) -> DataFrame:
+    found = lm.scores(_read(spark, folder, "documents"))
+    return found.withColumns({c: F.round(c, 4) for c in ("log_score", "mean_log_score")})
+
+
 def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
 
@@ -56,6 +62,7 @@ REGISTRY = {
     "op5_near_dedup": op5_near_dedup,
     "op6_sharding": op6_sharding,
     "op8_secrets": op8_secrets,
+    "op9_lm": op9_lm,
     "op10_decontaminate": op10_decontaminate,
     "pipeline": corpus_pipeline.run,
 }
