@@ -23,6 +23,7 @@ from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ MARK = "▁"
 #: Words and pairs of pieces a worker remembers; beyond, it forgets all and starts anew.
 REMEMBERED = 600_000
 _UNKNOWN_PENALTY = 10.0
+#: Ids that are decoded at once.
+DECODED = 1 << 20
 
 
 class Pieces:
@@ -87,7 +90,9 @@ class Pieces:
         # while a string grows leftwards, it can still become a piece as long as it ends one
         self.endings = {p[i:] for p in self.ids for i in range(len(p))}
         self.forget()
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.fits: dict[str, dict[str, bool]] = {}
+        self.known_pairs = 0
+        self.table: tuple | None = None
         self.edges: dict[str, tuple[list, list] | None] = {}
 
     def merged(self, text: str, halves: dict | None = None) -> list[str]:
@@ -134,45 +139,53 @@ class Pieces:
         They join if two texts stand at the border at the same time whose union is a piece that comes
         before either goes on; of equal scores the left one goes first.
         """
-        key = (before, piece)
-        known = self.fits.get(key)
-        if known is None:
-            if len(self.fits) > REMEMBERED:
-                self.fits.clear()
-            own = self._edge(piece)
-            if own is None:
-                known = False
-            elif not before:
-                known = True
-            elif before[-1] == MARK or piece[0] == MARK:
-                known = self.merged(before + piece) == [before, piece]  # runs of marks share one score
-            else:
-                known, scores = True, self.scores
-                for x, x_came, x_gone in self._edge(before)[0]:
-                    for y, y_came, y_gone in own[1]:
-                        score = scores.get(x + y)
-                        if score is not None and score > x_gone and score >= y_gone:
-                            if min(x_came, y_came) > max(x_gone, y_gone):
-                                known = False
-            self.fits[key] = known
-        return known
-
-    def _last_merge(self, word: str, i: int, states: list) -> tuple:
-        """State of ``word[:i]``: (its last piece, score, its ids)."""
-        ids, fits, piece = self.ids, self.fits, ""
-        for j in range(i - 1, -1, -1):
-            piece = word[j] + piece
-            if piece in ids or not piece[1:]:
-                before = states[j]
-                fit = fits.get((before[0], piece))
-                if fit is None:
-                    fit = self._fit(before[0], piece)
-                if fit:
-                    return (piece, 0.0, before[2] + self._own(piece, before[2]))
-            if piece not in self.endings:
-                if piece[1:]:
-                    break
-        raise AssertionError(f"no piece ends at {i} of {word!r}")
+        own = self._edge(piece)
+        if own is None:
+            return False
+        if not before:
+            return True
+        if before[-1] == MARK or piece[0] == MARK:
+            return self.merged(before + piece) == [before, piece]  # runs of marks share one score
+        scores = self.scores
+        for x, x_came, x_gone in self._edge(before)[0]:
+            for y, y_came, y_gone in own[1]:
+                score = scores.get(x + y)
+                if score is not None and score > x_gone and score >= y_gone:
+                    if min(x_came, y_came) > max(x_gone, y_gone):
+                        return False
+        return True
+
+    def _last_merges(self, word: str, states: list) -> None:
+        """Extend the states (last piece, what fits behind it, ids) of prefixes of ``word`` to all of it.
+
+        The pieces that can end at a place are tried from the shortest on; exactly one fits.
+        """
+        get, fits, endings = self.ids.get, self.fits, self.endings
+        for i in range(len(states), len(word) + 1):
+            j, piece = i - 1, word[i - 1]
+            while True:
+                own = get(piece)
+                if own is not None or j == i - 1:
+                    last, behind, ids = states[j]
+                    fit = behind.get(piece)
+                    if fit is None:
+                        fit = behind[piece] = self._fit(last, piece)
+                        self.known_pairs += 1
+                    if fit:
+                        break
+                j -= 1
+                piece = word[j] + piece
+                if j < 0 or piece not in endings:
+                    raise AssertionError(f"no piece ends at {i} of {word!r}")
+            behind = fits.get(piece)
+            if behind is None:
+                behind = fits[piece] = {}
+            states.append((piece, behind, ids + ((own,) if own is not None else self._own(piece, ids))))
+
+    def _best_sums(self, word: str, states: list) -> None:
+        """Extend the states (last piece, best sum of scores, ids) of prefixes of ``word`` to all of it."""
+        for i in range(len(states), len(word) + 1):
+            states.append(self._best_sum(word, i, states))
 
     def _best_sum(self, word: str, i: int, states: list) -> tuple:
         best, at = None, 0
@@ -198,16 +211,17 @@ class Pieces:
     def learn(self, words: Iterable[str]) -> None:
         """Encode the words that are not remembered, in sorted order."""
         known, flat, ends = self.words, [], []
-        step = self._last_merge if self.merges else self._best_sum
-        states: list[tuple] = [("", 0.0, ())]
+        if self.known_pairs > REMEMBERED:
+            self.fits, self.known_pairs = {}, 0
+        extend = self._last_merges if self.merges else self._best_sums
+        states: list[tuple] = [("", self.fits.setdefault("", {}) if self.merges else 0.0, ())]
         before, at = "", len(self.ends)
         for word in sorted(w for w in words if w not in known):
             shared, most = 0, min(len(word), len(before))
             while shared < most and word[shared] == before[shared]:
                 shared += 1
             del states[shared + 1 :]
-            for i in range(shared + 1, len(word) + 1):
-                states.append(step(word, i, states))
+            extend(word, states)
             before = word
             known[word] = at + len(ends)
             flat += states[-1][2]
@@ -242,6 +256,30 @@ class Pieces:
         data = b"".join(map(self.raw.__getitem__, ids))
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
+    def decode_all(self, ids: np.ndarray, edges: np.ndarray) -> pa.Array:
+        """Texts of many rows, row i having ``ids[edges[i]:edges[i + 1]]``: the pieces' bytes are gathered at once."""
+        if self.table is None:
+            size = np.array([len(r) for r in self.raw], dtype=np.int64)
+            self.table = (np.frombuffer(b"".join(self.raw), dtype=np.uint8), np.cumsum(size) - size, size)
+        data, first, size = self.table
+        length = size[ids]
+        behind = np.concatenate([[0], np.cumsum(length)])
+        out = data[np.repeat(first[ids] - behind[:-1], length) + np.arange(behind[-1])]
+        cuts = behind[edges]
+        keep = np.ones(len(out), dtype=bool)
+        filled = cuts[1:] > cuts[:-1]
+        heads = cuts[:-1][filled]
+        keep[heads[out[heads] == 32]] = False
+        cuts = np.concatenate([[0], np.cumsum(keep)])[cuts]
+        out = out[keep]
+        try:
+            out.tobytes().decode("utf-8")
+        except UnicodeDecodeError:
+            texts = [out[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:])]
+            return pa.array(texts, pa.string())
+        buffers = [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(out)]
+        return pa.Array.from_buffers(pa.string(), len(edges) - 1, buffers)
+
 
 _loaded: dict[bytes, Pieces] = {}
 
@@ -295,10 +333,15 @@ def encode(docs: DataFrame, text_col: str = "text", model_path: str = MODEL) ->
 def _decode(batches: Iterator[pa.RecordBatch], model, at: int) -> Iterator[pa.RecordBatch]:
     pieces = load(model.value)
     for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            part = batch.slice(lo, 256)
-            texts = [None if x is None else pieces.decode(x) for x in part.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "d"])
+        counts = pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(np.diff(np.cumsum(counts, dtype=np.int64) // DECODED)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            part, sizes = batch.slice(lo, hi - lo), counts[lo:hi]
+            lists = part.column(at)
+            ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            texts = pieces.decode_all(ids, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]))
+            texts = pc.if_else(lists.is_valid(), texts, pa.scalar(None, pa.string()))
+            yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*batch.schema.names, "d"])
 
 
 def decode(tokens: DataFrame, ids_col: str = "token_ids", model_path: str = MODEL) -> DataFrame:
@@ -311,7 +354,7 @@ def decode(tokens: DataFrame, ids_col: str = "token_ids", model_path: str = MODE
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL) -> DataFrame:
-    """(doc_id, n_chars, n_tokens, ids_sha256, round_trip): ids as text joined by blanks; missing texts are empty."""
+    """(doc_id, n_chars, n_tokens, ids_xxhash64, round_trip) of whole texts; missing texts are empty."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.select(
@@ -322,6 +365,6 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         "doc_id",
         "n_chars",
         "n_tokens",
-        F.sha2(F.array_join(F.transform("token_ids", lambda x: x.cast("string")), " "), 256).alias("ids_sha256"),
+        F.xxhash64("token_ids").alias("ids_xxhash64"),
         (F.sha2("decoded", 256) == F.col("was")).alias("round_trip"),
     )
