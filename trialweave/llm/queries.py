@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trialweave.llm import chat, decontaminate, fingerprints, lm, near_dedup, pieces, quality, secrets, sharding
+from trialweave.llm import chat, decontaminate, fingerprints, lm, near_dedup, passages, pieces, quality, secrets, sharding
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(_read(spark, folder, "documents"))
 
 
+def op7_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.repeated_passages(_read(spark, folder, "documents"))
+
+
 def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(_read(spark, folder, "documents"))
 
@@ -61,6 +65,7 @@ REGISTRY = {
     "op4_sentencepiece": op4_sentencepiece,
     "op5_near_dedup": op5_near_dedup,
     "op6_sharding": op6_sharding,
+    "op7_passages": op7_passages,
     "op8_secrets": op8_secrets,
     "op9_lm": op9_lm,
     "op10_decontaminate": op10_decontaminate,
