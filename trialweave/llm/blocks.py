@@ -12,8 +12,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are hashed at once; a longer text makes a block of its own.
-BLOCK_BYTES = 2 << 20
+#: Bytes and rows of text that are hashed at once; a longer text makes a block of its own.
+BLOCK_BYTES, BLOCK_ROWS = 1 << 19, 2000
 WIDTH = 5
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -80,12 +80,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def slices(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of a batch with about ``most`` bytes of text each, at least one row."""
+    """Row ranges of a batch with about ``most`` bytes of text each, one row at least and 2,000 at most."""
     _, start, end = buffers(column)
     if not len(start):
         return
     piece = np.cumsum(end - start) // most
-    cuts = np.flatnonzero(np.diff(piece)) + 1
+    cuts = np.flatnonzero((np.diff(piece) > 0) | (np.arange(1, len(piece)) % BLOCK_ROWS == 0)) + 1
     edges = [0, *cuts.tolist(), len(start)]
     yield from zip(edges[:-1], edges[1:])
 

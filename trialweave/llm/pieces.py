@@ -36,8 +36,8 @@ MARK = "▁"
 #: Words and pairs of pieces a worker remembers; beyond, it forgets all and starts anew.
 REMEMBERED = 600_000
 _UNKNOWN_PENALTY = 10.0
-#: Ids that are decoded at once.
-DECODED = 1 << 20
+#: Bytes of text that are encoded, and ids that are decoded, at once.
+ENCODED, DECODED = 2 << 20, 1 << 19
 
 
 class Pieces:
@@ -301,7 +301,7 @@ def read_model(path: str) -> bytes:
 def _encode(batches: Iterator[pa.RecordBatch], model, at: int) -> Iterator[pa.RecordBatch]:
     pieces = load(model.value)
     for batch in batches:
-        for lo, hi in blocks.slices(batch.column(at)):
+        for lo, hi in blocks.slices(batch.column(at), ENCODED):
             part = batch.slice(lo, hi - lo)
             ids, edges = pieces.encode([t or "" for t in part.column(at).to_pylist()])
             columns = [c for i, c in enumerate(part.columns) if i != at]

@@ -230,4 +230,14 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     names = docs.columns
     own = statistics(docs.select(F.col(id_col).cast("long"), text_col), text_col).drop("c1")
     model = learn(own, labels, "c0", id_col, "quality")
-    return score(statistics(docs, text_col), model).where("score >= 0.5").drop("score").toDF(*names)
+    at = names.index(text_col)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    return plain.mapInArrow(partial(_accept, at=at, model=model), plain.schema).toDF(*names)
+
+
+def _accept(batches: Iterator[pa.RecordBatch], at: int, model: Model) -> Iterator[pa.RecordBatch]:
+    """Rows whose text scores 0.5 or more; statistics and score in one pass."""
+    for batch in batches:
+        for lo, hi in blocks.slices(batch.column(at)):
+            part = batch.slice(lo, hi - lo)
+            yield part.filter(pa.array(model.scores(features(part.column(at))) >= 0.5))
