@@ -34,10 +34,10 @@ from trialweave.llm import blocks
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words and pairs of pieces a worker remembers; beyond, it forgets all and starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 _UNKNOWN_PENALTY = 10.0
 #: Bytes of text that are encoded, and ids that are decoded, at once.
-ENCODED, DECODED = 2 << 20, 1 << 19
+ENCODED, DECODED = 1 << 20, 1 << 19
 
 
 class Pieces:
