@@ -130,7 +130,8 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the first row of a range also closes the range before it, that of the first range the last one
     closing = [(firsts[i - 1][0], k) for i, (_, k) in enumerate(firsts)]
     closes = spark.createDataFrame(closing, "closes int, at long")
-    heads = base.join(closes, base.k == closes["at"]).groupBy("closes").agg(F.min(F.struct("k", "text")).alias("h"))
+    # one row per range, at most MOST_RANGES: small whatever the size of the table
+    heads = base.join(F.broadcast(closes), base.k == closes["at"]).groupBy("closes").agg(F.min(F.struct("k", "text")).alias("h"))
     heads = heads.select(
         F.col("closes").alias("range"), F.lit(1).alias("borrowed"), F.lit(None).cast("long").alias("doc_id"),
         F.col("h.text").alias("text"), F.col("h.k").alias("k"),
