@@ -19,6 +19,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +30,9 @@ ORDER, ALPHA = 3, 0.4
 UNSEEN = 0.5
 #: Bytes of text per chunk, and chunks' worth of n-grams per hash range.
 CHUNK_BYTES, CHUNKS_PER_RANGE = 6 << 20, 1
-#: Bits of an n-gram's hash; at 1e13 distinct n-grams one lookup in 7,000 meets another's count.
-HASH_BITS = 56
+#: Bits of an n-gram's hash above those that number the n-grams: one lookup in 2**SPARE_BITS (to 64 bits)
+#: meets another n-gram's count, at any size of the corpus.
+SPARE_BITS = 28
 
 
 def pack(values: np.ndarray, ascending: bool = False) -> bytes:
@@ -53,27 +55,53 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 class _Grams:
-    """n-grams of a block of texts: for each order, hashes by the position of the last word."""
+    """n-grams of a block of texts.
 
-    def __init__(self, column: pa.Array, order: int) -> None:
+    ``hashes`` and ``ends`` are one after another by order: hash and place of the last word of each
+    n-gram that lies inside one text; ``cuts`` separates the orders.
+    """
+
+    def __init__(self, column: pa.Array, order: int, bits: int) -> None:
         w = blocks.words(column)
-        self.first, self.last, self.total = w.first, w.last, len(w.hashes)
-        drop = np.uint64(64 - HASH_BITS)
-        self.hashes = [blocks.ngram_hashes(w.hashes, n) >> drop for n in range(1, order + 1)]
+        self.sizes = w.last - w.first
+        self.text = np.repeat(np.arange(len(w.first)), self.sizes)
         # words in front of a word within its text
-        self.depth = np.arange(self.total) - np.repeat(w.first, w.last - w.first)
+        self.depth = np.arange(len(w.hashes)) - np.repeat(w.first, self.sizes)
+        hashes, ends = [], []
+        for n in range(1, order + 1):
+            at = np.flatnonzero(self.depth >= n - 1)
+            hashes.append(blocks.ngram_hashes(w.hashes, n)[at - (n - 1)] >> np.uint64(64 - bits))
+            ends.append(at)
+        self.cuts = np.cumsum([0, *map(len, ends)])
+        self.hashes, self.ends = np.concatenate(hashes), np.concatenate(ends)
+
 
-    def of(self, n: int, lo: int, hi: int) -> np.ndarray:
-        """Hashes of the n-grams that lie inside the words [lo, hi) of one text."""
-        return self.hashes[n - 1][lo : max(hi - n + 1, lo)]
+def _runs(ranked: np.ndarray) -> np.ndarray:
+    """First places of the runs of equal values."""
+    return np.flatnonzero(np.concatenate([[len(ranked) > 0], ranked[1:] != ranked[:-1]]))
 
-    def all(self) -> np.ndarray:
-        parts = []
-        for n in range(1, len(self.hashes) + 1):
-            whole = self.depth >= n - 1
-            at = np.flatnonzero(whole) - (n - 1)
-            parts.append(self.hashes[n - 1][at])
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text) with the text compressed, as it is moved once and read twice."""
+    press = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        data, start, end = blocks.buffers(batch.column(1))
+        small = [press.compress(data[a:b]) for a, b in zip(start.tolist(), end.tolist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(small, pa.binary())], names=["doc_id", "packed"])
+
+
+def _texts(column: pa.Array) -> Iterator[pa.Array]:
+    """The texts of compressed rows, some at a time."""
+    press = zstandard.ZstdDecompressor()
+    parts, size = [], 0
+    for x in column:
+        parts.append(press.decompress(x.as_buffer()))
+        size += len(parts[-1])
+        if size >= blocks.BLOCK_BYTES or len(parts) == blocks.BLOCK_ROWS:
+            yield pa.array(parts, pa.large_binary()).view(pa.large_string())
+            parts, size = [], 0
+    if parts:
+        yield pa.array(parts, pa.large_binary()).view(pa.large_string())
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,16 +116,14 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"size": [size], "words": [words]})
 
 
-def _edges(ranges: int) -> np.ndarray:
-    return np.array([-(-(i << HASH_BITS) // ranges) for i in range(ranges)], dtype=np.uint64)
-
-
-def _ask(batches: Iterator[pa.RecordBatch], order: int, ranges: int) -> Iterator[pa.RecordBatch]:
-    """Rows (chunk, doc_id, text) sorted by chunk -> (range, chunk, grams, counts)."""
-    edges = _edges(ranges)
+def _ask(batches: Iterator[pa.RecordBatch], order: int, ranges: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, compressed text) sorted by chunk -> (range, chunk, grams, counts)."""
+    edges = np.array([-(-(i << bits) // ranges) for i in range(ranges)], dtype=np.uint64)
 
     def answer(chunk: int, parts: list[np.ndarray]) -> pa.RecordBatch:
-        grams, counts = np.unique(np.concatenate(parts), return_counts=True)
+        every = np.sort(np.concatenate(parts))
+        starts = _runs(every)
+        grams, counts = every[starts], np.diff(np.append(starts, len(every)))
         cut = [*np.searchsorted(grams, edges).tolist(), len(grams)]
         full = [r for r in range(ranges) if cut[r + 1] > cut[r]]
         return pa.RecordBatch.from_arrays(
@@ -120,8 +146,7 @@ def _ask(batches: Iterator[pa.RecordBatch], order: int, ranges: int) -> Iterator
                 parts = []
             now = int(chunks[lo])
             column = batch.column(1).slice(lo, hi - lo)
-            for a, b in blocks.slices(column):
-                parts.append(_Grams(column.slice(a, b - a), order).all())
+            parts += [_Grams(texts, order, bits).hashes for texts in _texts(column)]
     if parts:
         yield answer(now, parts)
 
@@ -131,9 +156,9 @@ def _tell(table: pa.Table) -> pa.Table:
     grams = [unpack(x) for x in table.column("grams").to_pylist()]
     counts = [unpack(x) for x in table.column("counts").to_pylist()]
     every = np.concatenate(grams)
-    order = np.argsort(every, kind="stable")
+    order = np.argsort(every)
     ranked = every[order]
-    starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    starts = _runs(ranked)
     sums = np.add.reduceat(np.concatenate(counts)[order], starts)
     totals = np.empty(len(every), dtype=np.uint64)
     totals[order] = np.repeat(sums, np.diff(np.concatenate([starts, [len(ranked)]])))
@@ -144,61 +169,58 @@ def _tell(table: pa.Table) -> pa.Table:
     )
 
 
-def _scores(docs: pa.Table, answers: pa.Table, order: int, words: int, alpha: float) -> pa.Table:
+def _scores(docs: pa.Table, answers: pa.Table, order: int, words: int, bits: int, alpha: float) -> pa.Table:
     """Scores of one chunk's documents from the totals of its distinct n-grams, range after range."""
-    text = docs.column("text").combine_chunks()
-    by_range = np.argsort(answers.column("range").to_numpy()) if answers.num_rows else []
     parts = answers.column("totals").to_pylist()
-    totals = np.concatenate([unpack(parts[i]) for i in by_range]) if len(parts) else np.zeros(0, np.uint64)
-    pieces = [(lo, hi, _Grams(text.slice(lo, hi - lo), order)) for lo, hi in blocks.slices(text)]
-    grams = np.unique(np.concatenate([g.all() for _, _, g in pieces])) if pieces else np.zeros(0, np.uint64)
-    out = {"doc_id": docs.column("doc_id"), "n_words": [], "log_score": [], **{f"order_{n}": [] for n in range(order, 0, -1)}}
-    for lo, hi, g in pieces:
-        # totals of every n-gram of the block, by order and place
-        known = [totals[np.searchsorted(grams, h)] if len(grams) else h for h in _inside(g, grams)]
-        for a, b in zip(g.first.tolist(), g.last.tolist()):
-            n = b - a
-            seen = []
-            for k in range(1, order + 1):
-                own = g.of(k, a, b)
-                got = known[k - 1][a : a + len(own)].astype(np.float64)
-                if len(own):
-                    _, at, mine = np.unique(own, return_inverse=True, return_counts=True)
-                    got = got - mine[at]
-                seen.append(got)
-            left = max(words - n, 1)
-            value = np.log(np.maximum(seen[0], UNSEEN) / left)
-            used = np.ones(n, dtype=np.int64)
-            for k in range(2, order + 1):
-                if n < k:
-                    break
-                # the n-gram ending at word i starts at i - k + 1; its context is the (k-1)-gram there
-                hit = seen[k - 1] > 0
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    direct = np.log(seen[k - 1] / seen[k - 2][: n - k + 1])
-                value[k - 1 :] = np.where(hit, direct, np.log(alpha) + value[k - 1 :])
-                used[k - 1 :] = np.where(hit, k, used[k - 1 :])
-            out["n_words"].append(n)
-            out["log_score"].append(float(value.sum()))
-            for k in range(1, order + 1):
-                out[f"order_{k}"].append(int((used == k).sum()))
-    names = ["n_words", *[f"order_{n}" for n in range(order, 0, -1)]]
-    return pa.table(
-        {
-            "doc_id": out["doc_id"],
-            **{k: pa.array(out[k], pa.int64()) for k in names},
-            "log_score": pa.array(out["log_score"], pa.float64()),
-        }
-    )
-
-
-def _inside(g: _Grams, grams: np.ndarray) -> list[np.ndarray]:
-    """Hashes per order; windows that cross texts, which were never counted, are replaced by a known hash."""
-    out = []
-    for n, h in enumerate(g.hashes, start=1):
-        whole = g.depth[n - 1 :] >= n - 1
-        out.append(np.where(whole, h, grams[0]) if len(grams) else h)
-    return out
+    by_range = np.argsort(answers.column("range").to_numpy()) if parts else []
+    totals = np.concatenate([np.zeros(0, np.uint64), *[unpack(parts[i]) for i in by_range]])
+    packed = docs.column("packed").combine_chunks()
+    pieces = [_Grams(texts, order, bits) for texts in _texts(packed)]
+    every = np.concatenate([np.zeros(0, np.uint64), *[g.hashes for g in pieces]])
+    firsts = np.cumsum([0, *[len(g.sizes) for g in pieces]])
+    owner = np.concatenate([np.zeros(0, np.int64), *[g.text[g.ends] + f for g, f in zip(pieces, firsts)]])
+    # number of each n-gram among the chunk's distinct ones, whose totals are in ascending order
+    rank = np.argsort(every)
+    ranked = every[rank]
+    number = np.empty(len(every), dtype=np.int64)
+    number[rank] = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]])) if len(every) else 0
+    others = totals[number].astype(np.float64)
+    # less the n-gram's count in its own document
+    pair = number * max(int(firsts[-1]), 1) + owner
+    rank = np.argsort(pair)
+    starts = _runs(pair[rank])
+    length = np.diff(np.append(starts, len(pair)))
+    others[rank] -= np.repeat(length, length)
+
+    names = [f"order_{n}" for n in range(order, 0, -1)]
+    out: dict[str, list] = {c: [] for c in ("n_words", *names, "log_score")}
+    at = 0
+    for g in pieces:
+        n, n_texts = len(g.depth), len(g.sizes)
+        left = np.maximum(words - g.sizes, 1)[g.text]
+        # counts by the place of the last word, order by order
+        counts = np.zeros((order + 1, n))
+        for k in range(1, order + 1):
+            a, b = g.cuts[k - 1], g.cuts[k]
+            counts[k, g.ends[a:b]] = others[at + a : at + b]
+        at += len(g.hashes)
+        value = np.log(np.maximum(counts[1], UNSEEN) / left)
+        used = np.ones(n, dtype=np.int64)
+        for k in range(2, order + 1):
+            ends = g.ends[g.cuts[k - 1] : g.cuts[k]]
+            hit = counts[k, ends] > 0
+            # a context is at least as frequent as what follows it, whatever hashes meet
+            context = np.maximum(np.where(hit, counts[k - 1, ends - 1], 1.0), np.where(hit, counts[k, ends], 1.0))
+            direct = np.log(np.where(hit, counts[k, ends], 1.0) / context)
+            value[ends] = np.where(hit, direct, np.log(alpha) + value[ends])
+            used[ends] = np.where(hit, k, used[ends])
+        out["n_words"].append(g.sizes)
+        out["log_score"].append(np.bincount(g.text, value, n_texts))
+        for k in range(1, order + 1):
+            out[f"order_{k}"].append(np.bincount(g.text[used == k], minlength=n_texts))
+    kinds = {c: np.float64 if c == "log_score" else np.int64 for c in out}
+    flat = {c: np.concatenate([np.zeros(0), *v]).astype(kinds[c]) for c, v in out.items()}
+    return pa.table({"doc_id": docs.column("doc_id"), **{c: pa.array(v) for c, v in flat.items()}})
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA) -> DataFrame:
@@ -217,14 +239,16 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
     ).first()
     chunks = max(1, -(-size // CHUNK_BYTES))
     ranges = max(1, -(-chunks // CHUNKS_PER_RANGE))
+    bits = min(64, (int(words) * order).bit_length() + SPARE_BITS)
     # equal texts are dealt apart by their ids; the text decides among rows without id
-    dealt = base.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(chunks)))
-    dealt = dealt.repartition(int(chunks), "chunk").sortWithinPartitions("chunk", "doc_id", "text")
-    asked = dealt.select("chunk", "text").mapInArrow(
-        partial(_ask, order=order, ranges=ranges), "range int, chunk long, grams binary, counts binary"
+    dealt = base.mapInArrow(_squeeze, "doc_id long, packed binary")
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "packed"), F.lit(chunks)))
+    dealt = dealt.repartition(int(chunks), "chunk").sortWithinPartitions("chunk", "doc_id", "packed")
+    asked = dealt.select("chunk", "packed").mapInArrow(
+        partial(_ask, order=order, ranges=ranges, bits=bits), "range int, chunk long, grams binary, counts binary"
     )
     told = asked.groupBy("range").applyInArrow(_tell, "chunk long, range int, totals binary")
     fields = "doc_id long, n_words long, " + ", ".join(f"order_{n} long" for n in range(order, 0, -1)) + ", log_score double"
-    run = partial(_scores, order=order, words=int(words), alpha=alpha)
+    run = partial(_scores, order=order, words=int(words), bits=bits, alpha=alpha)
     found = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(lambda x, y: run(x, y), fields)
     return found.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
