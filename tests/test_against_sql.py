@@ -7,7 +7,9 @@ import os
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from trialweave.catalog.oracle import SQL
+from trialweave.catalog.queries import REGISTRY
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -62,7 +64,7 @@ def close(a, b):
     return a == b
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_equals_sql(spark, con, name):
     check(spark, con, FOLDER, name)
 
@@ -73,8 +75,8 @@ def test_equals_sql_with_hot_keys(spark, skewed, name):
 
 
 def check(spark, con, folder, name):
-    df = queries()[name](spark, folder)
-    cur = con.execute(oracle_sql()[name])
+    df = REGISTRY[name](spark, folder)
+    cur = con.execute(SQL[name])
     names = [d[0] for d in cur.description]
     assert sorted(df.columns) == sorted(names)
     got = [tuple(r) for r in df.select(*sorted(names)).collect()]
@@ -86,9 +88,9 @@ def check(spark, con, folder, name):
         assert all(close(x, y) for x, y in zip(g, w)), (g, w)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(REGISTRY) - set(SQL)))
 def test_runs(spark, name):
-    assert queries()[name](spark, FOLDER).collect()
+    assert REGISTRY[name](spark, FOLDER).collect()
 
 
 def test_entry(spark):

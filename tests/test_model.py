@@ -175,7 +175,7 @@ def test_contrast_hand_case(spark):
     rows = spark.createDataFrame([("H",), ("L",)], "arm string")
     vectors = decide.contrast_vectors(rows, model.Formula("y", "c", {"arm": ARMS}), ARMS)
     for limit in (None, 0):
-        got = decide.pairwise_contrasts(draws, vectors, ["h", "l"], single_task_rows=limit)
+        got = decide.pairwise_contrasts(draws, vectors, ["h", "l"], range_rows=limit)
         assert {r.contrast: pytest.approx((r.estimate, r.lower, r.upper)) for r in got.collect()} == {
             "H-Ctrl": (15, 10.25, 19.75), "L-Ctrl": (6, 4.1, 7.9), "L-H": (-9, -11.85, -6.15)
         }

@@ -53,7 +53,7 @@ def test_attributes_and_measurements_share_one_shuffle(spark):
 
 def test_numbering_beyond_one_task_never_windows_over_a_whole_group(spark):
     df = spark.range(5000).select(F.col("id").alias("cluster_id"), F.lit("s").alias("s"))
-    text = plan(ranges.number_rows(df, ["s"], ["cluster_id"], single_task_rows=0))
+    text = plan(ranges.number_rows(df, ["s"], ["cluster_id"], range_rows=50))
     windows = re.findall(r"Window \[row_number\(\)[^\n]*", text)
     assert windows and all("_range" in w for w in windows)
 
@@ -71,8 +71,29 @@ def test_first_rows_are_limited_before_the_shuffle(spark):
     assert "WindowGroupLimit" in before and "WindowGroupLimit" in after
 
 
-def test_cold_keys_join_plainly(spark):
+def test_cold_keys_are_not_copied(spark):
     facts = spark.range(2000).select("id", (F.col("id") % 500).alias("k"))
     keyed = spark.range(500).select(F.col("id").alias("k"), (F.col("id") + 1).alias("v"))
-    assert joins.hot_keys(facts, "k") == []
-    assert "_salt" not in plan(joins.attach(facts, keyed, "k", ["id"]))
+    assert joins.hot_keys(facts, "k") == {}
+    assert "Generate" not in plan(joins.attach(facts, keyed, "k", ["id"]))
+
+
+@pytest.mark.parametrize("how", ["attach", "left_join"])
+def test_hot_and_missing_keys_are_spread(spark, how):
+    """Half the keys missing, a third one key: no task gets twice the mean."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        k = F.when(F.col("id") % 2 == 0, None).when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000)
+        facts = spark.range(60_000).select("id", k.cast("long").alias("k"))
+        keyed = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") + 1).alias("v"))
+        if how == "attach":
+            out = joins.attach(facts, keyed, "k", ["id"])
+        else:
+            out = joins.left_join(facts, keyed.withColumnRenamed("k", "r"), "k", "r")
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 60_000 and max(sizes) < 2 * 60_000 / 8
+        assert out.where("v = k + 1").count() == out.where("k is not null").count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialweave.functions import noise, tails
-from trialweave.operators import describe, hypothesis, impute
+from trialweave.operators import ranges, describe, hypothesis, impute
 
 
 def frame(spark, columns, data):
@@ -53,8 +53,8 @@ def test_rank_sum_by_ranges_equals_single(spark):
     rng = np.random.default_rng(3)
     data = [("a" if rng.random() < 0.4 else "b", float(rng.integers(0, 60)) if rng.random() < 0.7 else 5.0) for _ in range(4000)]
     df = frame(spark, "g string, v double", data).repartition(6)
-    one = hypothesis.rank_sum(df, "g", "v", ("a", "b"), single_task_rows=None).first()
-    many = hypothesis.rank_sum(df, "g", "v", ("a", "b"), single_task_rows=0).first()
+    one = hypothesis.rank_sum(df, "g", "v", ("a", "b"), range_rows=None).first()
+    many = hypothesis.rank_sum(df, "g", "v", ("a", "b"), range_rows=50).first()
     assert (one.w, one.tie_term) == (many.w, many.tie_term)
     assert one.z == pytest.approx(many.z)
     v = np.array([x for _, x in data])
@@ -137,27 +137,67 @@ def test_predictor_screening(spark):
     assert found == {("fixed", ""): "constant", ("near", "twin"): "collinear"}
 
 
-def brute_donors(donors, targets, k):
-    return {t: [d[0] for d in sorted(donors, key=lambda d: (abs(d[1] - t), d[0]))[:k]] for t in set(targets)}
+def allowed_donors(donors, target, k):
+    """Donors nearer than the k-th distance or at it."""
+    far = sorted(abs(d[1] - target) for d in donors)[min(k, len(donors)) - 1]
+    return {d[0] for d in donors if abs(d[1] - target) <= far}
 
 
-@pytest.mark.parametrize("limit", [None, 0])
+@pytest.mark.parametrize("rows", [None, 50])
 @pytest.mark.parametrize("k", [1, 5])
-def test_nearest_donors_match_brute_force(spark, k, limit):
+def test_drawn_donors_are_among_the_nearest(spark, k, rows):
     rng = np.random.default_rng(5)
     values = np.r_[rng.integers(0, 40, 300) / 4.0, rng.normal(500, 1, 200).round(3), np.full(150, 7.25)]
     donors = [(int(i), float(v), float(i)) for i, v in zip(rng.permutation(len(values)), values)]
     targets = [float(x) for x in np.r_[rng.uniform(-50, 900, 200).round(2), np.full(300, 7.25), values[:40], np.full(100, 5000.0)]]
     d = frame(spark, "donor_id long, yhat double, y double", donors).repartition(5)
-    t = frame(spark, "yhat double", [(x,) for x in targets]).repartition(3)
-    got = {r.yhat: [x.donor_id for x in r.donors] for r in impute.nearest_donors(d, t, k, limit).collect()}
-    assert got == brute_donors(donors, targets, k)
+    t = frame(spark, "unit_id long, imp int, yhat double", [(i, 1, x) for i, x in enumerate(targets)]).repartition(3)
+    got = impute.draw_donors(d, t, k, seed=3, range_rows=rows).collect()
+    assert len(got) == len(targets)
+    pools = {x: allowed_donors(donors, x, k) for x in set(targets)}
+    where = {i: v for i, v, _ in donors}
+    for r in got:
+        assert r.donor_id in pools[r.yhat] and r.y == float(r.donor_id)
+        assert r.distance == abs(where[r.donor_id] - r.yhat)
+    again = impute.draw_donors(d.repartition(2), t, k, seed=3, range_rows=200).collect()
+    assert {r.unit_id: r.donor_id for r in got} == {r.unit_id: r.donor_id for r in again}
+
+
+@pytest.mark.parametrize("levels", [(7.0,), (6.0, 8.0)])
+def test_tied_donors_are_used_evenly(spark, levels):
+    """400 donors at one distance, on one side or both: 4,000 targets use all of them about equally."""
+    d = spark.range(400).select(
+        F.col("id").alias("donor_id"),
+        F.element_at(F.array(*[F.lit(x) for x in levels]), (F.col("id") % len(levels) + 1).cast("int")).alias("yhat"),
+        F.col("id").cast("double").alias("y"),
+    )
+    t = spark.range(4000).select(F.col("id").alias("unit_id"), F.lit(1).alias("imp"), F.lit(7.0).alias("yhat"))
+    used = [r["count"] for r in impute.draw_donors(d, t, 5, seed=1).groupBy("donor_id").count().collect()]
+    assert len(used) == 400 and max(used) < 30 and sum(used) == 4000
 
 
 def test_nearest_donor_hand_case(spark):
     d = frame(spark, "donor_id long, yhat double, y double", [(1, 1.0, 10.0), (2, 3.0, 30.0)])
-    got = impute.nearest_donors(d, frame(spark, "yhat double", [(1.9,), (2.0,)]), 1).collect()
-    assert {r.yhat: r.donors[0].y for r in got} == {1.9: 10.0, 2.0: 10.0}
+    t = frame(spark, "unit_id long, imp int, yhat double", [(1, 1, 1.9), (2, 1, 2.1)])
+    assert {r.yhat: r.y for r in impute.draw_donors(d, t, 1).collect()} == {1.9: 10.0, 2.1: 30.0}
+    tied = frame(spark, "unit_id long, imp int, yhat double", [(i, 1, 2.0) for i in range(40)])
+    assert {r.y for r in impute.draw_donors(d, tied, 1).collect()} == {10.0, 30.0}
+
+
+def test_one_path_for_missing_and_odd_numbers(spark):
+    """NULL, NaN, infinities and repeats rank alike in one range and in many."""
+    values = [None, float("nan"), float("inf"), float("-inf"), *([2.5] * 30), *map(float, range(200)), None, float("nan")]
+    df = frame(spark, "id long, g int, v double", [(i, i % 2, v) for i, v in enumerate(values)]).repartition(4)
+    probs = {"low": 0.25, "mid": 0.5, "top": 1.0}
+    outs = [sorted(map(repr, ranges.group_quantiles(df, ["g"], "v", probs, range_rows=n).collect())) for n in (None, 20)]
+    assert outs[0] == outs[1] and len(outs[0]) == 2
+    numbered = [
+        sorted((r.id, r.rownumber) for r in ranges.number_rows(df, ["g"], ["v", "id"], range_rows=n).collect())
+        for n in (None, 20)
+    ]
+    assert numbered[0] == numbered[1] and len(numbered[0]) == len(values)
+    sums = [repr(hypothesis.rank_sum(df, "g", "v", (0, 1), range_rows=n).first()) for n in (None, 20)]
+    assert sums[0] == sums[1]
 
 
 def test_imputation_uses_observed_neighbours(spark):
@@ -183,7 +223,7 @@ def test_imputation_uses_observed_neighbours(spark):
             else:
                 assert r.y in observed
                 assert abs(r.y - (10 * x + {"a": 0, "b": 5, "c": 9}[g])) < 8
-    again = impute.impute_pmm(df.repartition(3), "y", factors, ["x"], donors=5, m=2, seed=9, single_task_rows=0)
+    again = impute.impute_pmm(df.repartition(3), "y", factors, ["x"], donors=5, m=2, seed=9, range_rows=50)
     assert {(r.unit_id, r.imp): r.y for r in again.collect()} == {k: r.y for k, r in rows.items()}
 
 

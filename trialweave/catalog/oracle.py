@@ -134,7 +134,7 @@ add(
       when try_cast({TEXT_ID} as bigint) * 109 > 62 * mx then 0 end as cohort
     from v_cluster cross join bound""",
 )
-add("q_id_cast", CLUSTERS, f"select cluster_id, try_cast({TEXT_ID} as integer) as id_no from v_cluster")
+add("q_id_cast", CLUSTERS, f"select cluster_id, try_cast({TEXT_ID} as bigint) as id_no from v_cluster")
 add(
     "q_filter_conj",
     CLUSTERS,
@@ -293,7 +293,7 @@ add("q_test_chisq", REPS, " union all ".join(chisq_sql(x) for x in CATEGORICAL))
 
 
 def ranksum_sql(x: str) -> str:
-    return f"""select '{x}' as variable, n1 as n_first, n2 as n_second, round(w, 6) as w,
+    return f"""select '{x}' as variable, cast(n1 as bigint) as n_first, cast(n2 as bigint) as n_second, round(w, 6) as w,
       round(tie, 6) as tie_term,
       round((w - n1 * n2 / 2 - 0.5 * sign(w - n1 * n2 / 2))
         / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - tie / ((n1 + n2) * (n1 + n2 - 1)))), 6) as z
@@ -308,7 +308,6 @@ def ranksum_sql(x: str) -> str:
 
 
 add("q_test_ranksum", UNITS, " union all ".join(ranksum_sql(x) for x in ("baseline", "outcome", "decile")))
-SQL["q_test_ranksum"] = SQL["q_test_ranksum"].replace("n1 as n_first, n2 as n_second", "cast(n1 as bigint) as n_first, cast(n2 as bigint) as n_second")
 
 
 def fisher_sql(x: str, first: str) -> str:
@@ -633,20 +632,53 @@ scored as (
 )
 
 # Imputation
+# A donor's place among those with equal predictions, and the choice among them, follow from md5.
+DONOR_ORDER = "cast('0x' || substr(md5(cast({id} as varchar) || '|{seed}|donor'), 1, 12) as bigint)"
+PICK = "cast('0x' || substr(md5(cast({id} as varchar) || '|' || cast({imp} as varchar) || '|{seed}|rank'), 1, 12) as bigint)"
+
 add(
     "q_pmm_candidates",
     UNITS
-    + """,
+    + f""",
 rows_ as (
   select o.o_orderkey as unit_id, floor(o.o_totalprice / 50) as yhat, b.value as baseline
   from orders o left join (select * from v_long where time = 1) b on b.unit_id = o.o_orderkey),
-lev as (select yhat, min(unit_id) as donor_id from rows_ where baseline is not null group by 1),
+numbered as (
+  select yhat, unit_id as donor_id, baseline as y,
+    row_number() over (partition by yhat order by {DONOR_ORDER.format(id="unit_id", seed=1)}, unit_id) as no
+  from rows_ where baseline is not null),
+lev as (select yhat as level, count(*) as n from numbered group by 1),
 near as (
-  select t.yhat, min({'d': abs(l.yhat - t.yhat), 'id': l.donor_id}) as best
-  from (select distinct yhat from rows_ where baseline is null) t cross join lev l group by 1)""",
-    """select r.unit_id, n.best.id as donor_id, n.best.d as distance, d.baseline as y
-    from rows_ r join near n on n.yhat = r.yhat join rows_ d on d.unit_id = n.best.id
-    where r.baseline is null""",
+  select t.yhat, l.level, l.n, abs(l.level - t.yhat) as d
+  from (select distinct yhat from rows_ where baseline is null) t cross join lev l),
+best as (
+  select yhat, min(level) as low, max(level) as high, min(d) as d, sum(n) as total,
+    max(case when first then n end) as n_low
+  from (select *, rank() over (partition by yhat order by d) as r,
+      row_number() over (partition by yhat order by d, level) = 1 as first from near)
+  where r = 1 group by 1),
+drawn as (
+  select r.unit_id, b.d, {PICK.format(id="r.unit_id", imp=1, seed=1)} % cast(b.total as bigint) + 1 as u, b.low, b.high, b.n_low
+  from rows_ r join best b on b.yhat = r.yhat where r.baseline is null)""",
+    """select w.unit_id, n.donor_id, w.d as distance, n.y
+    from drawn w join numbered n on n.yhat = case when w.u <= w.n_low then w.low else w.high end
+      and n.no = case when w.u <= w.n_low then w.u else w.u - w.n_low end""",
+)
+add(
+    "q_impute_pmm",
+    UNITS
+    + f""",
+donors as (
+  select arm, stype, remoteness, cohort, baseline as y,
+    row_number() over (partition by arm, stype, remoteness, cohort
+      order by {DONOR_ORDER.format(id="unit_id", seed=1)}, unit_id) as no,
+    count(*) over (partition by arm, stype, remoteness, cohort) as n
+  from v_unit where baseline is not null)""",
+    # every combination of the factors has at least five donors, all at distance zero
+    f"""select u.unit_id, cast(1 as integer) as imp, coalesce(u.baseline, d.y) as baseline, u.outcome
+    from v_unit u left join donors d on u.baseline is null and d.arm = u.arm and d.stype = u.stype
+      and d.remoteness = u.remoteness and d.cohort = u.cohort
+      and d.no = {PICK.format(id="u.unit_id", imp=1, seed=1)} % d.n + 1""",
 )
 
 # Whole analyses

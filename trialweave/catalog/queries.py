@@ -344,7 +344,7 @@ def q_posterior_summary(v: Views) -> DataFrame:
 @query
 def q_posterior_summary_ranges(v: Views) -> DataFrame:
     """The same summary by range-wise selection, as used for draws beyond one task."""
-    out = decide.posterior_summary(v.draws, ["b_h", "b_l"], ["imp"], single_task_rows=0)
+    out = decide.posterior_summary(v.draws, ["b_h", "b_l"], ["imp"], range_rows=50)
     return rounded(rounded(out, "mean", "sd"), "lower", "upper", digits=9)
 
 
@@ -429,7 +429,7 @@ def q_enrolment_rank(v: Views) -> DataFrame:
 @query
 def q_enrolment_rank_ranges(v: Views) -> DataFrame:
     """The same numbering by ranges, as used for strata beyond one task."""
-    numbered = ranges.number_rows(v.clusters, STRATA, ["cluster_id"], single_task_rows=0)
+    numbered = ranges.number_rows(v.clusters, STRATA, ["cluster_id"], range_rows=50)
     return numbered.select("cluster_id", *STRATA, "rownumber")
 
 
@@ -601,12 +601,8 @@ def q_pmm_candidates(v: Views) -> DataFrame:
     donors = rows.where(F.col("baseline").isNotNull()).select(
         F.col("unit_id").alias("donor_id"), "yhat", F.col("baseline").alias("y")
     )
-    open_rows = rows.where(F.col("baseline").isNull()).select("unit_id", "yhat")
-    found = impute.nearest_donors(donors, open_rows.select("yhat"), 1)
-    best = F.col("donors")[0]
-    return joins.attach(open_rows, found, "yhat", ["unit_id"], "left").select(
-        "unit_id", best["donor_id"].alias("donor_id"), best["distance"].alias("distance"), best["y"].alias("y")
-    )
+    open_rows = rows.where(F.col("baseline").isNull()).select("unit_id", F.lit(1).alias("imp"), "yhat")
+    return impute.draw_donors(donors, open_rows, 1, SEED).select("unit_id", "donor_id", "distance", "y")
 
 
 def _imputed(v: Views) -> DataFrame:

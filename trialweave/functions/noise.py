@@ -28,3 +28,9 @@ def hash_normal(*keys: Column, seed: int, stream: str = "") -> Column:
 def hash_pick(n: Column, *keys: Column, seed: int, stream: str = "") -> Column:
     """Whole number in 1..n."""
     return (F.pmod(F.xxhash64(*keys, F.lit(seed), F.lit(stream)), n) + 1).cast("int")
+
+
+def text_hash(*keys: Column, seed: int, stream: str) -> Column:
+    """Whole number below 2**48 from md5 of the keys as text, so that another engine can repeat it."""
+    text = F.concat_ws("|", *[k.cast("string") for k in keys], F.lit(str(seed)), F.lit(stream))
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint")

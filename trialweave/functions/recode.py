@@ -43,7 +43,7 @@ def level_index(col: Column | str, levels: Sequence[str]) -> Column:
 
 def id_number(col: Column | str) -> Column:
     """Numeric id from text; text that is no number becomes missing."""
-    return _col(col).try_cast("int")
+    return _col(col).try_cast("bigint")
 
 
 def cohort_flag(col: Column | str, cut) -> Column:

@@ -90,22 +90,22 @@ def _melt(draws: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFr
 
 
 def posterior_summary(
-    draws: DataFrame, columns: Sequence[str], by: Sequence[str] = (), single_task_rows: int | None = None
+    draws: DataFrame, columns: Sequence[str], by: Sequence[str] = (), range_rows: int | None = None
 ) -> DataFrame:
     """Mean, standard deviation and 95% interval per coefficient."""
     long = _melt(draws, columns, by)
     keys = [*by, "coefficient"]
     moments = long.groupBy(*keys).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
-    ends = group_quantiles(long, keys, "value", {"lower": 0.025, "upper": 0.975}, "linear", single_task_rows)
+    ends = group_quantiles(long, keys, "value", {"lower": 0.025, "upper": 0.975}, "linear", range_rows)
     return moments.join(ends.drop("n_values"), keys)
 
 
 def split_rhat(
     draws: DataFrame, columns: Sequence[str], chain: str = "chain", draw: str = "draw",
-    single_task_rows: int | None = None,
+    range_rows: int | None = None,
 ) -> DataFrame:
     """Split-chain ratio of total to within-chain spread (1 = chains agree)."""
-    numbered = number_rows(draws, [chain], [draw], "_no", single_task_rows)
+    numbered = number_rows(draws, [chain], [draw], "_no", range_rows)
     sizes = cut_lineage(
         draws.groupBy(chain).agg(F.floor(F.count("*") / 2).alias("_half"), F.count("*").alias("_len")),
         "chain-sizes",
@@ -125,7 +125,7 @@ def split_rhat(
 
 
 def variance_ratio(
-    predictions: DataFrame, draw: str, without: str, whole: str, single_task_rows: int | None = None
+    predictions: DataFrame, draw: str, without: str, whole: str, range_rows: int | None = None
 ) -> DataFrame:
     """Per draw the variance of predictions without cluster effects over that with them, then the
     mean, median and 95% interval over draws."""
@@ -134,7 +134,7 @@ def variance_ratio(
     )
     mean = per.agg(F.count("ratio").alias("n_draws"), F.avg("ratio").alias("mean"))
     ends = group_quantiles(
-        per, [], "ratio", {"median": 0.5, "lower": 0.025, "upper": 0.975}, "linear", single_task_rows
+        per, [], "ratio", {"median": 0.5, "lower": 0.025, "upper": 0.975}, "linear", range_rows
     )
     return mean.join(ends.withColumnRenamed("n_values", "n_draws"), "n_draws")
 
@@ -174,7 +174,7 @@ def pairwise_contrasts(
     coefficients: Sequence[Column | str],
     by: Sequence[str] = (),
     keep: Sequence[str] = (),
-    single_task_rows: int | None = None,
+    range_rows: int | None = None,
 ) -> DataFrame:
     """Median and 95% interval over draws for each contrast (and group of the vectors).
 
@@ -189,4 +189,4 @@ def pairwise_contrasts(
     named = long.select(
         *keep, *[F.col(f"_c.{b}").alias(b) for b in by], F.col("_c.contrast").alias("contrast"), value.alias("_value")
     )
-    return group_quantiles(named, [*keep, *by, "contrast"], "_value", INTERVAL, "linear", single_task_rows)
+    return group_quantiles(named, [*keep, *by, "contrast"], "_value", INTERVAL, "linear", range_rows)

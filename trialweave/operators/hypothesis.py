@@ -23,28 +23,28 @@ def _cells(df: DataFrame, by: str, variable: str) -> DataFrame:
 def chi_square(df: DataFrame, by: str, variable: str, p_value: bool = True) -> DataFrame:
     """Pearson's chi-square without continuity correction, with the smallest expected count.
 
-    Only the observed cells are needed: the sum over all cells of (o-e)^2/e is n*sum(o^2/(r*c)) - n.
+    Sum of (o-e)^2/e over the grid of the observed labels, cells without rows included; the labels are
+    closed sets, so the grid is small.
     """
     cells = _cells(df, by, variable)
     rows = cells.groupBy("row_label").agg(F.sum("o").alias("r"))
     cols = cells.groupBy("col_label").agg(F.sum("o").alias("c"))
-    o, r, c = F.col("o").cast("double"), F.col("r").cast("double"), F.col("c").cast("double")
+    listed = cols.agg(F.collect_list(F.struct("col_label", "c")).alias("l")).scalar()
+    total = rows.agg(F.sum("r").cast("double")).scalar()
+    grid = rows.select("row_label", "r", F.inline(listed)).join(cells, ["row_label", "col_label"], "left")
+    o, e = F.coalesce("o", F.lit(0)).cast("double"), F.col("r").cast("double") * F.col("c") / total
     out = (
-        cells.join(rows, "row_label")
-        .join(cols, "col_label")
-        .agg(
-            F.sum("o").alias("n"),
-            F.sum(o * o / (r * c)).alias("s"),
-            F.min("r").alias("r_min"),
-            F.min("c").alias("c_min"),
+        grid.agg(
+            F.sum((o - e) * (o - e) / e).alias("s"),
+            F.min(e).alias("least"),
             F.count_distinct("row_label").alias("n_row"),
             F.count_distinct("col_label").alias("n_col"),
         )
         .select(
             F.lit(variable).alias("variable"),
-            (F.col("n") * (F.col("s") - 1.0)).alias("statistic"),
+            F.col("s").alias("statistic"),
             ((F.col("n_row") - 1) * (F.col("n_col") - 1)).cast("long").alias("df"),
-            (F.col("r_min").cast("double") * F.col("c_min") / F.col("n")).alias("min_expected"),
+            F.col("least").alias("min_expected"),
         )
     )
     if p_value:
@@ -58,7 +58,7 @@ def rank_sum(
     value: str,
     groups: Sequence,
     p_value: bool = True,
-    single_task_rows: int | None = None,
+    range_rows: int | None = None,
 ) -> DataFrame:
     """Wilcoxon rank-sum of the first group against the second: mid-ranks, tie and continuity
     correction, normal approximation.
@@ -71,10 +71,8 @@ def rank_sum(
     src = df.where(label.isin(first, second) & v.isNotNull()).select(
         v.alias("_v"), (label == first).cast("long").alias("_a")
     )
-    plan = plan_ranges(src, "_v", single_task_rows)
-    counted = with_range(
-        src.groupBy("_v").agg(F.count("*").alias("t"), F.sum("_a").alias("a")), "_v", plan
-    )
+    values = cut_lineage(src.groupBy("_v").agg(F.count("*").alias("t"), F.sum("_a").alias("a")), "to-rank")
+    counted = with_range(values, "_v", plan_ranges(values, "_v", range_rows))
     inside = Window.partitionBy(RANGE).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     t, a = F.col("t").cast("double"), F.col("a").cast("double")
     local = F.coalesce(F.sum("t").over(inside), F.lit(0)) + (t + 1.0) / 2.0
@@ -210,8 +208,8 @@ def compare_groups(
 ) -> DataFrame:
     """One row per variable with the test chosen as a baseline table does.
 
-    Categorical: chi-square, or Fisher's exact test for a 2x2 table with an expected count below 5
-    (a larger table like that gets no p-value). Continuous: rank-sum.
+    Categorical: chi-square, or Fisher's exact test for a 2x2 table with an expected count below 5; a
+    larger table like that keeps chi-square and is marked ``sparse``. Continuous: rank-sum.
     """
     known = df.where(F.col(by).isin(*groups))
     out = None
@@ -220,19 +218,20 @@ def compare_groups(
         sparse = F.col("min_expected") < 5
         if len(levels) == 2:
             exact = fisher_2x2(known, by, variable, groups, levels).select("p_value")
-            p_exact = exact.scalar()
+            use, p_exact = sparse, exact.scalar()
         else:
-            p_exact = F.lit(None).cast("double")
+            use, p_exact = F.lit(False), F.lit(None).cast("double")
         part = chi.select(
             "variable",
-            F.when(sparse, F.lit("fisher")).otherwise(F.lit("chisq")).alias("test"),
+            F.when(use, F.lit("fisher")).otherwise(F.lit("chisq")).alias("test"),
             "statistic",
-            F.when(sparse, p_exact).otherwise(F.col("p_value")).alias("p_value"),
+            F.when(use, p_exact).otherwise(F.col("p_value")).alias("p_value"),
+            sparse.alias("sparse"),
         )
         out = part if out is None else out.unionByName(part)
     for variable in continuous:
         part = rank_sum(known, by, variable, groups).select(
-            "variable", F.lit("rank_sum").alias("test"), F.col("w").alias("statistic"), "p_value"
+            "variable", F.lit("rank_sum").alias("test"), F.col("w").alias("statistic"), "p_value", F.lit(False).alias("sparse")
         )
         out = part if out is None else out.unionByName(part)
     return out

@@ -9,10 +9,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialweave.functions.noise import hash_pick
+from trialweave.functions.noise import text_hash
 from trialweave.functions.recode import level_index
-from trialweave.operators.joins import attach
-from trialweave.operators.ranges import RANGE, plan_ranges, with_range
+from trialweave.operators.joins import attach, hot_keys
+from trialweave.operators.ranges import RANGE, number_rows, plan_ranges, with_range
 from trialweave.session import cut_lineage
 
 
@@ -100,35 +100,25 @@ def audit_columns(df: DataFrame, columns: Sequence[str], limit: float = 0.999) -
     )
 
 
-def nearest_donors(
-    donors: DataFrame, targets: DataFrame, k: int = 1, single_task_rows: int | None = None
+def nearest_levels(
+    levels: DataFrame, targets: DataFrame, k: int, range_rows: int | None = None
 ) -> DataFrame:
-    """The ``k`` donors nearest to each distinct target prediction.
+    """The donor levels that can hold one of the ``k`` nearest donors of each distinct target prediction.
 
-    ``donors(donor_id, yhat, y)``, ``targets(yhat)``; result ``(yhat, donors)`` with the donors as
-    an array of (distance, donor_id, y), ordered by distance and then id. Exact for any data:
-
-    - equal donor predictions collapse to one level holding its k smallest ids;
-    - levels are numbered over the whole axis, and a target sits after a known number of levels;
-    - the k levels on either side of that place hold every possible answer, whatever their distance.
-
-    No pair outside those 2k levels is ever formed, and no group is brought into one task.
+    ``levels(yhat, n)`` has one row per distinct donor prediction, ``targets(yhat)``; result
+    ``(yhat, near)`` with near an array of (distance, level, n) in that order. Exact for any data: levels
+    are numbered over the whole axis, a target sits after a known number of levels, and the k levels on
+    either side of that place hold every possible answer. No other pair is formed.
     """
-    per_level = Window.partitionBy("yhat").orderBy("donor_id")
-    levels = cut_lineage(
-        donors.select("yhat", "donor_id", "y")
-        .withColumn("_rn", F.row_number().over(per_level))
-        .where(F.col("_rn") <= k)
-        .groupBy("yhat")
-        .agg(F.collect_list(F.struct("donor_id", "y")).alias("held")),
-        "donor-levels",
-    )
-    wanted = cut_lineage(targets.select("yhat").distinct(), "target-levels")
-    points = levels.select("yhat", F.lit(1).alias("_level")).unionByName(
-        wanted.select("yhat", F.lit(0).alias("_level"))
+    levels = cut_lineage(levels.select("yhat", "n"), "donor-levels")
+    wanted = targets.select("yhat").distinct()
+    points = cut_lineage(
+        levels.select("yhat", F.lit(1).alias("_level")).unionByName(
+            wanted.select("yhat", F.lit(0).alias("_level"))
+        ),
+        "levels",
     )
-    plan = plan_ranges(points, "yhat", single_task_rows)
-    ranged = with_range(points, "yhat", plan)
+    ranged = with_range(points, "yhat", plan_ranges(points, "yhat", range_rows))
     before = Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     offsets = (
         ranged.groupBy(RANGE)
@@ -150,26 +140,78 @@ def nearest_donors(
     around = F.explode(F.sequence(F.greatest(F.col("_no") - k, F.lit(0)), F.col("_no") + (k - 1)))
     pools = (
         levels.join(numbered, "yhat")
-        .select(around.alias("place"), F.struct(F.col("yhat").alias("level"), "held").alias("near"))
+        .select(around.alias("place"), F.struct(F.col("yhat").alias("level"), "n").alias("near"))
         .groupBy("place")
         .agg(F.collect_list("near").alias("near"))
     )
     asked = placed.where(F.col("_level") == 0).select("yhat", "place")
     found = attach(asked, pools, "place", ["yhat"], "left")
-    flat = F.flatten(
-        F.transform(
-            "near",
-            lambda lv: F.transform(
-                lv["held"],
-                lambda d: F.struct(
-                    F.abs(lv["level"] - F.col("yhat")).alias("distance"),
-                    d["donor_id"].alias("donor_id"),
-                    d["y"].alias("y"),
-                ),
-            ),
-        )
+    with_distance = F.transform(
+        "near",
+        lambda lv: F.struct(
+            F.abs(lv["level"] - F.col("yhat")).alias("distance"), lv["level"].alias("level"), lv["n"].alias("n")
+        ),
+    )
+    return found.select("yhat", F.array_sort(with_distance).alias("near"))
+
+
+def number_donors(donors: DataFrame, seed: int, range_rows: int | None = None) -> DataFrame:
+    """``donors(donor_id, yhat, y)`` numbered 1, 2, ... among equal predictions, in an order set by a hash."""
+    mixed = donors.select(
+        "donor_id", "yhat", "y", text_hash(F.col("donor_id"), seed=seed, stream="donor").alias("_mix")
     )
-    return found.select("yhat", F.slice(F.array_sort(flat), 1, k).alias("donors"))
+    return number_rows(mixed, ["yhat"], ["_mix", "donor_id"], "no", range_rows).drop("_mix")
+
+
+def draw_donors(
+    donors: DataFrame,
+    targets: DataFrame,
+    k: int = 1,
+    seed: int = 1,
+    keys: Sequence[str] = ("unit_id", "imp"),
+    range_rows: int | None = None,
+) -> DataFrame:
+    """One donor for each target row, drawn evenly from the ``k`` nearest.
+
+    ``donors(donor_id, yhat, y)``, ``targets(keys..., yhat)``; adds ``distance``, ``donor_id`` and ``y``.
+    A place in 1..k chooses the distance; where more donors share that distance than places are left,
+    all of them are equally likely. Donors with equal predictions are numbered in a hashed order and a
+    hash of the keys picks the number, so donors join by (level, number) and no list of them is formed.
+    Targets get no donor only if there is none.
+    """
+    numbered = cut_lineage(number_donors(donors, seed, range_rows), "donors")
+    levels = numbered.groupBy("yhat").agg(F.count("*").alias("n"))
+    near = nearest_levels(levels, targets, k, range_rows).withColumnRenamed("yhat", "_yhat")
+    hot = hot_keys(targets, "yhat")
+    rows = attach(targets.withColumnRenamed("yhat", "_yhat"), near, "_yhat", list(keys), "left", hot)
+    ids = [F.col(c) for c in keys]
+    total = F.aggregate("near", F.lit(0).cast("bigint"), lambda s, x: s + x["n"])
+    place = F.pmod(text_hash(*ids, seed=seed, stream="place"), F.least(total, F.lit(k))) + 1
+    # the distance at which the counts reach the place, then a number among all donors at that distance
+    start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("double").alias("d"))
+    reach = F.aggregate(
+        "near",
+        start,
+        lambda s, x: F.struct(
+            (s["seen"] + x["n"]).alias("seen"),
+            F.when(s["seen"] < F.col("_place"), x["distance"]).otherwise(s["d"]).alias("d"),
+        ),
+    )["d"]
+    rows = rows.withColumn("_place", place).withColumn("distance", reach)
+    rows = rows.withColumn("_at", F.filter("near", lambda x: x["distance"] == F.col("distance")))
+    count = F.aggregate("_at", F.lit(0).cast("bigint"), lambda s, x: s + x["n"])
+    rows = rows.withColumn("_u", F.pmod(text_hash(*ids, seed=seed, stream="rank"), count) + 1)
+    # at most two levels lie at one distance, one on either side
+    low = F.try_element_at("_at", F.lit(1))
+    beyond = F.col("_u") > low["n"]
+    rows = rows.withColumn("_level", F.when(beyond, F.try_element_at("_at", F.lit(2))["level"]).otherwise(low["level"]))
+    rows = rows.withColumn("_no", F.when(beyond, F.col("_u") - low["n"]).otherwise(F.col("_u")))
+    picked = rows.drop("near", "_at", "_place", "_u").join(
+        numbered.select(F.col("yhat").alias("_level"), F.col("no").alias("_no"), "donor_id", "y"),
+        ["_level", "_no"],
+        "left",
+    )
+    return picked.drop("_level", "_no").withColumnRenamed("_yhat", "yhat")
 
 
 def linear_coefficients(df: DataFrame, design: Sequence[Column], target: str, ridge: float = 1e-5):
@@ -211,13 +253,14 @@ def impute_pmm(
     m: int = 1,
     seed: int = 1,
     unit: str = "unit_id",
-    single_task_rows: int | None = None,
+    range_rows: int | None = None,
 ) -> DataFrame:
     """Fill the missing values of one column by predictive mean matching; adds ``imp`` in 1..m.
 
     The linear prediction uses the point estimate of the coefficients. A missing value takes the
-    observed value of one of the ``donors`` nearest observed rows, chosen by a hash of unit,
-    imputation and seed. Rows with a missing predictor cannot be predicted and stay missing.
+    observed value of one of the ``donors`` nearest observed rows, drawn by a hash of unit, imputation
+    and seed; donors at equal distance are equally likely. Rows with a missing predictor cannot be
+    predicted and stay missing.
     """
     design = dummies(factors, numeric)
     beta = linear_coefficients(df, design, target)
@@ -226,18 +269,11 @@ def impute_pmm(
     observed = scored.where(F.col(target).isNotNull() & F.col("_yhat").isNotNull()).select(
         F.col(unit).alias("donor_id"), F.col("_yhat").alias("yhat"), F.col(target).alias("y")
     )
-    open_rows = scored.where(F.col(target).isNull() & F.col("_yhat").isNotNull())
-    pools = nearest_donors(
-        observed, open_rows.select(F.col("_yhat").alias("yhat")), donors, single_task_rows
-    ).withColumnRenamed("yhat", "_yhat")
-    filled = attach(open_rows, pools, "_yhat", [unit], "left")
     imps = F.explode(F.sequence(F.lit(1), F.lit(m))).alias("imp")
+    open_rows = scored.where(F.col(target).isNull() & F.col("_yhat").isNotNull())
     columns = [c for c in df.columns if c != target]
-    pick = hash_pick(F.size("donors"), F.col(unit), F.col("imp"), seed=seed, stream="pmm")
-    drawn = filled.select("*", imps).select(
-        *columns, F.try_element_at("donors", pick)["y"].alias(target), "imp"
-    )
+    asked = cut_lineage(open_rows.select(*columns, F.col("_yhat").alias("yhat"), imps), "targets")
+    filled = draw_donors(observed, asked, donors, seed, (unit, "imp"), range_rows)
+    drawn = filled.select(*columns, F.col("y").alias(target), "imp")
     kept = scored.where(F.col(target).isNotNull() | F.col("_yhat").isNull())
     return kept.select(*columns, target, imps).unionByName(drawn)
-
-

@@ -2,29 +2,45 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: A key is hot above this share of all rows, or with this many rows if that is fewer; each salt takes about as many.
 HOT_SHARE = 0.01
-SALT_BITS = 6
+TASK_ROWS = 1_000_000
+#: Smallest share that is looked for: at most 1,000 keys are kept apart.
+LEAST_SHARE = 0.001
+LEAST_SALTS = 64
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
-    """Key values that hold more than ``share`` of all rows.
+def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> dict:
+    """Key values with very many rows, and the number of tasks each is to be spread over.
 
-    A pass with a fixed-size sketch per task names every value that may be hot, at most 1/share of
-    them; a second pass counts just those. Neither shuffles the table by key.
+    A pass with a fixed-size sketch per task names every value that may be hot; a second pass counts
+    just those. Neither shuffles the table by key.
     """
     keys = df.select(key).where(F.col(key).isNotNull())
-    maybe = keys.stat.freqItems([key], share).first()[0] or []
+    maybe = keys.stat.freqItems([key], min(share, LEAST_SHARE)).first()[0] or []
     if not maybe:
-        return []
+        return {}
     listed = F.when(F.col(key).isin(list(maybe)), F.col(key))
     counts = {r[0]: r[1] for r in keys.groupBy(listed).count().collect()}
-    floor = share * sum(counts.values())
-    return sorted(k for k, n in counts.items() if k is not None and n > floor)
+    floor = min(share * sum(counts.values()), TASK_ROWS)
+    hot = {k: n for k, n in counts.items() if k is not None and n > floor}
+    return {k: max(LEAST_SALTS, -(-hot[k] // TASK_ROWS)) for k in sorted(hot)}
+
+
+def _salts(key: str, hot: Mapping | Sequence) -> Column | None:
+    """Number of salts of the row's key; 1 for keys that are not hot."""
+    if not hot:
+        return None
+    each = hot if isinstance(hot, Mapping) else dict.fromkeys(hot, LEAST_SALTS)
+    out = F.lit(1)
+    for n in sorted(set(each.values())):
+        out = F.when(F.col(key).isin([k for k, m in each.items() if m == n]), n).otherwise(out)
+    return out
 
 
 def attach(
@@ -33,34 +49,50 @@ def attach(
     key: str,
     spread: Sequence[str],
     how: str = "left",
-    hot: Sequence | None = None,
-    salt_bits: int = SALT_BITS,
+    hot: Mapping | Sequence | None = None,
 ) -> DataFrame:
-    """Join a table with one row per ``key`` to a table where some keys hold very many rows.
+    """Join a table with one row per ``key`` to a table where some keys, or no key, hold very many rows.
 
-    Rows of a hot key are spread over 2**salt_bits tasks by a hash of the ``spread`` columns, and the
-    keyed row is copied once per salt; every fact row still meets exactly one copy. Other keys
-    join as usual. ``how`` is ``left``, ``inner``, ``left_semi`` or ``left_anti``.
+    Rows of a hot key are spread over its salts by a hash of the ``spread`` columns, and the keyed row is
+    copied once per salt; every fact row still meets exactly one copy. Rows without a key meet nothing
+    and are spread over all tasks. Other keys join as usual. ``how`` is ``left``, ``inner``,
+    ``left_semi`` or ``left_anti``.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError("copies of keyed rows may only be matched, never kept on their own")
     if hot is None:
         hot = hot_keys(facts, key)
-    if not hot:
-        return facts.join(keyed, key, how)
-    is_hot = F.col(key).isin(list(hot))
-    salt = F.shiftrightunsigned(F.xxhash64(*spread), 64 - salt_bits).cast("int")
-    salted = facts.withColumn("_salt", F.when(is_hot, salt).otherwise(0))
-    every = F.array(*[F.lit(i) for i in range(2**salt_bits)])
-    copies = F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0))))
-    copied = keyed.withColumn("_salt", copies)
+    salts = _salts(key, hot)
+    mixed = F.xxhash64(*spread)
+    own = F.lit(0).cast("bigint") if salts is None else F.pmod(mixed, salts)
+    salted = facts.withColumn("_salt", F.when(F.col(key).isNull(), mixed).otherwise(own))
+    if salts is None:
+        copied = keyed.withColumn("_salt", F.lit(0).cast("bigint"))
+    else:
+        copied = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), (salts - 1).cast("bigint"))))
     return salted.join(copied, [key, "_salt"], how).drop("_salt")
 
 
-def left_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """Left equi-join on differently named keys; missing keys match missing keys."""
+def left_join(
+    left: DataFrame, right: DataFrame, left_key: str, right_key: str, hot: Mapping | Sequence | None = None
+) -> DataFrame:
+    """Left equi-join on differently named keys, hot keys spread; missing keys match missing keys.
+
+    The right table has one row per key, so a missing key on both sides adds one match per left row.
+    """
+    if hot is None:
+        hot = hot_keys(left, left_key)
     other = right.withColumnRenamed(right_key, "_right_key")
-    return left.join(other, left[left_key].eqNullSafe(other["_right_key"]), "left").drop("_right_key")
+    mixed = F.xxhash64(*[F.col(c) for c in left.columns])
+
+    def salts(key: str) -> Column:
+        known = _salts(key, hot)
+        return F.when(F.col(key).isNull(), LEAST_SALTS).otherwise(F.lit(1) if known is None else known)
+
+    salted = left.withColumn("_salt", F.pmod(mixed, salts(left_key)))
+    copied = other.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), (salts("_right_key") - 1).cast("bigint"))))
+    same = salted[left_key].eqNullSafe(copied["_right_key"]) & (salted["_salt"] == copied["_copy"])
+    return salted.join(copied, same, "left").drop("_right_key", "_salt", "_copy")
 
 
 def keep_listed(

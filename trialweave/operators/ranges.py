@@ -1,12 +1,11 @@
 """Row numbers and exact quantiles without putting a whole group into one task.
 
-The value axis is cut at approximate quantiles into ranges. Everything that needs order is done
-inside one range; what lies before a range is known from the row counts of the earlier ranges, a
-table of at most (groups x ranges) rows. The cut points only balance the work: any cut points give
-the same result, and as plain numbers they put a row into the same range on every retry.
-
-Tables counted at ``SINGLE_TASK_ROWS`` or fewer are not cut: their groups fit into one task by that
-count.
+The value axis is cut at approximate quantiles into ranges of about ``RANGE_ROWS`` rows. Everything that
+needs order is done inside one range; what lies before a range is known from the row counts of the
+earlier ranges, a table of at most (groups x ranges) rows. The cut points only balance the work: any cut
+points give the same result, and as plain numbers they put a row into the same range on every retry.
+A small table is one range; there is no other path. NaN (the largest number) and NULL (behind it) are
+ranges of their own.
 """
 
 from __future__ import annotations
@@ -19,11 +18,11 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialweave.session import cut_lineage, shuffle_partitions
+from trialweave.session import cut_lineage
 
-SINGLE_TASK_ROWS = 1_000_000
-MAX_RANGES = 4096
-CUT_SAMPLE = 2_000_000
+RANGE_ROWS = 1_000_000
+#: Rows of the sample that a cut point rests on.
+CUT_SAMPLE = 200
 
 GROUP = "_group"
 RANGE = "_range"
@@ -34,39 +33,44 @@ class RangePlan:
     rows: int
     cuts: tuple[float, ...]
 
-    @property
-    def single(self) -> bool:
-        return not self.cuts
-
 
-def plan_ranges(df: DataFrame, value: str, single_task_rows: int | None = None) -> RangePlan:
-    """Count the rows and, if they are many, choose cut points.
+def plan_ranges(df: DataFrame, value: str, range_rows: int | None = None) -> RangePlan:
+    """Count the rows and choose cut points for ranges of about ``range_rows`` rows.
 
-    The cut points come from a sample of about ``CUT_SAMPLE`` rows, so that the sketch stays small
-    on any number of tasks. The sample decides only how evenly the work is spread: all rows are
-    ranked, and the result is the same for any cut points.
+    The cut points come from a sample of some hundred rows per range. The sample decides only how
+    evenly the work is spread: all rows are ranked, and the result is the same for any cut points.
+    ``df`` is read twice, so it should be a written table.
     """
-    limit = SINGLE_TASK_ROWS if single_task_rows is None else single_task_rows
+    wanted = max(1, RANGE_ROWS if range_rows is None else range_rows)
     v = F.col(value).cast("double")
-    rows = df.agg(F.count(v)).first()[0]
-    if rows <= limit:
+    plain = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != math.inf)
+    rows = df.agg(F.count_if(plain)).first()[0]
+    parts = -(-rows // wanted)
+    if parts < 2:
         return RangePlan(rows, ())
-    parts = max(2, min(shuffle_partitions(df.sparkSession), MAX_RANGES))
     probs = [i / parts for i in range(1, parts)]
-    share = CUT_SAMPLE / rows
-    source = df if share >= 1.0 else df.where(F.rand(0) < share)
+    share = CUT_SAMPLE * parts / rows
+    source = df.where(plain)
+    source = source if share >= 1.0 else source.where(F.rand(0) < share)
     cuts = source.agg(F.percentile_approx(v, probs, 20 * parts)).first()[0]
-    return RangePlan(rows, tuple(sorted(set(cuts or []))))
+    return RangePlan(rows, tuple(sorted({c + 0.0 for c in cuts or []})))
 
 
 def with_range(df: DataFrame, value: str, plan: RangePlan) -> DataFrame:
-    """Add the range index of ``value`` (which must not be NULL); equal values share a range."""
-    if plan.single:
-        return df.withColumn(RANGE, F.lit(0))
-    edges = [-math.inf, *plan.cuts, math.inf]
-    keyed = df.withColumn("_range_value", F.col(value).cast("double"))
-    out = Bucketizer(splits=edges, inputCol="_range_value", outputCol="_range_at").transform(keyed)
-    return out.withColumn(RANGE, F.col("_range_at").cast("int")).drop("_range_value", "_range_at")
+    """Add the range index of ``value``; equal values share a range, NaN and NULL come last."""
+    v = F.col(value).cast("double")
+    n = len(plan.cuts)
+    if n:
+        edges = [-math.inf, *plan.cuts, math.inf]
+        keyed = df.withColumn("_range_value", v)
+        out = Bucketizer(
+            splits=edges, inputCol="_range_value", outputCol="_range_at", handleInvalid="keep"
+        ).transform(keyed)
+        at = F.col("_range_at").cast("int")
+    else:
+        out, at = df, F.lit(0)
+    place = F.when(v.isNull(), n + 2).when(F.isnan(v), n + 1).otherwise(at)
+    return out.withColumn(RANGE, place).drop("_range_value", "_range_at")
 
 
 def group_key(by: Sequence[str]) -> Column:
@@ -79,20 +83,16 @@ def number_rows(
     by: Sequence[str],
     order: Sequence[str],
     name: str = "rownumber",
-    single_task_rows: int | None = None,
+    range_rows: int | None = None,
 ) -> DataFrame:
-    """Number rows 1, 2, ... inside each ``by`` group in ascending ``order``.
+    """Number rows 1, 2, ... inside each ``by`` group in ascending ``order``, missing values last.
 
-    The first order column is numeric, never missing and (nearly) unique, as unit and cluster ids
-    are; the remaining ones break ties.
+    The first order column is numeric and (nearly) unique, as unit and cluster ids are; the remaining
+    ones break ties.
     """
-    plan = plan_ranges(df, order[0], single_task_rows)
     ascending = [F.col(c).asc_nulls_last() for c in order]
-    keyed = df.withColumn(GROUP, group_key(by))
-    if plan.single:
-        w = Window.partitionBy(GROUP).orderBy(*ascending)
-        return keyed.withColumn(name, F.row_number().over(w).cast("long")).drop(GROUP)
-    ranged = with_range(keyed, order[0], plan)
+    keyed = cut_lineage(df.withColumn(GROUP, group_key(by)), "to-number")
+    ranged = with_range(keyed, order[0], plan_ranges(keyed, order[0], range_rows))
     before = Window.partitionBy(GROUP).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         ranged.groupBy(GROUP, RANGE)
@@ -129,17 +129,16 @@ def group_quantiles(
     value: str,
     probs: Mapping[str, float],
     kind: str = "linear",
-    single_task_rows: int | None = None,
+    range_rows: int | None = None,
 ) -> DataFrame:
     """Exact quantiles per group: one row per group with ``n_values`` and a column per name.
 
     ``linear`` interpolates between order statistics; ``average`` takes the order statistic, and
-    the mean of two where the rank falls between them. Missing values are left out.
+    the mean of two where the rank falls between them. Missing values are left out, NaN is the largest.
     """
     src = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    plan = plan_ranges(src, "_v", single_task_rows)
-    if plan.single:
-        return _small_quantiles(src, by, probs, kind)
+    src = cut_lineage(src, "to-rank")
+    plan = plan_ranges(src, "_v", range_rows)
     ranged = with_range(src.withColumn(GROUP, group_key(by)), "_v", plan)
     sized = ranged.groupBy(GROUP, RANGE).agg(F.count("*").alias("_n"))
     whole = Window.partitionBy(GROUP)
@@ -157,7 +156,7 @@ def group_quantiles(
                 )
             )
     start = F.col("_end") - F.col("_n")
-    targets = cut_lineage(
+    targets = (
         placed.select(GROUP, RANGE, "_total", "_n", "_end", F.explode(F.array(*wanted)).alias("t"))
         .where((F.col("t.rank") > start) & (F.col("t.rank") <= F.col("_end")))
         .select(
@@ -167,8 +166,7 @@ def group_quantiles(
             F.col("t.name").alias("_name"),
             F.col("t.share").alias("_share"),
             (F.col("t.rank") - start).alias("_rank"),
-        ),
-        "quantile-targets",
+        )
     )
     inside = Window.partitionBy(GROUP, RANGE).orderBy("_v")
     counted = (
@@ -181,7 +179,7 @@ def group_quantiles(
         (F.col("_rank") > F.col("_last") - F.col("_c")) & (F.col("_rank") <= F.col("_last"))
     )
     picks = [
-        F.sum(F.when(F.col("_name") == name, F.col("_v") * F.col("_share"))).alias(name)
+        F.sum(F.when((F.col("_name") == name) & (F.col("_share") > 0), F.col("_v") * F.col("_share"))).alias(name)
         for name in probs
     ]
     return (
@@ -189,31 +187,3 @@ def group_quantiles(
         .agg(F.max("n_values").alias("n_values"), *picks)
         .select(*[F.col(GROUP)[c].alias(c) for c in by], "n_values", *probs)
     )
-
-
-def _small_quantiles(
-    src: DataFrame, by: Sequence[str], probs: Mapping[str, float], kind: str
-) -> DataFrame:
-    """The built-in exact aggregates; used where the counted rows fit into one task."""
-    if kind == "linear":  # one value map per group for all probabilities
-        every = F.percentile("_v", F.array(*[F.lit(p) for p in probs.values()])).alias("_q")
-        found = src.groupBy(*by).agg(F.count("_v").alias("n_values"), every)
-        return found.select(
-            *by, "n_values", *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)]
-        )
-    keyed = src.withColumn(GROUP, group_key(by))
-    whole = Window.partitionBy(GROUP)
-    numbered = keyed.withColumn("_no", F.row_number().over(whole.orderBy("_v"))).withColumn(
-        "_total", F.count("*").over(whole)
-    )
-    picks = []
-    for name, p in probs.items():
-        low, high, weight = _rank_pair(p, F.col("_total"), kind)
-        first = F.sum(F.when(F.col("_no") == low, F.col("_v") * (1.0 - weight)))
-        second = F.sum(F.when(F.col("_no") == high, F.col("_v") * weight))
-        picks.append((first + second).alias(name))
-    return (
-        numbered.groupBy(GROUP)
-        .agg(F.max("_total").alias("n_values"), *picks)
-        .select(*[F.col(GROUP)[c].alias(c) for c in by], "n_values", *probs)
-    )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trialweave.functions.recode import (
     cohort_flag,
+    id_number,
     recode_equal,
     recode_member,
     recode_threshold,
@@ -36,19 +37,22 @@ def recode_wide(
     city_labels: Sequence[str] = MAJOR_CITY_SOURCE_LABELS,
     arms: Sequence[str] = ARMS,
 ) -> DataFrame:
-    """Trial with one row per unit: labels from decile, remoteness class and arm code."""
+    """Trial with one row per unit: labels from decile, remoteness class and arm code.
+
+    Ids that are no number become missing; rows without a unit id are left out (``unreadable_ids`` counts).
+    """
     least, most = SES_LABELS
     city, regional = REMOTENESS_LABELS
     return wide.select(
-        F.col("tname").cast("long").alias("unit_id"),
-        F.col("schoolid").cast("long").alias("cluster_id"),
+        id_number("tname").alias("unit_id"),
+        id_number("schoolid").alias("cluster_id"),
         "stype",
         with_levels("dose_fin", arms).alias("arm"),
         recode_threshold("Decile", DECILE_CUT, most, least).alias("ses"),
         recode_member("RA_name", city_labels, city, regional).alias("remoteness"),
         F.col("base_total_pa_fin").alias("baseline"),
         F.col("fu_total_pa_fin").alias("outcome"),
-    )
+    ).where("unit_id is not null")
 
 
 def recode_long(
@@ -60,12 +64,13 @@ def recode_long(
     """Trial with one row per unit and time: attributes of the first row plus both measurements.
 
     First row and measurements are aggregates of the same unit, so one shuffle on the unit gives
-    both; the smallest (time, attributes) struct is the first row, missing times last.
+    both; the smallest (time, attributes) struct is the first row, missing times last. Rows whose unit
+    id is missing or no number are left out.
     """
     least, most = SES_LABELS
     city, regional = REMOTENESS_LABELS
     attributes = {
-        "cluster_id": F.col("SCHOOLID").cast("long"),
+        "cluster_id": id_number("SCHOOLID"),
         "stype": F.col("STYPE"),
         "arm": recode_equal("intcont", control_code, "Ctrl", "H"),
         "ses": recode_equal("SEIFACAT16", least_label, least, most),
@@ -79,8 +84,9 @@ def recode_long(
         )
     ).alias("first")
     return (
-        rows.withColumnRenamed("teacher_IDFIN", "unit")
-        .groupBy(F.col("unit").cast("long").alias("unit_id"))
+        rows.withColumn("unit_id", id_number("teacher_IDFIN"))
+        .where("unit_id is not null")
+        .groupBy("unit_id")
         .agg(first, *time_columns("time", "total_paCTA", TIMES))
         .select("unit_id", *[f"first.{name}" for name in attributes], *TIMES.values())
     )
@@ -97,3 +103,15 @@ def harmonise_trials(
     units = union_fill(recode_long(rows), recode_wide(wide, city_labels, arms))
     flagged = units.withColumn("cohort", cohort_flag("cluster_id", cohort_cut))
     return flagged.select(*UNIT_TABLE.fieldNames())
+
+
+def unreadable_ids(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per id column, how many present values are no number and become missing: (column_name, n_unreadable)."""
+    cells = [
+        F.struct(
+            F.lit(c).alias("column_name"),
+            F.count_if(F.col(c).isNotNull() & id_number(c).isNull()).alias("n_unreadable"),
+        )
+        for c in columns
+    ]
+    return rows.agg(F.array(*cells).alias("c")).select(F.inline("c"))

@@ -29,8 +29,8 @@ def _struct(*fields: tuple) -> T.StructType:
 
 
 WIDE_SOURCE = _struct(
-    ("tname", T.IntegerType(), False),
-    ("schoolid", T.IntegerType(), False),
+    ("tname", T.LongType(), False),
+    ("schoolid", T.LongType(), False),
     ("stype", T.StringType(), True),
     ("RA_name", T.StringType(), True),
     ("Decile", T.IntegerType(), True),
@@ -41,8 +41,8 @@ WIDE_SOURCE = _struct(
 )
 
 LONG_SOURCE = _struct(
-    ("teacher_IDFIN", T.IntegerType(), False),
-    ("SCHOOLID", T.IntegerType(), False),
+    ("teacher_IDFIN", T.LongType(), False),
+    ("SCHOOLID", T.LongType(), False),
     ("time", T.IntegerType(), True),
     ("total_paCTA", T.DoubleType(), True),
     ("intcont", T.IntegerType(), True),
