@@ -1,6 +1,7 @@
 """The regression from sums against dense algebra, and what is derived from it."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -262,3 +263,41 @@ def test_main_and_sensitivity_analyses(spark):
     assert 0 <= low.decisions().first().p_noninferior <= 1
     with pytest.raises(ValueError):
         interim.interim_analysis(units, preds, f)
+
+
+@pytest.mark.parametrize("clusters", [1e2, 1e4, 1e6, 1e9])
+def test_grid_resolves_any_number_of_clusters(clusters):
+    """Balanced clusters of ten from their sums alone: the spread of tau agrees with theory."""
+    n, sigma, tau = 10, 6.0, 4.0
+    between = sigma**2 + n * tau**2  # expected mean square between clusters
+    yy = clusters * ((n - 1) * sigma**2 + between)
+    tt = clusters * n * between
+    lam = np.exp(np.linspace(np.log(1e-8), np.log(1e6), model.COARSE_POINTS))
+    for _ in range(model.MOST_ROUNDS):
+        w, keep = lam / (1 + n * lam), 1 / (1 + n * lam)
+        frame = pd.DataFrame(
+            {
+                "lam": lam, "total": n * clusters, "logdet": clusters * np.log1p(n * lam), "c": yy - w * tt,
+                "a": [[n * clusters * k] for k in keep], "b": [[0.0] for _ in keep], "mean": [[1.0] for _ in keep],
+            }
+        )
+        lam, logp, (_, taus, _, _) = model._solve(frame, 1, model.Priors(), True)
+        grid, done = model.refine(lam, logp)
+        if done:
+            break
+        lam = np.array(grid)
+    assert done
+    p = np.exp(logp - logp.max())
+    p /= p.sum()
+    mean = (p * taus).sum()
+    got = np.sqrt((p * (taus - mean) ** 2).sum())
+    # tau^2 = (between - within) / n, with independent chi-square mean squares
+    var = (2 * between**2 / clusters + 2 * sigma**4 / (clusters * (n - 1))) / n**2
+    want = np.sqrt(var) / (2 * tau)
+    assert abs(mean / tau - 1) < (0.05 if clusters < 1e3 else 5e-3) and abs(got / want - 1) < (0.15 if clusters < 1e3 else 0.05)
+
+
+def test_draw_streams_differ_for_every_key():
+    keys = [("ab",), ("ba",), (-1,), (1,), ("1",)]
+    firsts = {tuple(model._stream(1, *k, 0).random(3)) for k in keys}
+    assert len(firsts) == len(keys)

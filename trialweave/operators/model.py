@@ -8,6 +8,7 @@ systems: a fixed number of small ones, whatever the size of the data.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
@@ -23,12 +24,16 @@ from trialweave.operators.joins import attach
 from trialweave.schema import FIT_SEED, PRIOR_COEFFICIENT_SD, PRIOR_SCALE, PRIOR_SCALE_DF
 from trialweave.session import cut_lineage
 
-MAX_TERMS = 60
 COARSE_POINTS = 71
 FINE_POINTS = 41
 SIGMA_POINTS = 31
-KEEP_LOG = 30.0
-MAX_DRAW_VALUES = 5_000_000
+#: Log weight below the peak that ends the grid (exp(-16) is 1e-7) and that bounds its fine part.
+KEEP_LOG, CORE_LOG = 16.0, 6.0
+#: Points in the fine part that make a grid fine enough, and rounds by which refinement gets there.
+RESOLVED_POINTS, MOST_ROUNDS = 9, 40
+MOST_POINTS = 401
+#: Draws made in one task.
+DRAWS_PER_TASK = 1000
 
 
 @dataclass(frozen=True)
@@ -131,8 +136,6 @@ def cluster_sums(
     """
     centre = centre or {}
     p = len(formula.names)
-    if p > MAX_TERMS:
-        raise ValueError(f"{p} design columns; at most {MAX_TERMS} are summed pairwise")
     y = F.col(formula.outcome).cast("double") - F.lit(float(centre.get(formula.outcome, 0.0)))
     xs = formula.columns(centre=centre)
     rows = df.select(
@@ -253,14 +256,38 @@ def _solve(pdf: pd.DataFrame, p: int, priors: Priors, want_beta: bool):
     return lam, logp, (sigma, tau, beta @ shift.T, cov)
 
 
+def refine(lam: np.ndarray, logp: np.ndarray) -> tuple[list[float], bool]:
+    """Next grid of variance ratios, and whether the given one already resolves the posterior.
+
+    It does if its ends are empty and enough points lie near the peak. The next grid is even over all that
+    carries weight, one step wider on both sides, widened by its own length where an end has weight, and
+    fine enough for the part near the peak.
+    """
+    profile = np.logaddexp.reduce(logp, axis=1)
+    log, top = np.log(lam), profile.max()
+
+    def span(keep: float) -> tuple[int, int]:
+        at = np.flatnonzero(profile > top - keep)
+        return int(at[0]), int(at[-1])
+
+    first, last = span(KEEP_LOG)
+    # a ratio of nothing or of everything is a limit of the scale, not an unexplored range
+    open_low, open_high = first == 0 and log[0] > -60, last == len(lam) - 1 and log[-1] < 60
+    wide = log[-1] - log[0]
+    lo = log[max(first - 1, 0)] - wide * open_low
+    hi = log[min(last + 1, len(lam) - 1)] + wide * open_high
+    a, b = span(CORE_LOG)
+    done = not (open_low or open_high) and b - a + 1 >= RESOLVED_POINTS
+    core = log[min(b + 1, len(lam) - 1)] - log[max(a - 1, 0)]
+    points = int(np.clip(np.ceil((hi - lo) / core * FINE_POINTS), FINE_POINTS, MOST_POINTS))
+    return np.exp(np.linspace(lo, hi, points)).tolist(), done
+
+
 def _zoom(pdf: pd.DataFrame, by: Sequence[str], p: int, priors: Priors) -> pd.DataFrame:
-    """Grid around the points that still carry weight, one step wider on both sides."""
     lam, logp, _ = _solve(pdf, p, priors, False)
-    profile = np.logaddexp.reduce(logp, axis=1)
-    near = np.flatnonzero(profile > profile.max() - KEEP_LOG)
-    lo, hi = max(near[0] - 1, 0), min(near[-1] + 1, len(lam) - 1)
-    grid = np.exp(np.linspace(np.log(lam[lo]), np.log(lam[hi]), FINE_POINTS))
-    return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in by}, "grid": grid.tolist()}])
+    grid, done = refine(lam, logp)
+    grid = np.sort(lam).tolist() if done else grid
+    return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in by}, "grid": grid, "done": done}])
 
 
 def _cells(
@@ -302,8 +329,8 @@ def fit_random_intercept(
 
     The data is read once for the means and once for the sums (and again for the cluster means, if
     predictions are asked for). Given the two variances the
-    coefficients are exactly Normal; the variances are summed out over a grid that is refined
-    twice around the posterior weight.
+    coefficients are exactly Normal; the variances are summed out over a grid that is refined and
+    widened until it resolves the posterior weight, however narrow many clusters make it.
     """
     priors = priors or Priors()
     p = len(formula.names)
@@ -314,15 +341,21 @@ def fit_random_intercept(
     clusters = cluster_sums(df, formula, keys, centre)
     sizes = cut_lineage(size_sums(clusters, p, keys), "size-sums")
     key_fields = [sizes.schema[k] for k in keys]
-    grid_schema = T.StructType([*key_fields, T.StructField("grid", T.ArrayType(T.DoubleType()))])
+    grid_schema = T.StructType(
+        [*key_fields, T.StructField("grid", T.ArrayType(T.DoubleType())), T.StructField("done", T.BooleanType())]
+    )
     start = np.exp(np.linspace(math.log(1e-8), math.log(1e6), COARSE_POINTS))
-    grid = F.array(*[F.lit(float(v)) for v in start])
-    systems = _systems(sizes, grid, p, keys)
-    for _ in range(2):
-        ranges = systems.groupBy(*keys).applyInPandas(
-            lambda pdf: _zoom(pdf, keys, p, priors), schema=grid_schema
+    systems = _systems(sizes, F.array(*[F.lit(float(v)) for v in start]), p, keys)
+    for _ in range(MOST_ROUNDS):
+        # one row per group; the groups that are resolved keep their grid
+        ranges = cut_lineage(
+            systems.groupBy(*keys).applyInPandas(lambda pdf: _zoom(pdf, keys, p, priors), schema=grid_schema), "grid"
         )
         systems = _systems(sizes.join(ranges, keys), F.col("grid"), p, keys)
+        if ranges.where("not done").isEmpty():
+            break
+    else:
+        raise RuntimeError("the grid of variance ratios does not resolve the posterior")
     fields = [
         *key_fields,
         T.StructField("cell", T.IntegerType()),
@@ -373,22 +406,32 @@ def variance_summary(fit: Fit) -> DataFrame:
     )
 
 
+def _stream(seed: int, *key) -> np.random.Generator:
+    """A random stream of its own for each seed and key, whatever the types and letters of the key."""
+    text = "\x1f".join([str(seed), *[f"{type(k).__name__}:{k}" for k in key]])
+    return np.random.default_rng(np.frombuffer(hashlib.sha256(text.encode()).digest(), dtype=np.uint32))
+
+
 def draws_from_fit(fit: Fit, ndraws: int, seed: int = FIT_SEED) -> DataFrame:
-    """``ndraws`` posterior draws per group: (by..., draw, sigma, tau, beta ARRAY)."""
+    """``ndraws`` posterior draws per group: (by..., draw, sigma, tau, beta ARRAY).
+
+    Tasks make a fixed number of draws each, from the group's cells, with a random stream of their own.
+    """
     p = len(fit.formula.names)
-    if ndraws * p > MAX_DRAW_VALUES:
-        raise ValueError("too many draws for one group of the fit table")
     keys = list(fit.by) or ["_all"]
     table = fit.table if fit.by else fit.table.withColumn("_all", F.lit(0))
+    parts = -(-ndraws // DRAWS_PER_TASK)
+    dealt = table.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cell")
-        label = [int(v) if isinstance(v, (int, np.integer)) else sum(map(ord, str(v))) for v in pdf[keys].iloc[0]]
-        rng = np.random.default_rng([seed, *[abs(v) for v in label]])
+        part = int(pdf["_part"].iloc[0])
+        n = min(DRAWS_PER_TASK, ndraws - part * DRAWS_PER_TASK)
+        rng = _stream(seed, *[v.item() if hasattr(v, "item") else v for v in pdf[keys].iloc[0]], part)
         w = pdf["weight"].to_numpy()
-        cell = np.minimum(np.searchsorted(np.cumsum(w), rng.random(ndraws)), len(w) - 1)
-        z = rng.standard_normal((ndraws, p))
-        beta = np.empty((ndraws, p))
+        cell = np.minimum(np.searchsorted(np.cumsum(w), rng.random(n)), len(w) - 1)
+        z = rng.standard_normal((n, p))
+        beta = np.empty((n, p))
         for i in np.unique(cell):
             cov = np.asarray(pdf["cov"].iloc[i]).reshape(p, p)
             value, vector = np.linalg.eigh((cov + cov.T) / 2)
@@ -397,7 +440,7 @@ def draws_from_fit(fit: Fit, ndraws: int, seed: int = FIT_SEED) -> DataFrame:
             beta[at] = np.asarray(pdf["beta"].iloc[i]) + z[at] @ root.T
         out = pd.DataFrame(
             {
-                "draw": np.arange(1, ndraws + 1, dtype=np.int32),
+                "draw": np.arange(1, n + 1, dtype=np.int32) + part * DRAWS_PER_TASK,
                 "sigma": pdf["sigma"].to_numpy()[cell],
                 "tau": pdf["tau"].to_numpy()[cell],
                 "beta": list(beta),
@@ -413,10 +456,25 @@ def draws_from_fit(fit: Fit, ndraws: int, seed: int = FIT_SEED) -> DataFrame:
         T.StructField("tau", T.DoubleType()),
         T.StructField("beta", T.ArrayType(T.DoubleType())),
     ]
-    out = table.groupBy(*keys).applyInPandas(draw, schema=T.StructType(fields))
+    out = dealt.groupBy(*keys, "_part").applyInPandas(draw, schema=T.StructType(fields))
     return out if fit.by else out.drop("_all")
 
 
+def incomplete_rows(df: DataFrame, formula: Formula, by: Sequence[str] = ()) -> DataFrame:
+    """Rows the fit leaves out, by reason: (by..., n_rows, n_no_outcome, n_no_cluster, n_no_predictor)."""
+    gone = F.lit(False)
+    for x in formula.columns()[1:]:
+        gone = gone | x.isNull()
+    seen = F.col(formula.outcome).isNotNull()
+    placed = F.col(formula.cluster).isNotNull()
+    return df.groupBy(*by).agg(
+        F.count("*").alias("n_rows"),
+        F.count_if(~seen).alias("n_no_outcome"),
+        F.count_if(seen & ~placed).alias("n_no_cluster"),
+        F.count_if(seen & placed & gone).alias("n_no_predictor"),
+    )
+
+
 def score_draws(
     rows: DataFrame,
     draws: DataFrame,
@@ -426,13 +484,14 @@ def score_draws(
     noise: bool = True,
     unit: str = "unit_id",
     hot: Sequence | None = None,
+    cluster_effect: bool = True,
 ) -> DataFrame:
     """Predictive value of every row under every draw: adds ``draw`` and ``pred``.
 
     ``draws(draw, sigma, tau, beta)`` is small by parameter and reaches the tasks as one array.
     The cluster effect is drawn from its conditional distribution given the cluster's observed
     mean; clusters without observed outcomes get a new effect. Without ``noise`` both the cluster
-    effect and the residual are at their expected values.
+    effect and the residual are at their expected values; without ``cluster_effect`` it is left out.
     """
     cells = F.struct("draw", "sigma", "tau", "beta")
     every = draws.agg(F.collect_list(cells).alias("draws")).scalar()
@@ -451,6 +510,9 @@ def score_draws(
         cluster, draw = F.col(formula.cluster), d["draw"]
         left = F.sqrt(tau2 * sigma2 / (sigma2 + n * tau2))
         effect = effect + left * hash_normal(cluster, draw, seed=seed, stream="cluster")
+    if not cluster_effect:
+        effect = F.lit(0.0)
+    if noise:
         effect = effect + d["sigma"] * hash_normal(
             F.col(unit), F.col("arm"), draw, seed=seed, stream="unit"
         )
