@@ -11,11 +11,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Bytes and rows of text that are hashed at once; a longer text makes a block of its own.
 BLOCK_BYTES, BLOCK_ROWS = 1 << 19, 2000
 WIDTH = 5
 
+#: Bytes of an Arrow batch on its way to a Python task and back.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -25,6 +30,15 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _powers: dict[str, np.ndarray] = {}
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after lowering the session's Arrow batches to 8 MB, on which a Python task's memory depends."""
+    conf = df.sparkSession.conf
+    now = str(conf.get(_BATCH, "0"))
+    if not (now.rstrip("b").isdigit() and 0 < int(now.rstrip("b")) <= BATCH_BYTES):
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit (in place)."""
     x ^= x >> np.uint64(30)

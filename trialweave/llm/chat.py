@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialweave.llm import blocks
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Strings with a meaning in this and in common templates; none is left as it is inside a text.
@@ -174,7 +176,7 @@ def format_conversations(
     """
     with open(tokenizer_path, "rb") as f:
         tokenizer = rows.sparkSession.sparkContext.broadcast(f.read())
-    plain = rows.select(
+    plain = blocks.small_batches(rows).select(
         F.col(conv_col).cast("long").alias("conv_id"),
         F.col(role_col).cast("string").alias("role"),
         F.col(text_col).cast("string").alias("text"),

@@ -118,7 +118,7 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Ids are cut into ranges by approximate quantiles; rows move once, to their range, and stream through
     a task in order. Each range borrows the first row of the next one.
     """
-    base = docs.select(
+    base = blocks.small_batches(docs).select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(_FIRST)).alias("k"),
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),

@@ -231,7 +231,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
     words, an unseen word counting 0.5. ``order_k`` counts the words scored at order k. Texts without
     words score 0 (mean NULL). Repeated rows vouch for each other; rows without id are scored alike.
     """
-    base = docs.select(
+    base = blocks.small_batches(docs).select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
     size, words = base.mapInArrow(_measure, "size long, words long").agg(

@@ -246,7 +246,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of its smallest id is kept. A row without id is compared with nothing, is its own component
     (NULL) and is kept. Other columns are ignored.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = blocks.small_batches(docs).select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
+    )
     signed = cut_lineage(base.mapInArrow(_signatures, SIGNATURES), "signatures")
     known = signed.where("doc_id is not null and n > 0")
     classes = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"))

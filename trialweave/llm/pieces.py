@@ -34,7 +34,7 @@ from trialweave.llm import blocks
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words and pairs of pieces a worker remembers; beyond, it forgets all and starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 _UNKNOWN_PENALTY = 10.0
 #: Bytes of text that are encoded, and ids that are decoded, at once.
 ENCODED, DECODED = 1 << 20, 1 << 19
@@ -306,6 +306,7 @@ def _encode(batches: Iterator[pa.RecordBatch], model, at: int) -> Iterator[pa.Re
             ids, edges = pieces.encode([t or "" for t in part.column(at).to_pylist()])
             columns = [c for i, c in enumerate(part.columns) if i != at]
             lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids))
+            pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(np.diff(edges)), lists], names=[f"c{i}" for i in range(len(columns) + 2)]
             )
@@ -322,7 +323,7 @@ def encode(docs: DataFrame, text_col: str = "text", model_path: str = MODEL) ->
         raise ValueError(f"columns {sorted(clash)} are in the table already")
     at = docs.columns.index(text_col)
     kept = [f for f in docs.schema.fields if f.name != text_col]
-    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    plain = blocks.small_batches(docs).toDF(*[f"c{i}" for i in range(len(docs.columns))])
     fields = [StructField(f"c{i}", f.dataType) for i, f in enumerate(kept)]
     fields += [StructField(f"c{len(kept)}", LongType()), StructField(f"c{len(kept) + 1}", ArrayType(IntegerType()))]
     model = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
@@ -347,7 +348,7 @@ def _decode(batches: Iterator[pa.RecordBatch], model, at: int) -> Iterator[pa.Re
 def decode(tokens: DataFrame, ids_col: str = "token_ids", model_path: str = MODEL) -> DataFrame:
     """``tokens`` with the text of its ids as last column ``decoded``; missing ids give a missing text."""
     at = tokens.columns.index(ids_col)
-    plain = tokens.toDF(*[f"c{i}" for i in range(len(tokens.columns))])
+    plain = blocks.small_batches(tokens).toDF(*[f"c{i}" for i in range(len(tokens.columns))])
     model = tokens.sparkSession.sparkContext.broadcast(read_model(model_path))
     kind = StructType([*plain.schema.fields, StructField("d", StringType())])
     return plain.mapInArrow(partial(_decode, model=model, at=at), kind).toDF(*tokens.columns, "decoded")

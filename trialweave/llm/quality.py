@@ -106,7 +106,7 @@ def _append(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBat
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with its columns renamed c0, c1, ... and a last column ``statistics``; nothing is shuffled."""
     at = docs.columns.index(text_col)
-    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    plain = blocks.small_batches(docs).toDF(*[f"c{i}" for i in range(len(docs.columns))])
     kind = StructType([*plain.schema.fields, StructField("statistics", ArrayType(DoubleType()))])
     return plain.mapInArrow(partial(_append, at=at), kind)
 
