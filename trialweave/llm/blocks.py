@@ -33,7 +33,7 @@ _powers: dict[str, np.ndarray] = {}
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``, after lowering the session's Arrow batches to 8 MB, on which a Python task's memory depends."""
     conf = df.sparkSession.conf
-    now = str(conf.get(_BATCH, "0"))
+    now = str(conf.get(_BATCH))
     if not (now.rstrip("b").isdigit() and 0 < int(now.rstrip("b")) <= BATCH_BYTES):
         conf.set(_BATCH, str(BATCH_BYTES))
     return df
