@@ -29,7 +29,7 @@ ORDER, ALPHA = 3, 0.4
 #: Count of a word that no other document has.
 UNSEEN = 0.5
 #: Bytes of text per chunk, and chunks' worth of n-grams per hash range.
-CHUNK_BYTES, CHUNKS_PER_RANGE = 6 << 20, 1
+CHUNK_BYTES, CHUNKS_PER_RANGE = 3 << 20, 1
 #: Bits of an n-gram's hash above those that number the n-grams: one lookup in 2**SPARE_BITS (to 64 bits)
 #: meets another n-gram's count, at any size of the corpus.
 SPARE_BITS = 28
@@ -64,12 +64,12 @@ class _Grams:
     def __init__(self, column: pa.Array, order: int, bits: int) -> None:
         w = blocks.words(column)
         self.sizes = w.last - w.first
-        self.text = np.repeat(np.arange(len(w.first)), self.sizes)
+        self.text = np.repeat(np.arange(len(w.first), dtype=np.int32), self.sizes)
         # words in front of a word within its text
         self.depth = np.arange(len(w.hashes)) - np.repeat(w.first, self.sizes)
         hashes, ends = [], []
         for n in range(1, order + 1):
-            at = np.flatnonzero(self.depth >= n - 1)
+            at = np.flatnonzero(self.depth >= n - 1).astype(np.int32)
             hashes.append(blocks.ngram_hashes(w.hashes, n)[at - (n - 1)] >> np.uint64(64 - bits))
             ends.append(at)
         self.cuts = np.cumsum([0, *map(len, ends)])
@@ -184,13 +184,17 @@ def _scores(docs: pa.Table, answers: pa.Table, order: int, words: int, bits: int
     ranked = every[rank]
     number = np.empty(len(every), dtype=np.int64)
     number[rank] = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]])) if len(every) else 0
+    del every, rank, ranked
     others = totals[number].astype(np.float64)
     # less the n-gram's count in its own document
-    pair = number * max(int(firsts[-1]), 1) + owner
-    rank = np.argsort(pair)
-    starts = _runs(pair[rank])
-    length = np.diff(np.append(starts, len(pair)))
+    number *= max(int(firsts[-1]), 1)
+    number += owner
+    del owner
+    rank = np.argsort(number)
+    starts = _runs(number[rank])
+    length = np.diff(np.append(starts, len(number)))
     others[rank] -= np.repeat(length, length)
+    del number, rank, starts, length
 
     names = [f"order_{n}" for n in range(order, 0, -1)]
     out: dict[str, list] = {c: [] for c in ("n_words", *names, "log_score")}
@@ -219,6 +223,7 @@ def _scores(docs: pa.Table, answers: pa.Table, order: int, words: int, bits: int
         for k in range(1, order + 1):
             out[f"order_{k}"].append(np.bincount(g.text[used == k], minlength=n_texts))
     kinds = {c: np.float64 if c == "log_score" else np.int64 for c in out}
+    pa.default_memory_pool().release_unused()
     flat = {c: np.concatenate([np.zeros(0), *v]).astype(kinds[c]) for c, v in out.items()}
     return pa.table({"doc_id": docs.column("doc_id"), **{c: pa.array(v) for c, v in flat.items()}})
 
