@@ -631,6 +631,49 @@ scored as (
     from scored group by 1, 2""",
 )
 
+SCORED = """
+beta as (select imp, avg(b_h) as bh, avg(b_l) as bl from v_draws group by imp),
+means as (
+  select cluster_id, count(*) as n, avg(outcome) as ym, avg(case when arm = 'H' then 1.0 else 0.0 end) as hm,
+    avg(case when arm = 'L' then 1.0 else 0.0 end) as lm, avg(baseline) as bm
+  from v_unit where baseline is not null and outcome is not null group by 1),
+parts as (
+  select u.cohort, imp,
+    361.0::double / 9 + case when u.arm = 'H' then bh when u.arm = 'L' then bl else 0 end + imp * 0.1::double * baseline as line,
+    coalesce(n, 0) * 25.0::double / (400 + coalesce(n, 0) * 25)
+      * coalesce(ym - (361.0::double / 9 + bh * hm + bl * lm + imp * 0.1::double * bm), 0) as effect
+  from v_unit u cross join beta left join means m on m.cluster_id = u.cluster_id),
+per as (select cohort, imp, var_samp(line) / var_samp(line + effect) as ratio from parts group by 1, 2)"""
+add(
+    "q_variance_decomposition",
+    UNITS + "," + DRAWS + "," + SCORED,
+    """select cohort, count(ratio) as n_draws, round(avg(ratio), 6) as mean,
+      round(quantile_cont(ratio, 0.5), 6) as median, round(quantile_cont(ratio, 0.025), 6) as lower,
+      round(quantile_cont(ratio, 0.975), 6) as upper from per group by 1""",
+)
+add(
+    "q_gls_fixed",
+    UNITS
+    + """,
+sums as (
+  select count(*)::double as n, sum(cohort)::double as s, sum(cohort * cohort)::double as q, sum(outcome) as t,
+    sum(cohort * outcome) as r from v_unit where outcome is not null group by cluster_id),
+system as (
+  select sum(n / (1 + n * 0.25::double)) as a00, sum(s / (1 + n * 0.25::double)) as a01,
+    sum(q - 0.25::double / (1 + n * 0.25::double) * s * s) as a11, sum(t / (1 + n * 0.25::double)) as b0,
+    sum(r - 0.25::double / (1 + n * 0.25::double) * s * t) as b1 from sums)""",
+    """select round((a11 * b0 - a01 * b1) / (a00 * a11 - a01 * a01), 6) as intercept,
+      round((a00 * b1 - a01 * b0) / (a00 * a11 - a01 * a01), 6) as slope from system""",
+)
+add(
+    "q_left_out",
+    UNITS,
+    """select cohort, count(*) as n_rows, count(*) filter (where outcome is null) as n_no_outcome,
+      count(*) filter (where outcome is not null and cluster_id is null) as n_no_cluster,
+      count(*) filter (where outcome is not null and cluster_id is not null and ses is null) as n_no_predictor
+    from v_unit group by 1""",
+)
+
 # Imputation
 # A donor's place among those with equal predictions, and the choice among them, follow from md5.
 DONOR_ORDER = "cast('0x' || substr(md5(cast({id} as varchar) || '|{seed}|donor'), 1, 12) as bigint)"

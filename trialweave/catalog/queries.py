@@ -565,11 +565,7 @@ def q_score_mean(v: Views) -> DataFrame:
     formula = model.Formula("outcome", "cluster_id", {"arm": ARMS}, ("baseline",))
     units = v.units
     means = model.cluster_means(model.cluster_sums(units, formula), formula)
-    draws = v.draws.groupBy(F.col("imp").alias("draw")).agg(
-        F.lit(20.0).alias("sigma"),
-        F.lit(5.0).alias("tau"),
-        F.array(F.lit(361.0 / 9.0), F.avg("b_h"), F.avg("b_l"), F.first("imp") * 0.1).alias("beta"),
-    )
+    draws = _draw_means(v)
     rows = reshape.expand_arms(units.select("unit_id", "cluster_id", "arm", "baseline"), ARMS)
     scored = model.score_draws(rows, draws, formula, means, noise=False, hot=v.hot_clusters)
     out = scored.groupBy("cluster_id", "arm").agg(
@@ -578,13 +574,47 @@ def q_score_mean(v: Views) -> DataFrame:
     return rounded(out, "mean_pred")
 
 
+def _draw_means(v: Views) -> DataFrame:
+    return v.draws.groupBy(F.col("imp").alias("draw")).agg(
+        F.lit(20.0).alias("sigma"),
+        F.lit(5.0).alias("tau"),
+        F.array(F.lit(361.0 / 9.0), F.avg("b_h"), F.avg("b_l"), F.first("imp") * 0.1).alias("beta"),
+    )
+
+
 @query
-def q_score_draws(v: Views) -> DataFrame:
-    """Spread of the predictions with cluster and residual noise."""
+def q_variance_decomposition(v: Views) -> DataFrame:
+    """Share of the predictive variance without cluster effects, per cohort, on given draws."""
+    formula = model.Formula("outcome", "cluster_id", {"arm": ARMS}, ("baseline",))
     units = cut_lineage(v.units, "units")
-    fit = model.fit_random_intercept(units, v.formula)
-    preds = interim.counterfactual_predictions(units, fit, ndraws=10, hot=v.hot_clusters)
-    return preds.groupBy("arm", "imp").agg(
+    means = model.cluster_means(model.cluster_sums(units, formula), formula)
+    out = interim.variance_decomposition(
+        units, _draw_means(v), formula, means, ["cohort"], noise=False, hot=v.hot_clusters
+    )
+    return rounded(out, "mean", "median", "lower", "upper")
+
+
+@query
+def q_gls_fixed(v: Views) -> DataFrame:
+    """Coefficients of the outcome on the cohort at a fixed ratio of the variances."""
+    formula = model.Formula("outcome", "cluster_id", {}, ("cohort",))
+    sizes = model.size_sums(model.cluster_sums(v.units, formula), 2)
+    beta = F.col("beta")
+    return model.gls_coefficients(sizes, 2, 0.25).select(
+        F.round(beta[0], 6).alias("intercept"), F.round(beta[1], 6).alias("slope")
+    )
+
+
+@query
+def q_left_out(v: Views) -> DataFrame:
+    """Rows that the fit of each cohort leaves out once baselines are imputed, by reason."""
+    return model.incomplete_rows(_imputed(v), v.formula, ["cohort"])
+
+
+@query
+def q_score_draws(v: Views) -> DataFrame:
+    """Spread of the predictions with cluster and residual noise, on imputed units."""
+    return _prepared(v).predictions.groupBy("arm", "imp").agg(
         F.count("pred").alias("n"), F.avg("pred").alias("mean"), F.stddev_samp("pred").alias("sd")
     )
 
@@ -605,9 +635,22 @@ def q_pmm_candidates(v: Views) -> DataFrame:
     return impute.draw_donors(donors, open_rows, 1, SEED).select("unit_id", "donor_id", "distance", "y")
 
 
+FACTORS = {"arm": ARMS, "stype": SEGMENTS, "remoteness": ("Major Cities", "Regional/Remote")}
+#: Posterior draws behind the predictions of the registered re-analyses.
+NDRAWS = 3
+
+
 def _imputed(v: Views) -> DataFrame:
-    factors = {"arm": ARMS, "stype": SEGMENTS, "remoteness": ("Major Cities", "Regional/Remote")}
-    return impute.impute_pmm(v.units, "baseline", factors, ("cohort",), seed=SEED)
+    return impute.impute_pmm(cut_lineage(v.units, "units"), "baseline", FACTORS, ("cohort",), seed=SEED)
+
+
+def _prepared(v: Views) -> interim.Prepared:
+    """Imputed units with the fit and the predictions that every re-analysis starts from.
+
+    The test tables' values are unrelated to the candidates, so that a screen would keep none; all are used.
+    """
+    units = cut_lineage(v.units, "units")
+    return interim.prepare(units, v.formula, FACTORS, ("cohort",), 0.0, NDRAWS, hot=v.hot_clusters)
 
 
 @query
@@ -660,7 +703,7 @@ def _early_high(v: Views) -> DataFrame:
 
 
 def _within_arm(v: Views) -> DataFrame:
-    return interim.within_arm_data(v.units, _early_high(v), "H", v.hot_clusters)
+    return interim.within_arm_data(_imputed(v), _early_high(v), "H", v.hot_clusters)
 
 
 @query
@@ -672,51 +715,78 @@ def q_within_arm_data(v: Views) -> DataFrame:
 
 @query
 def q_within_arm_result(v: Views) -> DataFrame:
+    """The two source trials inside one arm, on imputed units, with priors that follow the data."""
     formula = model.Formula(
         "outcome",
         "cluster_id",
-        {"trial": ("Noninf", "Sup"), "ses": SES, "stype": SEGMENTS},
+        {
+            "trial": ("Noninf", "Sup"),
+            "ses": SES,
+            "remoteness": ("Major Cities", "Regional/Remote"),
+            "stype": SEGMENTS,
+        },
         ("baseline",),
     )
-    below, contrast = interim.within_arm_comparison(_within_arm(v), formula)
+    below, contrast = interim.within_arm_comparison(cut_lineage(_within_arm(v), "within-arm"), formula)
     return contrast.withColumn("p_below_zero", below.scalar())
 
 
+def _interim(v: Views, part: int) -> interim.Analysis:
+    ready = _prepared(v)
+    return interim.interim_analysis(
+        ready.units, ready.predictions, v.formula, cut=v.share_of_clusters(part), hot=v.hot_clusters
+    )
+
+
 @query
 def q_interim_decisions(v: Views) -> DataFrame:
-    out = interim.interim_analysis(
-        cut_lineage(v.units, "units"), v.preds, v.formula, cut=v.share_of_clusters(56), hot=v.hot_clusters
-    )
-    return out.decisions()
+    return _interim(v, 56).decisions()
 
 
 @query
 def q_interim_contrasts(v: Views) -> DataFrame:
-    out = interim.interim_analysis(
-        cut_lineage(v.units, "units"), v.preds, v.formula, cut=v.share_of_clusters(37), hot=v.hot_clusters
+    return _interim(v, 37).contrasts()
+
+
+def _in_deciles(v: Views, low: int, high: int) -> DataFrame:
+    return v.clusters.where(F.col("decile").between(low, high)).select("cluster_id")
+
+
+def _two_stage_analysis(v: Views, second: DataFrame | None = None) -> interim.Analysis:
+    ready = _prepared(v)
+    first = _in_deciles(v, 1, 5)
+    return interim.two_stage_analysis(
+        ready.units, ready.predictions, v.formula, first, second, hot=v.hot_clusters
     )
-    return out.contrasts()
 
 
 @query
 def q_two_stage_decisions(v: Views) -> DataFrame:
-    data = cut_lineage(_two_stage(v, cut_lineage(v.units, "units")), "two-stage")
-    return interim.analyse(data, v.formula).decisions()
+    return _two_stage_analysis(v).decisions()
+
+
+@query
+def q_two_stage_contrasts(v: Views) -> DataFrame:
+    """Both stages, the second one an explicit list of clusters."""
+    return _two_stage_analysis(v, _in_deciles(v, 6, 8)).contrasts()
+
+
+@query
+def q_two_stage_units(v: Views) -> DataFrame:
+    """How many units of the two-stage analysis stand in each arm and imputation."""
+    data = _two_stage_analysis(v, _in_deciles(v, 6, 8)).data
+    return data.groupBy("arm", "imp").agg(F.count("*").alias("n"), F.count("outcome").alias("n_outcome"))
 
 
 @query
 def q_main_contrasts(v: Views) -> DataFrame:
     """Imputation, fit and pairwise contrasts on all units."""
-    factors = {"arm": ARMS, "stype": SEGMENTS, "remoteness": ("Major Cities", "Regional/Remote")}
-    units = cut_lineage(v.units, "units")
-    found, _ = interim.main_analysis(units, v.formula, factors, ("cohort",), mincor=0.0, hot=v.hot_clusters)
-    return found.contrasts()
+    return _prepared(v).main.contrasts()
 
 
 @query
 def q_sensitivity_decisions(v: Views) -> DataFrame:
-    factors = {"arm": ARMS, "stype": SEGMENTS, "remoteness": ("Major Cities", "Regional/Remote")}
     found, _ = interim.exclusion_sensitivity(
-        cut_lineage(v.units, "units"), _early_high(v), v.formula, factors, ("cohort",), hot=v.hot_clusters
+        cut_lineage(v.units, "units"), _early_high(v), v.formula, FACTORS, ("cohort",), hot=v.hot_clusters
     )
     return found.decisions()

@@ -125,18 +125,24 @@ def split_rhat(
 
 
 def variance_ratio(
-    predictions: DataFrame, draw: str, without: str, whole: str, range_rows: int | None = None
+    predictions: DataFrame,
+    draw: str,
+    without: str,
+    whole: str,
+    range_rows: int | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Per draw the variance of predictions without cluster effects over that with them, then the
-    mean, median and 95% interval over draws."""
-    per = predictions.groupBy(draw).agg(
-        F.try_divide(F.var_samp(without), F.var_samp(whole)).alias("ratio")
+    mean, median and 95% interval over draws, per group."""
+    per = cut_lineage(
+        predictions.groupBy(*by, draw).agg(F.try_divide(F.var_samp(without), F.var_samp(whole)).alias("ratio")),
+        "ratios",
     )
-    mean = per.agg(F.count("ratio").alias("n_draws"), F.avg("ratio").alias("mean"))
+    mean = per.groupBy(*by).agg(F.count("ratio").alias("n_draws"), F.avg("ratio").alias("mean"))
     ends = group_quantiles(
-        per, [], "ratio", {"median": 0.5, "lower": 0.025, "upper": 0.975}, "linear", range_rows
+        per, by, "ratio", {"median": 0.5, "lower": 0.025, "upper": 0.975}, "linear", range_rows
     )
-    return mean.join(ends.withColumnRenamed("n_values", "n_draws"), "n_draws")
+    return mean.join(ends.withColumnRenamed("n_values", "n_draws"), [*by, "n_draws"])
 
 
 def pair_label(a: str, b: str) -> str:

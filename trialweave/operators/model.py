@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from trialweave.functions.noise import hash_normal
 from trialweave.operators.joins import attach
+from trialweave.operators.ranges import group_quantiles
 from trialweave.schema import FIT_SEED, PRIOR_COEFFICIENT_SD, PRIOR_SCALE, PRIOR_SCALE_DF
 from trialweave.session import cut_lineage
 
@@ -89,10 +90,30 @@ class Formula:
 
 @dataclass(frozen=True)
 class Priors:
+    """Normal priors of the coefficients (an infinite spread is flat), half-t priors of both scales.
+
+    ``intercept_mean`` is on the scale of the outcome; None puts the intercept's prior at its mean.
+    """
+
     coefficient_sd: float = PRIOR_COEFFICIENT_SD
     intercept_sd: float = PRIOR_COEFFICIENT_SD
     scale: float = PRIOR_SCALE
     scale_df: float = PRIOR_SCALE_DF
+    intercept_mean: float | None = None
+
+
+def default_priors(df: DataFrame, outcome: str, least: float = 2.5) -> Priors:
+    """Priors that follow the data: flat coefficients, an intercept at the outcome's median, scales of its spread.
+
+    The spread is the median absolute deviation from the median times 1.4826, and ``least`` at least.
+    """
+    seen = df.where(F.col(outcome).isNotNull()).select(F.col(outcome).cast("double").alias("y"))
+    middle = group_quantiles(seen, [], "y", {"m": 0.5}).first()
+    if middle is None:
+        return Priors(coefficient_sd=math.inf)
+    away = seen.select(F.abs(F.col("y") - middle.m).alias("d"))
+    spread = max(least, 1.4826 * group_quantiles(away, [], "d", {"m": 0.5}).first().m)
+    return Priors(math.inf, spread, spread, PRIOR_SCALE_DF, middle.m)
 
 
 @dataclass(frozen=True)
@@ -236,7 +257,7 @@ def _solve(pdf: pd.DataFrame, p: int, priors: Priors, want_beta: bool):
     b = b @ shift
     p0 = np.full(p, priors.coefficient_sd**-2.0)
     p0[0] = priors.intercept_sd**-2.0
-    ridge = np.diag(p0 * 1e-6)
+    ridge = np.diag(p0 * 1e-6) if p0.all() else np.diag(1e-12 * np.diagonal(a[0]))
     rss = c - np.einsum("gi,gi->g", b, np.linalg.solve(a + ridge, b[..., None])[..., 0])
     centre = 0.5 * np.log(np.maximum(rss, 1e-300) / max(total - p, 1.0))
     step = 7.0 / math.sqrt(2.0 * max(total - p, 2.0))
@@ -245,6 +266,7 @@ def _solve(pdf: pd.DataFrame, p: int, priors: Priors, want_beta: bool):
     tau = sigma * np.sqrt(lam)[:, None]
     prec = a[:, None] / sigma[..., None, None] ** 2 + np.diag(p0)
     rhs = b[:, None] / sigma[..., None] ** 2
+    rhs[..., 0] += p0[0] * (priors.intercept_mean or 0.0)  # from the outcome's mean on
     beta = np.linalg.solve(prec, rhs[..., None])[..., 0]
     _, logprec = np.linalg.slogdet(prec)
     fit = c[:, None] / sigma**2 - np.einsum("gsi,gsi->gs", rhs, beta)
@@ -338,6 +360,8 @@ def fit_random_intercept(
     if not by:
         df = df.withColumn("_all", F.lit(0))
     centre = centring(df, formula)
+    if priors.intercept_mean is not None:
+        priors = replace(priors, intercept_mean=priors.intercept_mean - centre[formula.outcome])
     clusters = cluster_sums(df, formula, keys, centre)
     sizes = cut_lineage(size_sums(clusters, p, keys), "size-sums")
     key_fields = [sizes.schema[k] for k in keys]
@@ -519,3 +543,14 @@ def score_draws(
     return scored.withColumn("draw", d["draw"]).withColumn("pred", line + effect).drop(
         "_d", "n", "y_mean", "x_mean"
     )
+
+
+def gls_coefficients(sizes: DataFrame, p: int, lam: float, by: Sequence[str] = ()) -> DataFrame:
+    """Coefficients at a fixed ratio of cluster to residual variance, without priors: (by..., beta ARRAY)."""
+    systems = _systems(sizes, F.array(F.lit(float(lam))), p, list(by))
+
+    @F.pandas_udf("array<double>")
+    def solve(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([np.linalg.solve(np.reshape(x, (p, p)), np.asarray(y)).tolist() for x, y in zip(a, b)])
+
+    return systems.select(*by, solve("a", "b").alias("beta"))

@@ -26,6 +26,7 @@ from trialweave.operators.decide import (
     direction_prob_from_fit,
     pairwise_contrasts,
     pool_probabilities,
+    variance_ratio,
 )
 from trialweave.operators.impute import impute_pmm, screened_predictors
 from trialweave.operators.joins import (
@@ -39,6 +40,7 @@ from trialweave.operators.model import (
     Fit,
     Formula,
     Priors,
+    default_priors,
     draws_from_fit,
     fit_random_intercept,
     score_draws,
@@ -89,9 +91,23 @@ def stage_data(
     table carries joins the strata do not need.
     """
     source = units if strata_from is None else strata_from
-    first = representative_units(source.select("unit_id", "cluster_id", *strata))
+    assigned = assigned_clusters(source, arms, strata, seed, independent_strata)
+    return with_predictions(units, assigned, preds, hot)
+
+
+def assigned_clusters(
+    units: DataFrame, arms: Sequence[str], strata: Sequence[str], seed: int, independent_strata: bool = False
+) -> DataFrame:
+    """(cluster_id, treatment): the clusters of the units, assigned in blocks."""
+    first = representative_units(units.select("unit_id", "cluster_id", *strata))
     clusters = cut_lineage(first.drop("unit_id"), "clusters")  # one row per cluster, read twice
-    assigned = assign_blocks(clusters, strata, arms, seed, "cluster_id", independent_strata)
+    return assign_blocks(clusters, strata, arms, seed, "cluster_id", independent_strata).select("cluster_id", "treatment")
+
+
+def with_predictions(
+    units: DataFrame, assigned: DataFrame, preds: DataFrame, hot: Sequence | None = None
+) -> DataFrame:
+    """The units under their new arms, with the outcome predicted where the arm changed."""
     placed = attach_new_arm(units, assigned, hot=hot)
     return predictions_matched(placed, preds).withColumn(
         "outcome", substitute_outcome("outcome", "old_arm", "arm", "pred")
@@ -109,9 +125,9 @@ def two_stage_data(
     hot: Sequence | None = None,
 ) -> DataFrame:
     """A first stage with all arms and a second stage, on other clusters, with an arm dropped."""
-    one = stage_data(first, preds, first_arms, strata, seed, hot=hot)
-    two = stage_data(second, preds, second_arms, strata, seed, hot=hot)
-    return union_strict(one, two)
+    one = assigned_clusters(first, first_arms, strata, seed)
+    two = assigned_clusters(second, second_arms, strata, seed)
+    return with_predictions(union_strict(first, second), union_strict(one, two), preds, hot)
 
 
 @dataclass(frozen=True)
@@ -209,17 +225,48 @@ def counterfactual_predictions(
 ) -> DataFrame:
     """Predictions of every unit under every arm, one set per posterior draw (as ``imp``).
 
-    The fit is one without groups, as the model of a single imputation is.
+    The fit is one without groups, as the model of a single imputation is. Units with a missing predictor
+    have no prediction and no row; ``incomplete_rows`` counts them.
     """
     if fit.by:
         raise ValueError("predictions come from one fit, not from one per group")
     rows = expand_arms(imputed.drop("imp", "id"), arms)
     draws = draws_from_fit(fit, ndraws, seed)
     scored = score_draws(rows, draws, fit.formula, fit.cluster_means, seed, hot=hot)
+    scored = scored.where(F.col("pred").isNotNull())
     return scored.select("unit_id", "arm", "old_arm", "pred", F.col("draw").cast("int").alias("imp"))
 
 
-def main_analysis(
+def variance_decomposition(
+    rows: DataFrame,
+    draws: DataFrame,
+    formula: Formula,
+    cluster_means: DataFrame,
+    by: Sequence[str] = (),
+    seed: int = FIT_SEED,
+    noise: bool = True,
+    hot: Sequence | None = None,
+) -> DataFrame:
+    """Share of the predictive variance that is left without the cluster effects, per group, over draws."""
+    whole = score_draws(rows, draws, formula, cluster_means, seed, noise, hot=hot)
+    without = score_draws(rows, draws, formula, cluster_means, seed, noise, hot=hot, cluster_effect=False)
+    both = whole.select(*by, "draw", F.col("pred").alias("whole"), F.lit(None).cast("double").alias("without"))
+    both = both.unionByName(
+        without.select(*by, "draw", F.lit(None).cast("double").alias("whole"), F.col("pred").alias("without"))
+    )
+    return variance_ratio(both, "draw", "without", "whole", by=by)
+
+
+@dataclass(frozen=True)
+class Prepared:
+    """What every re-analysis starts from: imputed units, their fit, and predictions under every arm."""
+
+    units: DataFrame
+    main: Analysis
+    predictions: DataFrame
+
+
+def prepare(
     units: DataFrame,
     formula: Formula,
     factors: dict[str, Sequence[str]],
@@ -229,16 +276,33 @@ def main_analysis(
     seed: int = FIT_SEED,
     priors: Priors | None = None,
     hot: Sequence | None = None,
-) -> tuple[Analysis, DataFrame]:
-    """Impute missing baselines once, fit, and predict every unit under every arm.
+) -> Prepared:
+    """Impute missing baselines once, fit, and predict every unit under every arm; all of it written.
 
-    ``factors`` and ``numeric`` are the candidate predictors of the baseline; those correlated with
-    it or with its missingness are used.
+    ``factors`` and ``numeric`` are the candidate predictors of the baseline; those correlated with it or
+    with its missingness are used. Where none is, every observed baseline is an equally likely donor.
     """
     used, plain = screened_predictors(units, "baseline", factors, numeric, mincor)
     imputed = cut_lineage(impute_pmm(units, "baseline", used, plain, seed=seed), "imputed")
-    found = analyse(imputed, formula, (), priors=priors, seed=seed)
-    return found, counterfactual_predictions(imputed, found.fit, ndraws, seed, hot=hot)
+    main = analyse(imputed, formula, (), priors=priors, seed=seed)
+    made = counterfactual_predictions(imputed, main.fit, ndraws, seed, hot=hot)
+    return Prepared(imputed.drop("imp"), main, cut_lineage(made, "predictions"))
+
+
+def main_analysis(
+    units: DataFrame,
+    formula: Formula,
+    factors: dict[str, Sequence[str]],
+    numeric: Sequence[str] = (),
+    mincor: float = 0.1,
+    ndraws: int = 100,
+    seed: int = FIT_SEED,
+    priors: Priors | None = None,
+    hot: Sequence | None = None,
+) -> tuple[Analysis, DataFrame]:
+    """The fit on the imputed units and the predictions of ``prepare``."""
+    ready = prepare(units, formula, factors, numeric, mincor, ndraws, seed, priors, hot)
+    return ready.main, ready.predictions
 
 
 def exclusion_sensitivity(
@@ -277,7 +341,11 @@ def within_arm_comparison(
     data: DataFrame, formula: Formula, ndraws: int = 1000, seed: int = FIT_SEED,
     priors: Priors | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Contrast of the two source trials inside one arm: direction probability and interval."""
+    """Contrast of the two source trials inside one arm: direction probability and interval.
+
+    Without given priors they follow the data: flat coefficients, scales of the outcome's spread.
+    """
+    priors = priors or default_priors(data, formula.outcome)
     fit = fit_random_intercept(data, formula, (), priors)
     levels = formula.factors["trial"]
     coefficient = f"trial_{levels[1]}"
