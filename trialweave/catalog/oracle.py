@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from trialweave.bindings import IMPUTATIONS, SEGMENTS
-from trialweave.schema import ARMS, FIT_SEED, NONINFERIORITY_MARGIN, SENSITIVITY_SEED
+from trialweave.schema import ARMS, ASSIGNMENT_SEED, FIT_SEED, NONINFERIORITY_MARGIN, SENSITIVITY_SEED
 
 SEED = 1
 
@@ -292,7 +292,7 @@ def chisq_sql(x: str) -> str:
 add("q_test_chisq", REPS, " union all ".join(chisq_sql(x) for x in CATEGORICAL))
 
 
-def ranksum_sql(x: str) -> str:
+def ranksum_sql(x: str, source: str = "v_unit") -> str:
     return f"""select '{x}' as variable, cast(n1 as bigint) as n_first, cast(n2 as bigint) as n_second, round(w, 6) as w,
       round(tie, 6) as tie_term,
       round((w - n1 * n2 / 2 - 0.5 * sign(w - n1 * n2 / 2))
@@ -304,12 +304,26 @@ def ranksum_sql(x: str) -> str:
         select case when cohort = 1 then 1 else 0 end as a,
           rank() over (order by {x}) + (count(*) over (partition by {x}) - 1) / 2.0 as mid,
           cast(count(*) over (partition by {x}) as double) * count(*) over (partition by {x}) - 1 as ties
-        from v_unit where {x} is not null))"""
+        from {source} where {x} is not null))"""
 
 
 add("q_test_ranksum", UNITS, " union all ".join(ranksum_sql(x) for x in ("baseline", "outcome", "decile")))
 
 
+add(
+    "q_compare_tests",
+    REPS,
+    " union all ".join(
+        [
+            f"""select variable, case when {"true" if two else "false"} and min_expected < 5 then 'fisher' else 'chisq' end as test,
+      statistic, min_expected < 5 as sparse from ({chisq_sql(x)})"""
+            for x, two in (("stype", False), ("ses", True), ("remoteness", True))
+        ]
+        + [f"""select variable, 'rank_sum' as test, w as statistic, false as sparse from ({ranksum_sql("base_pa", "v_rep")})"""]
+    ),
+)
+
+
 def fisher_sql(x: str, first: str) -> str:
     """Hypergeometric probabilities over all feasible tables, by log gamma."""
     log_p = (
@@ -754,6 +768,21 @@ placed as (
   from chosen c join ranked r on r.cluster_id = c.cluster_id)""",
     STAGE.format(units="placed"),
 )
+add(
+    "q_two_stage_units",
+    UNITS
+    + f""",
+chosen as (select *, decile <= 5 as early from v_unit where decile between 1 and 8),
+ranked as (
+  select *, row_number() over (partition by early, remoteness, stype order by cluster_id) as rownumber
+  from (select distinct cluster_id, remoteness, stype, early from chosen)),
+placed as (
+  select c.*, case when c.early then {arm_sql("r.rownumber", seed=str(ASSIGNMENT_SEED))}
+    else {arm_sql("r.rownumber", _ARMS2, str(ASSIGNMENT_SEED))} end as new_arm
+  from chosen c join ranked r on r.cluster_id = c.cluster_id)""",
+    """select new_arm as arm, cast(imp as integer) as imp, count(*) as n, count(outcome) as n_outcome
+    from placed cross join (values (1), (2), (3)) i(imp) group by 1, 2""",
+)
 add(
     "q_sensitivity_data",
     UNITS,

@@ -289,6 +289,12 @@ def q_compare_groups(v: Views) -> DataFrame:
     )
 
 
+@query
+def q_compare_tests(v: Views) -> DataFrame:
+    """The chosen test and its statistic per variable, without p-values."""
+    return rounded(q_compare_groups(v).drop("p_value"), "statistic")
+
+
 def _coded(v: Views) -> DataFrame:
     return v.units.select(
         "baseline",
