@@ -29,7 +29,7 @@ ORDER, ALPHA = 3, 0.4
 #: Count of a word that no other document has.
 UNSEEN = 0.5
 #: Bytes of text per chunk, and chunks' worth of n-grams per hash range.
-CHUNK_BYTES, CHUNKS_PER_RANGE = 3 << 20, 1
+CHUNK_BYTES, CHUNKS_PER_RANGE = 5 << 20, 1
 #: Bits of an n-gram's hash above those that number the n-grams: one lookup in 2**SPARE_BITS (to 64 bits)
 #: meets another n-gram's count, at any size of the corpus.
 SPARE_BITS = 28
