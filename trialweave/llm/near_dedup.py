@@ -251,7 +251,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     signed = cut_lineage(base.mapInArrow(_signatures, SIGNATURES), "signatures")
     known = signed.where("doc_id is not null and n > 0")
-    classes = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
+    # a table of its own, so that the joins below can split a set that very many rows have
+    classes = cut_lineage(known.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "sets")
     # one row per class: the row of its smallest id
     reps = cut_lineage(
         known.join(classes, "set_key").where("doc_id = rep").drop("rep").dropDuplicates(["doc_id"]), "classes"
