@@ -86,7 +86,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     split = total / shards * SPLIT_PART
     large = rows.groupBy("h").agg(F.sum("size").alias("group"), F.count("*").alias("m"))
     large = large.where((F.col("group") > split) & (F.col("m") > 1)).select("h", F.lit(True).alias("large"))
-    rows = rows.join(large, "h", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    # at most shards / SPLIT_PART rows, known to Spark as a small table, so that no text's rows meet in one task
+    rows = rows.join(cut_lineage(large, "large"), "h", "left").withColumn("large", F.coalesce("large", F.lit(False)))
     rows = cut_lineage(
         rows.withColumn("k", F.when(F.col("large"), F.coalesce("doc_id", F.lit(_FIRST))).otherwise(F.lit(0))), "keyed"
     )
