@@ -36,18 +36,18 @@ SPARE_BITS = 28
 
 
 def pack(values: np.ndarray, ascending: bool = False) -> bytes:
-    """Whole numbers in as many byte planes as the largest needs; ascending ones as differences."""
+    """Whole numbers in as many byte planes as the largest needs, compressed; ascending ones as differences."""
     step = values.astype(np.uint64)
     if ascending:
         step = np.diff(step, prepend=np.uint64(0))
     width = max(1, (int(step.max()).bit_length() + 7) // 8) if len(step) else 1
     planes = step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
-    return bytes([width, ascending]) + np.ascontiguousarray(planes).tobytes()
+    return bytes([width, ascending]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).data)
 
 
 def unpack(data: bytes) -> np.ndarray:
     width, ascending = data[0], data[1]
-    planes = np.frombuffer(data, dtype=np.uint8, offset=2).reshape(width, -1)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[2:]), dtype=np.uint8).reshape(width, -1)
     full = np.zeros((planes.shape[1], 8), dtype=np.uint8)
     full[:, :width] = planes.T
     out = full.view("<u8").ravel().astype(np.uint64)
