@@ -42,7 +42,15 @@ def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_passages(spark: SparkSession, folder: str) -> DataFrame:
-    return passages.repeated_passages(_read(spark, folder, "documents"))
+    """Each shared passage from both sides; ``first`` marks the side of its first holder."""
+    found = passages.repeated_passages(_read(spark, folder, "documents"))
+    own, other = ("doc_id", "start_word", "end_word"), ("other_id", "other_start", "other_end")
+
+    def side(mine, theirs, first: bool):
+        cells = [F.col(c).alias(n) for c, n in zip((*mine, *theirs), (*own, *other))]
+        return F.struct(*cells, "equal_words", F.lit(first).alias("first"))
+
+    return found.select(F.inline(F.array(side(own, other, False), side(other, own, True))))
 
 
 def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
