@@ -377,6 +377,18 @@ def test_planted_passages_are_found(spark):
     assert passages.repeated_passages(docs(spark, [])).count() == 0
 
 
+def test_both_passages_of_one_chain_are_given():
+    rng = np.random.default_rng(81)
+    fresh = lambda n: rng.integers(0, 1 << 32, n, dtype=np.uint32)
+    one, two = fresh(60), fresh(60)
+    for gap, other in ((35, 35), (31, 0), (38, 20), (40, 40)):
+        a = np.concatenate([fresh(40), one, fresh(gap), two, fresh(40)])
+        b = np.concatenate([fresh(40), one, fresh(other), two, fresh(40)])
+        got = passages.passage_parts(a, b, 0, 120 + gap)
+        second = (100 + gap, 160 + gap, 100 + other, 160 + other, 60)
+        assert got == [(40, 100, 40, 100, 60), second], (gap, other)
+
+
 def test_chains_match_brute_force():
     rng = np.random.default_rng(9)
     for _ in range(60):
