@@ -377,6 +377,21 @@ def test_planted_passages_are_found(spark):
     assert passages.repeated_passages(docs(spark, [])).count() == 0
 
 
+def test_fuzzy_passages_are_found(spark):
+    rng = random.Random(82)
+    fresh = lambda n: [f"v{rng.randrange(50_000)}" for _ in range(n)]
+    rows, size = [], 60
+    for i in range(60):
+        passage = fresh(size)
+        changed = [f"x{rng.randrange(10**6)}" if w % (8, 10, 12)[i % 3] == 7 else v for w, v in enumerate(passage)]
+        rows += [" ".join(fresh(50) + part + fresh(50)) for part in (passage, changed)]
+    held = {}
+    for r in passages.repeated_passages(docs(spark, rows)).collect():
+        assert r.other_id == r.doc_id - 1
+        held.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    assert all(len(held.get(2 * i + 1, set()) & set(range(50, 50 + size))) >= 50 for i in range(60))
+
+
 def test_both_passages_of_one_chain_are_given():
     rng = np.random.default_rng(81)
     fresh = lambda n: rng.integers(0, 1 << 32, n, dtype=np.uint32)
