@@ -392,6 +392,31 @@ def test_fuzzy_passages_are_found(spark):
     assert all(len(held.get(2 * i + 1, set()) & set(range(50, 50 + size))) >= 50 for i in range(60))
 
 
+def test_passages_with_parts_in_earlier_documents_match_brute_force(spark):
+    rng = random.Random(83)
+    fresh = lambda n: [f"v{rng.randrange(50_000)}" for _ in range(n)]
+    lines = [fresh(20) for _ in range(8)]
+    whole = [fresh(60) for _ in range(6)]
+    rows = [fresh(30) + w[:42] + fresh(30) for w in whole for _ in range(5)] + [fresh(30) + w[18:] + fresh(30) for w in whole]
+    rows += [fresh(30) + line + fresh(30) for line in lines for _ in range(5)]
+    rows += [fresh(rng.randrange(9)) + w + fresh(20) for w in whole for _ in range(2)]
+    for _ in range(6):  # passages made of lines that many earlier documents hold one by one
+        some = sum(rng.sample(lines, 3), [])
+        rows += [fresh(rng.randrange(9)) + some + fresh(20), fresh(9) + some + fresh(20)]
+    held = {i: set() for i in range(len(rows))}
+    for r in passages.repeated_passages(docs(spark, [" ".join(r) for r in rows])).collect():
+        held[r.doc_id].update(range(r.start_word, r.end_word))
+    seen, n = set(), 0
+    for i, row in enumerate(rows):
+        grams = [tuple(row[k : k + 50]) for k in range(len(row) - 49)]
+        for k, gram in enumerate(grams):
+            if gram in seen:
+                n += 1
+                assert held[i] >= set(range(k, k + 50)), (i, k)
+        seen.update(grams)
+    assert n >= 100
+
+
 def test_both_passages_of_one_chain_are_given():
     rng = np.random.default_rng(81)
     fresh = lambda n: rng.integers(0, 1 << 32, n, dtype=np.uint32)
