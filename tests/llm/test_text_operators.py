@@ -484,6 +484,23 @@ def test_ownership_separates_copied_and_live(spark):
     assert secrets.redact(odd(spark)).columns == odd(spark).columns
 
 
+def test_private_keys_are_counted_and_cut_by_their_body(spark):
+    rng = random.Random(84)
+    body = lambda: "\n".join("".join(rng.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(64)) for _ in range(400))
+    key = lambda b, kind="RSA ": f"-----BEGIN {kind}PRIVATE KEY-----\n{b}\n-----END {kind}PRIVATE KEY-----"
+    mine, copied, cut = [body() for _ in range(3)], body(), body()
+    texts = [f"first\n{key(b)}\nlast" for b in mine] + [f"see {key(copied)}"] * 3
+    texts += [f"-----BEGIN PRIVATE KEY-----\n{cut}\n\nand these words stay", "the line -----BEGIN PRIVATE KEY----- alone"]
+    texts += ["ftp://me:abc@host and abc stay", f"ab://{'u' * 70}:{'p' * 250}@host"]
+    got = {r.doc_id: r.text for r in secrets.redact(docs(spark, texts)).collect()}
+    for i in range(3):
+        assert mine[i] not in got[i] and got[i].startswith("first\n-----BEGIN RSA") and got[i].endswith("-----\nlast")
+        assert "[SECRET]" in got[i] and not set(mine[i].split("\n")) & set(got[i].split("\n"))
+        assert got[3 + i] == texts[3 + i]
+    assert got[6] == "-----BEGIN PRIVATE KEY-----\n[SECRET]\n\nand these words stay" and got[7] == texts[7]
+    assert got[8] == "ftp://me:[SECRET]@host and abc stay" and got[9] == f"ab://{'u' * 70}:[SECRET]@host"
+
+
 # Decontamination
 
 ITEM = "If Alice buys 12 apples at 3.50 dollars and Bob buys 12 more, how much do Alice and Bob pay for 24 apples in 7 days?"

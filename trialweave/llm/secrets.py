@@ -18,8 +18,14 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 # kinds that this scan adds
-PEM = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
-URL = r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:([^\s/@]{6,200})@"
+_END = r"-----END [A-Z ]{0,40}PRIVATE KEY-----"
+# what stands between a header and the next END line, or, without one, lines of base64; blanks may be written as \n
+_BLANK = r"(?:\s|\\[nr])"
+_LINES = r"""(?:%s*+[A-Za-z0-9+/]{16,}+={0,2}+)*+(?:(?:\r?\n|\\n)[ \t]*+[A-Za-z0-9+/]{1,15}={0,2}+(?=[ \t\r]*+(?:\n|$)|["'\\]))?+""" % _BLANK
+PEM = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----%s*+([^-]*+(?:-(?!----)[^-]*+)*+(?=%s)|%s)(?:%s)?+" % (_BLANK, _END, _LINES, _END)
+URL = r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]*+:([^\s/@]++)@"
+#: Characters of a key's body at least, and of a value that is replaced wherever it stands.
+LEAST_BODY, ANYWHERE = 16, 6
 KINDS = ("assign", "access", "hex", "pem", "url")
 BASE = KINDS[:3]
 #: Owners that make a value a copied example.
@@ -63,7 +69,7 @@ def spans(text: Column) -> Column:
         _found(t, F.rlike(t, F.lit(ASSIGN)), ASSIGN, 0, 2, LEAST["assign"]),
         _found(t, F.contains(t, F.lit("AKIA")), access, 1, 0, LEAST["access"]),
         _found(t, F.rlike(t, F.lit(run)), run, 2, 0, LEAST["hex"]),
-        _found(t, F.contains(t, F.lit("-----BEGIN ")), PEM, 3, 0, 1),
+        _found(t, F.contains(t, F.lit("-----BEGIN ")), PEM, 3, 1, LEAST_BODY),
         _found(t, F.contains(t, F.lit("://")), URL, 4, 1, 1),
     ]
     return F.array_sort(F.concat(*parts))
@@ -104,9 +110,12 @@ def _scanned(docs: DataFrame, id_col: str, text_col: str, owner_col: str) -> Dat
 
 
 def _values(scanned: DataFrame) -> DataFrame:
-    """Distinct (doc_id, owner, value, key) of the scanned rows, with owners counted over the corpus."""
+    """Distinct (doc_id, owner, value, key) of the scanned rows, with owners counted over the corpus.
+
+    Key bodies that differ in blanks and line ends only are one value.
+    """
     rows = scanned.where("size(found) > 0").select("doc_id", "owner", F.explode("found.value").alias("value"))
-    rows = cut_lineage(rows.withColumn("key", F.sha2("value", 256)).distinct(), "candidates")
+    rows = cut_lineage(rows.withColumn("key", F.sha2(F.regexp_replace("value", _BLANK, ""), 256)).distinct(), "candidates")
     counted = ownership(rows.select("key", F.col("doc_id").alias("repository"), "owner"))
     return rows.join(counted, "key")
 
@@ -155,7 +164,12 @@ def redact(
     live = live.groupBy("doc_id").agg(F.collect_set("value").alias("__live")).withColumnRenamed("doc_id", "__named")
     # longer values first, so that none is cut by a value inside it
     order = F.array_sort(F.transform("__live", lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v"))))
-    clean = F.aggregate(order, F.col(text_col), lambda t, v: F.replace(t, v["v"], F.lit(mark)))
+    # a short value, which only URLs have, is replaced in its place between : and @
+    anywhere = lambda t, v: F.replace(t, v, F.lit(mark))
+    in_url = lambda t, v: F.replace(t, F.concat(F.lit(":"), v, F.lit("@")), F.lit(f":{mark}@"))
+    clean = F.aggregate(
+        order, F.col(text_col), lambda t, v: F.when(v["n"] > -ANYWHERE, in_url(t, v["v"])).otherwise(anywhere(t, v["v"]))
+    )
     joined = docs.join(live, docs[id_col].cast("long").eqNullSafe(live["__named"]), "left")
     return joined.select(
         *[
