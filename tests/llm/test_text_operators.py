@@ -524,6 +524,16 @@ def test_verbatim_and_changed_questions_leak(spark):
     assert [(r.doc_id, r.item_id) for r in short] == [(0, 4)]
 
 
+def test_questions_whose_sentences_start_with_names_leak(spark):
+    item = "Tom has 5 red apples. Tom eats 2 of them daily. Tom gives 3 to Mary now. Tom carries 4 kilograms of rice home."
+    texts = [item, item.replace("Tom", "Ann"), item.replace("Tom", "Mary Ann").replace("to Mary", "to Bob"), item.replace("4 kilograms", "9 litres")]
+    texts += ["An apple a day is what Tom says. Nobody knows 5 reasons. Everybody eats 3 of them at home now."]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.leaks(docs(spark, texts), bench).collect()}
+    assert set(got) == {0, 1, 2, 3} and got[0].changed == 0
+    assert all(got[i].matched == got[i].windows and got[i].changed for i in (1, 2))
+
+
 # Language model
 
 

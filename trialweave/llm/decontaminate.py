@@ -22,14 +22,23 @@ COVERAGE = 0.5
 # fixed values: units that follow a number
 UNITS = (
     "kg mg g km cm mm m ml l s min h kb mb gb hz khz mhz w kw v a k percent dollars euros cents years year months "
-    "month weeks week days day hours hour minutes minute seconds second meters metres miles feet inches pounds tons"
+    "month weeks week days day hours hour minutes minute seconds second meters metres miles feet inches pounds tons "
+    "meter metre mile foot inch pound ton tonnes tonne dollar euro cent kilograms kilogram grams gram milligrams "
+    "milligram kilometers kilometres kilometer kilometre centimeters centimetres centimeter centimetre millimeters "
+    "millimetres millimeter millimetre liters litres liter litre milliliters millilitres milliliter millilitre "
+    "ounces ounce yards yard gallons gallon acres acre hectares hectare degrees degree watts watt volts volt"
 ).split()
 _UNIT = r"([0-9])\x20?(" + "|".join(UNITS) + r")\b"
 _NAME = r"(?<=[\p{Ll},;][\x20\x09-\x0D])(\p{Lu}\p{Ll}+)"
+# every capitalised word, also where a sentence starts, and neighbouring ones as one name
+_ANY_NAME = r"(?<![\p{L}\p{N}_:])(\p{Lu}\p{Ll}+)(?!\p{L})"
+_NEXT_NAME = r"(#p:[\p{L}_]++)[\x20\x09-\x0D]++#p:"
+#: Kinds of templates: names inside sentences only, every capitalised word.
+KINDS = (0, 1)
 _BREAK = r"[^\p{L}\p{N}#:_]+"
 
 
-def _marked(text: Column) -> Column:
+def _marked(text: Column, kind: int) -> Column:
     """The text in lower case with values of slots marked as #n:..., #p:... and #u:..."""
     t = F.translate(F.coalesce(text, F.lit("")), "#:_", "   ")
     n = F.regexp_replace(t, _UNIT, "$1 #u:$2 ")
@@ -37,13 +46,18 @@ def _marked(text: Column) -> Column:
         n = F.regexp_replace(n, r"([0-9])[.,]([0-9])", "$1_$2")
     n = F.regexp_replace(n, r"([0-9][0-9_]*)", " #n:$1 ")
     t = F.when(F.rlike(t, F.lit("[0-9]")), n).otherwise(t)
-    return F.lower(F.regexp_replace(t, _NAME, " #p:$1"))
+    if kind == 0:
+        return F.lower(F.regexp_replace(t, _NAME, " #p:$1"))
+    t = F.regexp_replace(t, _ANY_NAME, " #p:$1")
+    for _ in range(3):  # names of up to eight words
+        t = F.regexp_replace(t, _NEXT_NAME, "$1_")
+    return F.lower(t)
 
 
-def templates(table: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def templates(table: DataFrame, id_col: str, text_col: str, kind: int = 0) -> DataFrame:
     """(id, marked, canon): arrays of equal length of a text's words with and without slot values."""
     marked = table.select(
-        F.col(id_col).cast("long").alias("id"), _marked(F.col(text_col).cast("string")).alias("t")
+        F.col(id_col).cast("long").alias("id"), _marked(F.col(text_col).cast("string"), kind).alias("t")
     )
     bare = F.when(F.contains("t", F.lit("#")), F.regexp_replace("t", r"(#[npu]):[\p{L}\p{N}_]+", "$1")).otherwise(F.col("t"))
     words = lambda c: F.array_remove(F.split(c, _BREAK, -1), "")
@@ -54,13 +68,13 @@ def templates(table: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _windows(table: DataFrame, width: Column | int) -> DataFrame:
+def _windows(table: DataFrame, width: Column | int, kind: int) -> DataFrame:
     """(id, pos, width, key, slots): every window of a row's words; slots only where it has some."""
     width = F.lit(width) if isinstance(width, int) else width
     places = F.when(F.size("canon") >= width, F.sequence(F.lit(1), F.size("canon") - width + 1))
     window = F.transform(
         places,
-        lambda i: F.struct(i.alias("pos"), F.xxhash64(width, F.slice("canon", i, width)).alias("key")),
+        lambda i: F.struct(i.alias("pos"), F.xxhash64(width, F.lit(kind), F.slice("canon", i, width)).alias("key")),
     )
     out = table.select("id", width.alias("width"), "marked", F.inline(window))
     values = F.filter(F.slice("marked", F.col("pos"), F.col("width")), lambda w: F.startswith(w, F.lit("#")))
@@ -82,27 +96,34 @@ def leaks(
     position) at which every slot value of the benchmark stands for one value only; ``slots`` distinct
     slot values were compared there and ``changed`` of them differ. A pair is given where matched reaches
     the coverage. Benchmark texts of 5 to 7 words are one window; shorter, empty or missing ones are left
-    out. Missing and empty documents hold nothing; rows without id are searched and named by NULL.
+    out. Texts are compared in two kinds of templates, with names inside sentences as slots and with every
+    capitalised word (runs of them as one); a pair that both give has the figures of the first. Missing and
+    empty documents hold nothing; rows without id are searched and named by NULL.
     Repeated rows count once. Benchmark rows of one id are one text each and count together.
     """
-    items = templates(benchmark, item_col, item_text).where(F.size("canon") >= LEAST)
-    known = cut_lineage(_windows(items, F.least(F.size("canon"), F.lit(WINDOW))).distinct(), "windows")
+    known = None
+    for kind in KINDS:
+        items = templates(benchmark, item_col, item_text, kind).where(F.size("canon") >= LEAST)
+        part = _windows(items, F.least(F.size("canon"), F.lit(WINDOW)), kind).withColumn("kind", F.lit(kind))
+        known = part if known is None else known.unionByName(part)
+    known = cut_lineage(known.distinct(), "windows")
     widths = sorted(r[0] for r in known.select("width").distinct().collect())  # 5 to 8
-    total = known.groupBy("id").agg(F.count_distinct("pos").alias("windows"))
-    keys = known.select("key", F.col("id").alias("item_id"), F.col("pos").alias("at"), F.col("slots").alias("theirs"))
+    total = known.groupBy("id", F.col("kind").alias("k")).agg(F.count_distinct("pos").alias("windows"))
+    keys = known.select("key", "kind", F.col("id").alias("item_id"), F.col("pos").alias("at"), F.col("slots").alias("theirs"))
 
-    own = templates(docs, id_col, text_col)
     found = None
-    for width in widths or [WINDOW]:
-        part = _windows(own, width).join(keys, "key")
-        found = part if found is None else found.unionByName(part)
+    for kind in KINDS:
+        own = templates(docs, id_col, text_col, kind)
+        for width in widths or [WINDOW]:
+            part = _windows(own, width, kind).join(keys, "key")
+            found = part if found is None else found.unionByName(part)
     found = found.select(
-        F.col("id").alias("doc_id"), "item_id", (F.col("pos") - F.col("at")).alias("place"), "at", "slots", "theirs"
+        F.col("id").alias("doc_id"), "item_id", "kind", (F.col("pos") - F.col("at")).alias("place"), "at", "slots", "theirs"
     ).distinct()
     found = cut_lineage(found, "matches")
 
     pair = F.explode(F.arrays_zip(F.col("theirs").alias("was"), F.col("slots").alias("now")))
-    where = ["doc_id", "item_id", "place"]
+    where = ["doc_id", "item_id", "kind", "place"]
     slots = found.where("slots is not null").select(*where, pair.alias("p"))
     slots = slots.select(*where, F.col("p.was").alias("was"), F.col("p.now").alias("now"))
     values = slots.groupBy(*where, "was").agg(F.min("now").alias("low"), F.max("now").alias("high"))
@@ -111,25 +132,24 @@ def leaks(
         F.sum((F.col("low") != F.col("was")).cast("long")).alias("changed"),
         F.max(F.col("low") != F.col("high")).alias("mixed"),
     )
-    values = values.toDF("d", "i", "p", "slots", "changed", "mixed")
-    placed = found.select(*where, "at").join(
-        values, (F.col("doc_id").eqNullSafe(F.col("d"))) & (F.col("item_id") == F.col("i")) & (F.col("place") == F.col("p")), "left"
-    )
+    values = values.toDF("d", "i", "k", "p", "slots", "changed", "mixed")
+    same = (F.col("item_id") == F.col("i")) & (F.col("kind") == F.col("k")) & (F.col("place") == F.col("p"))
+    placed = found.select(*where, "at").join(values, F.col("doc_id").eqNullSafe(F.col("d")) & same, "left")
     placed = placed.where("mixed is null or not mixed").select(
         "doc_id",
         "item_id",
+        "kind",
         "at",
         F.coalesce("slots", F.lit(0)).alias("slots"),
         F.coalesce("changed", F.lit(0)).alias("changed"),
     )
-    held = placed.groupBy("doc_id", "item_id").agg(
+    held = placed.groupBy("doc_id", "item_id", "kind").agg(
         F.count_distinct("at").alias("matched"), F.max("slots").alias("slots"), F.max("changed").alias("changed")
     )
-    return (
-        held.join(total, held.item_id == total.id)
-        .where(F.col("matched") >= coverage * F.col("windows"))
-        .select("doc_id", "item_id", "windows", "matched", "slots", "changed")
-    )
+    held = held.join(total, (held.item_id == total.id) & (held.kind == total.k))
+    held = held.where(F.col("matched") >= coverage * F.col("windows"))
+    held = held.groupBy("doc_id", "item_id").agg(F.min(F.struct("kind", "windows", "matched", "slots", "changed")).alias("h"))
+    return held.select("doc_id", "item_id", "h.windows", "h.matched", "h.slots", "h.changed")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
