@@ -321,6 +321,11 @@ def test_tokens_of_odd_rows(spark):
     assert got == sorted((r.doc_id or 0, r.text or "") for r in table.collect())
     assert pieces.digest(table).where("not round_trip").count() == 0
     assert pieces.digest(docs(spark, [])).count() == 0
+    model = pieces.encode(table.where("text is not null"))
+    want = sorted((r.doc_id or 0, list(r.token_ids)) for r in model.collect())
+    full = pieces.digest(table.where("text is not null")).collect()
+    assert sorted((r.doc_id or 0, list(r.token_ids)) for r in full) == want
+    assert all(r.decoded_sha256 for r in full)
 
 
 # Sharding

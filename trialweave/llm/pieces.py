@@ -355,7 +355,7 @@ def decode(tokens: DataFrame, ids_col: str = "token_ids", model_path: str = MODE
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL) -> DataFrame:
-    """(doc_id, n_chars, n_tokens, ids_xxhash64, round_trip) of whole texts; missing texts are empty."""
+    """(doc_id, n_chars, n_tokens, token_ids, ids_xxhash64, decoded_sha256, round_trip) of whole texts; missing ones are empty."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     rows = rows.select(
@@ -366,6 +366,8 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         "doc_id",
         "n_chars",
         "n_tokens",
+        "token_ids",
         F.xxhash64("token_ids").alias("ids_xxhash64"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
         (F.sha2("decoded", 256) == F.col("was")).alias("round_trip"),
     )
