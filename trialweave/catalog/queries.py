@@ -642,21 +642,23 @@ def q_pmm_candidates(v: Views) -> DataFrame:
 
 
 FACTORS = {"arm": ARMS, "stype": SEGMENTS, "remoteness": ("Major Cities", "Regional/Remote")}
-#: Posterior draws behind the predictions of the registered re-analyses.
-NDRAWS = 3
+#: Posterior draws behind the predictions of the registered re-analyses: the operators' default.
+NDRAWS = 100
+#: Draws whose imputations the SQL of ``q_two_stage_units`` counts.
+COUNTED_DRAWS = 3
 
 
 def _imputed(v: Views) -> DataFrame:
     return impute.impute_pmm(cut_lineage(v.units, "units"), "baseline", FACTORS, ("cohort",), seed=SEED)
 
 
-def _prepared(v: Views) -> interim.Prepared:
+def _prepared(v: Views, ndraws: int = NDRAWS) -> interim.Prepared:
     """Imputed units with the fit and the predictions that every re-analysis starts from.
 
     The test tables' values are unrelated to the candidates, so that a screen would keep none; all are used.
     """
     units = cut_lineage(v.units, "units")
-    return interim.prepare(units, v.formula, FACTORS, ("cohort",), 0.0, NDRAWS, hot=v.hot_clusters)
+    return interim.prepare(units, v.formula, FACTORS, ("cohort",), 0.0, ndraws, hot=v.hot_clusters)
 
 
 @query
@@ -758,8 +760,8 @@ def _in_deciles(v: Views, low: int, high: int) -> DataFrame:
     return v.clusters.where(F.col("decile").between(low, high)).select("cluster_id")
 
 
-def _two_stage_analysis(v: Views, second: DataFrame | None = None) -> interim.Analysis:
-    ready = _prepared(v)
+def _two_stage_analysis(v: Views, second: DataFrame | None = None, ndraws: int = NDRAWS) -> interim.Analysis:
+    ready = _prepared(v, ndraws)
     first = _in_deciles(v, 1, 5)
     return interim.two_stage_analysis(
         ready.units, ready.predictions, v.formula, first, second, hot=v.hot_clusters
@@ -780,7 +782,7 @@ def q_two_stage_contrasts(v: Views) -> DataFrame:
 @query
 def q_two_stage_units(v: Views) -> DataFrame:
     """How many units of the two-stage analysis stand in each arm and imputation."""
-    data = _two_stage_analysis(v, _in_deciles(v, 6, 8)).data
+    data = _two_stage_analysis(v, _in_deciles(v, 6, 8), COUNTED_DRAWS).data
     return data.groupBy("arm", "imp").agg(F.count("*").alias("n"), F.count("outcome").alias("n_outcome"))
 
 
