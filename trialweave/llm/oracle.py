@@ -153,8 +153,47 @@ select d.doc_id, cast(len(d.l) as bigint) as n_words, count(*) filter (where k =
   round(coalesce(sum(v), 0.0), 4) as log_score, round(avg(v), 4) as mean_log_score
 from d left join s using (id) group by d.id, d.doc_id, len(d.l)"""
 
+# A byte's CRC table and a word's CRC from their bits, as there is no such function.
+RESAMPLE = f"""
+with docs as materialized (
+  select row_number() over () as id, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as l
+  from documents
+), dw as materialized (
+  select id, w, count(*) as c from (select id, unnest(l) as w from docs) group by 1, 2
+), bw as materialized (
+  select w, count(*) as c from (
+    select unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) as w
+    from benchmark) group by 1
+), tab as materialized (
+  select list(list_reduce(range(1, 9), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, b) order by b) as t
+  from range(256) r(b)
+), crc as materialized (
+  select w, xor(list_reduce(
+      list_transform(range(0, octet_length(encode(w))), lambda i: cast('0x' || substr(hex(encode(w)), cast(2 * i + 1 as integer), 2) as bigint)),
+      lambda c, x: xor(c >> 8, t[cast(xor(c, x) & 255 as integer) + 1]), 4294967295::bigint), 4294967295) % 10000 as bucket
+  from (select w from dw union select w from bw) cross join tab
+), own as (select bucket, sum(c)::double as s from dw join crc using (w) group by 1
+), target as (select bucket, sum(c)::double as t from bw join crc using (w) group by 1
+), totals as (select coalesce((select sum(s) from own), 0) as s_all, coalesce((select sum(t) from target), 0) as t_all
+), gain as materialized (
+  select bucket, cast(floor(1000 * ln((coalesce(t, 0) + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000)))) as bigint) as g
+  from own left join target using (bucket) cross join totals
+), weights as (select id, sum(c * g) as weight from dw join crc using (w) join gain using (bucket) group by 1
+), scored as materialized (
+  select id, doc_id, len(l) as n, cast(coalesce(weight, 0) as bigint) as weight,
+    cast(coalesce(weight, 0) + floor(-1000 * ln(-ln((cast('0x' || substr(sha256('2024:' || coalesce(cast(doc_id as varchar), 'null')), 1, 8) as bigint) + 0.5::double)
+      / 4294967296::double))) as bigint) as score
+  from docs left join weights using (id)
+), ranked as (
+  select id, row_number() over (order by score desc, doc_id nulls last, weight, n) as no, count(*) over () as fit from scored where n >= 20
+)
+select doc_id, cast(n as bigint) as n_features, weight, score, case when no <= 10 * fit // 100 then no end as rank
+from scored left join ranked using (id)"""
+
 
 SQL = {
+    "op13_resample": RESAMPLE,
     "op9_lm": LM,
     "op8_secrets": _secrets(),
     "op10_decontaminate": _leaks(),

@@ -6,7 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trialweave.llm import chat, decontaminate, fingerprints, lm, near_dedup, passages, pieces, quality, secrets, sharding
+from trialweave.llm import (
+    chat,
+    decontaminate,
+    fingerprints,
+    importance,
+    lm,
+    near_dedup,
+    passages,
+    pieces,
+    quality,
+    secrets,
+    sharding,
+)
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -66,6 +78,10 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
 
 
+def op13_resample(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.resample(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
+
+
 REGISTRY = {
     "op1_chat": op1_chat,
     "op2_fingerprints": op2_fingerprints,
@@ -77,5 +93,6 @@ REGISTRY = {
     "op8_secrets": op8_secrets,
     "op9_lm": op9_lm,
     "op10_decontaminate": op10_decontaminate,
+    "op13_resample": op13_resample,
     "pipeline": corpus_pipeline.run,
 }
