@@ -192,7 +192,46 @@ select doc_id, cast(n as bigint) as n_features, weight, score, case when no <= 1
 from scored left join ranked using (id)"""
 
 
+def _codes(rounds: int = 4) -> str:
+    """Each round of moved entries as a table of its own."""
+    far = "list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = []
+    for k in range(1, rounds + 2):
+        steps.append(f"""
+a{k} as materialized (
+  select id, p, arg_min(e, (d, e)) as e, min(d) as d from (
+    select v.id, v.p, b.e, cast({far} as bigint) as d from v join b{k - 1} b on v.p = b.p)
+  group by 1, 2)""")
+        if k <= rounds:
+            steps.append(f"""
+b{k} as materialized (
+  select o.p, o.e, coalesce(n.x, o.x) as x from b{k - 1} o left join (
+    select p, e, list(cast(floor(s / c) as bigint) order by j) as x from (
+      select a.p, a.e, j, sum(v.x[j]) as s, count(*) as c
+      from a{k} a join v on v.id = a.id and v.p = a.p cross join lateral (select unnest(range(1, len(v.x) + 1)) as j) t
+      group by 1, 2, 3) group by 1, 2) n on n.p = o.p and n.e = o.e)""")
+    last = rounds + 1
+    return f"""
+with k as materialized (
+  select row_number() over (order by vec_id) as id, vec_id, label,
+    list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as q
+  from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), v as materialized (
+  select id, p, q[p * (len(q) // 4) + 1 : (p + 1) * (len(q) // 4)] as x from k cross join range(4) r(p)
+), b0 as materialized (
+  select p, id - 1 as e, x from v where id <= 256
+),{",".join(steps)}, book as (
+  select sha256(string_agg(array_to_string(x, ','), ',' order by p, e)) as h from b{rounds}
+), coded as (
+  select id, string_agg(printf('%02x', e), '' order by p) as code, cast(sum(d) as bigint) as error from a{last} group by 1
+)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, h as codebooks_sha256
+from coded join k using (id) cross join book"""
+
+
 SQL = {
+    "op11_codes": _codes(),
     "op13_resample": RESAMPLE,
     "op9_lm": LM,
     "op8_secrets": _secrets(),

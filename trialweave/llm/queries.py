@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from trialweave.llm import (
     chat,
+    codes,
     decontaminate,
     fingerprints,
     importance,
@@ -78,6 +79,10 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
 
 
+def op11_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return codes.compress(_read(spark, folder, "embeddings"))
+
+
 def op13_resample(spark: SparkSession, folder: str) -> DataFrame:
     return importance.resample(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
 
@@ -93,6 +98,7 @@ REGISTRY = {
     "op8_secrets": op8_secrets,
     "op9_lm": op9_lm,
     "op10_decontaminate": op10_decontaminate,
+    "op11_codes": op11_codes,
     "op13_resample": op13_resample,
     "pipeline": corpus_pipeline.run,
 }
