@@ -23,15 +23,15 @@ from trialweave.operators.joins import attach
 from trialweave.session import cut_lineage
 
 #: Neighbours of a node in the graph, and of those that name it, followed by the search.
-DEGREE, BACK = 20, 12
+DEGREE, BACK = 32, 24
 #: First neighbours: rows of a block in which all pairs are compared, and orders that are cut into blocks.
-BLOCK, ORDERS = 128, 3
+BLOCK, ORDERS = 4096, 5
 #: Members of a node's neighbourhood that are paired in a round: new ones and others, drawn by a hash.
-NEW, OLD = 24, 12
+NEW, OLD = 32, 20
 #: Rounds of descent; it ends before where fewer than this share of all links is new.
 ROUNDS, LEAST_NEW = 6, 0.02
 #: Nodes that a query keeps, and how many of them it follows in a step.
-BEAM, WIDTH = 48, 16
+BEAM, WIDTH = 128, 32
 #: Nodes from which any query can start (a sample by hash, and the longest vectors), and how many of them it follows.
 STARTS, LONGEST, FOLLOWED = 256, 64, 4
 SEED = 11
@@ -166,7 +166,7 @@ def _first_links(codes: DataFrame, n: int, starts: list[tuple[int, bytes]]) -> D
                 )
 
         placed = codes.mapInArrow(sides, "id long, code binary, side long, lean double")
-        parts = max(1, min(n // (8 * BLOCK), 100_000))
+        parts = max(1, min(n // BLOCK, 100_000))
         ranged = placed.repartitionByRange(parts, "side", "lean", "id").sortWithinPartitions("side", "lean", "id")
         made = ranged.select("id", "code").mapInArrow(_block_links, "id long, nbr long, sim float")
         out = made if out is None else out.unionByName(made)
@@ -174,31 +174,35 @@ def _first_links(codes: DataFrame, n: int, starts: list[tuple[int, bytes]]) -> D
 
 
 def _block_links(batches) -> Iterator[pa.RecordBatch]:
-    def links(ids: np.ndarray, code: np.ndarray) -> pa.RecordBatch:
+    def links(ids: np.ndarray, code: np.ndarray) -> Iterator[pa.RecordBatch]:
         x = decode(code)
-        sims = x @ x.T
-        np.fill_diagonal(sims, -np.inf)
         k = min(DEGREE, len(ids) - 1)
-        near = np.argpartition(-sims, k - 1, axis=1)[:, :k] if k else np.zeros((len(ids), 0), np.int64)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(ids, k)),
-                pa.array(ids[near].ravel()),
-                pa.array(np.take_along_axis(sims, near, 1).ravel().astype(np.float32)),
-            ],
-            ["id", "nbr", "sim"],
-        )
+        for low in range(0, len(ids) if k else 0, 256):
+            sims = x[low : low + 256] @ x.T
+            sims[np.arange(len(sims)), np.arange(low, low + len(sims))] = -np.inf
+            near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+            own = np.repeat(ids[low : low + len(sims)], k)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own), pa.array(ids[near].ravel()), pa.array(np.take_along_axis(sims, near, 1).ravel())],
+                ["id", "nbr", "sim"],
+            )
+
+    parts, held = [], 0
+
+    def block(n: int) -> Iterator[pa.RecordBatch]:
+        nonlocal parts, held
+        ids, code = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        parts, held = [(ids[n:], code[n:])], len(ids) - n
+        yield from links(ids[:n], code[:n])
 
-    ids, code = np.zeros(0, np.int64), None
     for batch in batches:
-        more = _fixed(batch.column(1))
-        ids = np.concatenate([ids, batch.column(0).to_numpy()])
-        code = more if code is None or not len(code) else np.concatenate([code, more])
-        while len(ids) >= 2 * BLOCK:  # what is left stays a block's length at least
-            yield links(ids[:BLOCK], code[:BLOCK])
-            ids, code = ids[BLOCK:], code[BLOCK:]
-    if len(ids):
-        yield links(ids, code)
+        if batch.num_rows:
+            parts.append((batch.column(0).to_numpy(), _fixed(batch.column(1))))
+            held += batch.num_rows
+        while held >= 2 * BLOCK:  # what is left stays a block's length at least
+            yield from block(BLOCK)
+    if held:
+        yield from block(held)
 
 
 def _best(links: DataFrame) -> DataFrame:
@@ -213,21 +217,23 @@ def _descend(codes: DataFrame, first: DataFrame, n: int, rounds: int) -> DataFra
     for step in range(rounds):
         if links.where("new").count() < LEAST_NEW * DEGREE * n:
             break
-        ends = [("id", "nbr"), ("nbr", "id")]
-        pool = [links.select(F.col(a).alias("centre"), F.col(b).alias("id"), "new") for a, b in ends]
+        ends = [("id", "nbr", True), ("nbr", "id", False)]
+        pool = [links.select(F.col(a).alias("centre"), F.col(b).alias("id"), "new", F.lit(c).alias("ahead")) for a, b, c in ends]
         mixed = F.xxhash64("centre", "id", F.lit(step), F.lit(SEED))
         pool = pool[0].unionByName(pool[1]).where("id != centre")
         drawn = _limit(pool.where("new"), ["centre"], [mixed, F.col("id")], NEW).unionByName(
             _limit(pool.where("not new"), ["centre"], [mixed, F.col("id")], OLD)
         )
+        drawn = cut_lineage(drawn, "drawn")
+        used = drawn.where("new and ahead").select(F.col("centre").alias("id"), F.col("id").alias("nbr"))
         full = links.groupBy("id").agg(F.when(F.count("*") >= DEGREE, F.min("sim")).alias("worst"))
         known = codes.join(full, "id", "left")
         cell = F.struct("id", "new", F.coalesce("worst", F.lit(-math.inf).cast("float")).alias("worst"), "code")
-        groups = attach(drawn, known, "id", ["centre"], "inner").groupBy("centre").agg(F.collect_list(cell).alias("m"))
+        groups = attach(drawn.drop("ahead"), known, "id", ["centre"], "inner").groupBy("centre").agg(F.collect_list(cell).alias("m"))
         found = groups.where(F.exists("m", lambda x: x["new"])).select("m").mapInArrow(_propose, "id long, nbr long, sim float")
-        links = cut_lineage(
-            _best(links.withColumn("new", F.lit(False)).unionByName(found.withColumn("new", F.lit(True)))), "links"
-        )
+        # a link stays new until its node has drawn it
+        used = used.select("id", "nbr", F.lit(-math.inf).cast("float").alias("sim"), F.lit(False).alias("new"))
+        links = cut_lineage(_best(links.unionByName(found.withColumn("new", F.lit(True))).unionByName(used)), "links")
     return links
 
 

@@ -14,6 +14,7 @@ from trialweave.llm import (
     importance,
     lm,
     near_dedup,
+    neighbours,
     passages,
     pieces,
     quality,
@@ -83,6 +84,10 @@ def op11_codes(spark: SparkSession, folder: str) -> DataFrame:
     return codes.compress(_read(spark, folder, "embeddings"))
 
 
+def op12_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(_read(spark, folder, "embeddings"))
+
+
 def op13_resample(spark: SparkSession, folder: str) -> DataFrame:
     return importance.resample(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
 
@@ -99,6 +104,7 @@ REGISTRY = {
     "op9_lm": op9_lm,
     "op10_decontaminate": op10_decontaminate,
     "op11_codes": op11_codes,
+    "op12_neighbours": op12_neighbours,
     "op13_resample": op13_resample,
     "pipeline": corpus_pipeline.run,
 }
