@@ -96,6 +96,18 @@ add(
     "select imp, arm, count(*) as n, sum(pred) as sum_pred from v_preds group by imp, arm",
 )
 
+add(
+    "q_csv_quarantine",
+    CLUSTERS
+    + """,
+kept as (select * from v_cluster where cluster_id % 29 <> 0)""",
+    """select '(line)' as column_name, cast(0 as bigint) as n_rows, (select count(*) from v_cluster where cluster_id % 29 = 0) as n_bad
+    union all select '(stype)', count(*), count(*) from kept
+    union all select 'cluster_id', count(*), count(*) filter (where cluster_id % 11 = 0) from kept
+    union all select 'decile', count(*), count(*) filter (where cluster_id % 13 = 0) from kept
+    union all select 'stype', count(*), 0 from kept""",
+)
+
 # Recodes and filters
 add(
     "q_recode_threshold",
@@ -738,6 +750,83 @@ donors as (
       and d.no = {PICK.format(id="u.unit_id", imp=1, seed=1)} % d.n + 1""",
 )
 
+_SEEDED_PICK = "cast('0x' || substr(md5(cast(u.unit_id as varchar) || '|1|' || cast(s.seed as varchar) || '|rank'), 1, 12) as bigint)"
+_SEEDED_ORDER = "cast('0x' || substr(md5(cast(unit_id as varchar) || '|' || cast(seed as varchar) || '|donor'), 1, 12) as bigint)"
+add(
+    "q_seed_units",
+    UNITS
+    + f""",
+seeds as (select cast(range as integer) as seed from range(1, 4)),
+donors as (
+  select seed, arm, stype, remoteness, cohort, baseline as y,
+    row_number() over (partition by seed, arm, stype, remoteness, cohort order by {_SEEDED_ORDER}, unit_id) as no,
+    count(*) over (partition by seed, arm, stype, remoteness, cohort) as n
+  from v_unit cross join seeds where baseline is not null)""",
+    f"""select s.seed, u.unit_id, cast(1 as integer) as imp, coalesce(u.baseline, d.y) as baseline
+    from v_unit u cross join seeds s left join donors d on u.baseline is null and d.seed = s.seed and d.arm = u.arm
+      and d.stype = u.stype and d.remoteness = u.remoteness and d.cohort = u.cohort and d.no = {_SEEDED_PICK} % d.n + 1""",
+)
+
+
+def _md5_normal(key: str) -> str:
+    """Standard normal number from md5, by imputation."""
+
+    def uniform(which: str) -> str:
+        return f"(cast('0x' || substr(md5(cast(imp as varchar) || '|{key}|1|proper/{which}'), 1, 12) as bigint) + 0.5::double) / 281474976710656"
+
+    return f"sqrt(-2 * ln({uniform('radius')})) * cos(2 * pi() * {uniform('angle')})"
+
+
+# Coefficients about the mean of the predictor: slope and level are independent given the variance.
+add(
+    "q_impute_proper",
+    UNITS
+    + f""",
+rows_ as (
+  select o.o_orderkey as unit_id, cast(floor(o.o_totalprice / 5000) as double) as x, b.value as y
+  from orders o left join (select * from v_long where time = 1) b on b.unit_id = o.o_orderkey),
+centre as (select avg(x) as mx, avg(y) as my, count(*)::double as n from rows_ where y is not null),
+sums as (
+  select sum((x - mx) * (x - mx)) as sxx, sum((x - mx) * (y - my)) as sxy, sum((y - my) * (y - my)) as syy
+  from rows_, centre where y is not null),
+fit as (
+  select mx, my, n, sxx * 1.00001::double as pen, sxy / (sxx * 1.00001::double) as b,
+    syy - 2 * sxy / (sxx * 1.00001::double) * sxy + sxx * (sxy / (sxx * 1.00001::double)) * (sxy / (sxx * 1.00001::double)) as rss
+  from sums, centre),
+z as (
+  select cast(imp as integer) as imp, {_md5_normal("variance")} as zv, {_md5_normal("0")} as z0, {_md5_normal("1")} as z1
+  from range(1, 6) r(imp)),
+spread as (select z.*, sqrt(rss / ((n - 2) * pow(1 - 2 / (9 * (n - 2)) + zv * sqrt(2 / (9 * (n - 2))), 3))) as s from z, fit),
+line as (select imp, my + s * z0 / sqrt(n) as level, b + s * z1 / sqrt(pen) as slope from spread, fit),
+lev as (
+  select x, my + b * (x - mx) as yhat, count(*) as n from rows_, fit where y is not null group by x, my, b, mx),
+donors as (
+  select x, y, row_number() over (partition by x order by {DONOR_ORDER.format(id="unit_id", seed=1)}, unit_id) as no
+  from rows_ where y is not null),
+near as (
+  select t.x, imp, arg_min(lev.x, abs(lev.yhat - (level + slope * (t.x - mx)))) as dx
+  from (select distinct x from rows_ where y is null) t, line, fit, lev group by 1, 2)""",
+    f"""select unit_id, cast(imp as integer) as imp, y as baseline from rows_ cross join line where y is not null
+    union all
+    select r.unit_id, n.imp, d.y from rows_ r join near n on n.x = r.x join lev on lev.x = n.dx
+    join donors d on d.x = n.dx and d.no = {PICK.format(id="r.unit_id", imp="n.imp", seed=1)} % lev.n + 1 where r.y is null""",
+)
+
+add(
+    "q_store_exclusion",
+    UNITS,
+    """select count(distinct cluster_id) as n_clusters, count(*) as n, count(*) filter (where arm = 'H')::double as "sum_arm_H",
+      count(*) filter (where arm = 'L')::double as "sum_arm_L", count(*) filter (where ses = 'Most')::double as "sum_ses_Most",
+      sum(cohort)::double as sum_cohort, round(sum(outcome), 6) as sum_outcome
+    from v_unit where outcome is not null and ses is not null and not (cohort = 1 and arm = 'H')""",
+)
+add(
+    "q_quantile_sketch",
+    UNITS,
+    """select arm, count(outcome) as n, quantile, true as within
+    from v_unit cross join (values ('q1'), ('median'), ('q3')) p(quantile) group by arm, quantile""",
+)
+
 # Whole analyses
 STAGE = """
   select u.unit_id, u.cluster_id, u.new_arm as arm, p.old_arm, p.imp,
@@ -755,6 +844,22 @@ placed as (
   select c.*, {arm_sql("r.rownumber")} as new_arm from chosen c join ranked r on r.cluster_id = c.cluster_id)""",
     STAGE.format(units="placed"),
 )
+add(
+    "q_interim_looks",
+    UNITS
+    + f""",
+chosen as (select v_unit.* from v_unit cross join bound where cluster_id * 109 <= 56 * mx),
+ranked as (
+  select *, row_number() over (partition by remoteness, stype order by cluster_id) as rownumber
+  from (select distinct cluster_id, remoteness, stype from chosen)),
+placed as (
+  select c.*, {arm_sql("r.rownumber")} as new_arm from chosen c join ranked r on r.cluster_id = c.cluster_id)""",
+    """select cast(l.look as integer) as look, new_arm as arm, count(distinct cluster_id) as n_clusters, count(*) as n_units,
+      count(outcome) as n_outcome, count(outcome) filter (where arm <> new_arm) as n_changed,
+      round(sum(outcome) filter (where arm = new_arm), 6) as sum_seen
+    from placed cross join bound join (values (1, 27), (2, 37), (3, 56)) l(look, share) on cluster_id * 109 <= l.share * mx
+    group by 1, 2""",
+)
 add(
     "q_two_stage_data",
     PREDS
@@ -781,7 +886,7 @@ placed as (
     else {arm_sql("r.rownumber", _ARMS2, str(ASSIGNMENT_SEED))} end as new_arm
   from chosen c join ranked r on r.cluster_id = c.cluster_id)""",
     """select new_arm as arm, cast(imp as integer) as imp, count(*) as n, count(outcome) as n_outcome
-    from placed cross join (values (1), (2), (3)) i(imp) group by 1, 2""",
+    from placed cross join range(1, 101) i(imp) group by 1, 2""",
 )
 add(
     "q_sensitivity_data",

@@ -29,11 +29,13 @@ from trialweave.operators import (
     model,
     ranges,
     reshape,
+    sketch,
 )
 from trialweave.plans import harmonise, interim
 from trialweave.schema import ARMS, FIT_SEED, SENSITIVITY_SEED
 from trialweave.session import cut_lineage, fresh_path
 from trialweave.sources import tables
+from trialweave.sources.sums import SumStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -75,6 +77,31 @@ def q_stage_roundtrip(v: Views) -> DataFrame:
     return kept.groupBy("imp", "arm").agg(F.count("*").alias("n"), F.sum("pred").alias("sum_pred"))
 
 
+@query
+def q_csv_quarantine(v: Views) -> DataFrame:
+    """What cannot be read in files with broken lines and fields, one of them with its columns in another order."""
+    c = v.clusters
+    key = F.col("cluster_id")
+    decile = F.when(key % 13 == 0, "n/a").otherwise(F.coalesce(F.col("decile").cast("string"), F.lit("NA")))
+    name = F.concat(F.lit('"'), "stype", F.lit(', "" "'))
+    number = F.when(key % 11 == 0, F.concat(F.lit("x"), key.cast("string"))).otherwise(key.cast("string"))
+    tail = F.when(key % 29 == 0, ",surplus").otherwise("")
+    path = fresh_path(v.spark, "broken-csv")
+    for part, header, cells in (
+        ("a", "cluster_id,decile,stype", (number, decile, name)),
+        ("b", "stype,cluster_id,decile", (name, number, decile)),
+    ):
+        own = c.where((key % 2 == 0) if part == "a" else (key % 2 == 1))
+        lines = own.select(F.concat(F.concat_ws(",", *cells), tail).alias(header))
+        lines.write.option("header", True).option("quote", "").csv(f"{path}/{part}")
+    schema = c.select("cluster_id", "decile", "stype").schema
+    read = tables.read_checked_csv(v.spark, f"{path}/*", schema)
+    fields = read.counts.groupBy("column_name").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_unreadable").alias("n_bad"))
+    lines = read.quarantine.agg(F.lit("(line)").alias("column_name"), F.lit(0).cast("long").alias("n_rows"), F.count("*").alias("n_bad"))
+    good = read.rows.agg(F.lit("(stype)").alias("column_name"), F.count("stype").alias("n_rows"), F.count_if(F.col("stype").endswith(', " ')).alias("n_bad"))
+    return fields.unionByName(lines).unionByName(good)
+
+
 # Recodes and filters
 
 
@@ -595,11 +622,18 @@ def q_variance_decomposition(v: Views) -> DataFrame:
     units = cut_lineage(v.units, "units")
     means = model.cluster_means(model.cluster_sums(units, formula), formula)
     out = interim.variance_decomposition(
-        units, _draw_means(v), formula, means, ["cohort"], noise=False, hot=v.hot_clusters
+        units, _draw_means(v), formula, means, ["cohort"], noise=False
     )
     return rounded(out, "mean", "median", "lower", "upper")
 
 
+@query
+def q_variance_from_fit(v: Views) -> DataFrame:
+    """The same from a fit for each cohort, on imputed units."""
+    formula = model.Formula("outcome", "cluster_id", {k: x for k, x in v.formula.factors.items()}, ("baseline",))
+    return interim.variance_from_fit(cut_lineage(_imputed(v), "imputed"), formula, ["cohort"])
+
+
 @query
 def q_gls_fixed(v: Views) -> DataFrame:
     """Coefficients of the outcome on the cohort at a fixed ratio of the variances."""
@@ -644,8 +678,6 @@ def q_pmm_candidates(v: Views) -> DataFrame:
 FACTORS = {"arm": ARMS, "stype": SEGMENTS, "remoteness": ("Major Cities", "Regional/Remote")}
 #: Posterior draws behind the predictions of the registered re-analyses: the operators' default.
 NDRAWS = 100
-#: Draws whose imputations the SQL of ``q_two_stage_units`` counts.
-COUNTED_DRAWS = 3
 
 
 def _imputed(v: Views) -> DataFrame:
@@ -666,6 +698,68 @@ def q_impute_pmm(v: Views) -> DataFrame:
     return _imputed(v).select("unit_id", "imp", "baseline", "outcome")
 
 
+@query
+def q_impute_proper(v: Views) -> DataFrame:
+    """Five imputations on one predictor, each with coefficients of its own, and the nearest donor."""
+    order = v.table("orders").select(
+        F.col("o_orderkey").alias("unit_id"), F.floor(F.col("o_totalprice") / 5000).cast("double").alias("price")
+    )
+    rows = cut_lineage(order.join(v.measured.select("unit_id", "baseline"), "unit_id", "left"), "priced")
+    made = impute.impute_pmm(rows, "baseline", {}, ("price",), donors=1, m=5, seed=SEED, proper=True)
+    return made.select("unit_id", "imp", "baseline")
+
+
+SEEDS = (1, 2, 3)
+
+
+@query
+def q_seed_units(v: Views) -> DataFrame:
+    """The baselines of all units under three imputation seeds."""
+    units = cut_lineage(v.units, "units")
+    made = impute.impute_pmm(units, "baseline", FACTORS, ("cohort",), seeds=SEEDS)
+    return made.select("seed", "unit_id", "imp", "baseline")
+
+
+@query
+def q_seed_pipeline(v: Views) -> DataFrame:
+    """Imputation, fit and decision probabilities under three seeds, side by side."""
+    units = cut_lineage(v.units, "units")
+    return interim.seed_pipeline(units, v.formula, FACTORS, SEEDS, ("cohort",), 0.0).decisions()
+
+
+@query
+def q_store_exclusion(v: Views) -> DataFrame:
+    """Sums of the regression without the first trial's high-dose clusters, from a store of sums per cluster."""
+    formula = model.Formula("outcome", "cluster_id", {"arm": ARMS, "ses": SES}, ("cohort",))
+    store = SumStore.create(cut_lineage(v.units, "units"), formula, fresh_path(v.spark, "sums"))
+    out = store.totals(_early_high(v))
+    return rounded(out.select("n_clusters", "n", "sum_arm_H", "sum_arm_L", "sum_ses_Most", "sum_cohort", "sum_outcome"), *[
+        "sum_arm_H", "sum_arm_L", "sum_ses_Most", "sum_cohort", "sum_outcome",
+    ])
+
+
+@query
+def q_quantile_sketch(v: Views) -> DataFrame:
+    """Whether quartiles per arm, merged from stored sketches per arm and stratum, have ranks within the stated error."""
+    units = cut_lineage(v.units, "units")
+    parts = cut_lineage(sketch.quantile_sketches(units, ["arm", "stype"], "outcome"), "sketches")
+    probs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    found = cut_lineage(sketch.sketch_quantiles(sketch.merge_sketches(parts, ["arm"]), ["arm"], probs), "quartiles")
+    y = F.col("outcome")
+    counts = units.where(y.isNotNull()).join(found, "arm").groupBy("arm", "n_values").agg(
+        *[F.count_if(y <= F.col(c)).alias(c) for c in probs], *[F.count_if(y < F.col(c)).alias(f"{c}_below") for c in probs]
+    )
+    slack = F.lit(sketch.rank_error()) * F.col("n_values") + 1
+    cells = [
+        F.struct(
+            F.lit(c).alias("quantile"),
+            ((F.col(c) >= p * F.col("n_values") - slack) & (F.col(f"{c}_below") <= p * F.col("n_values") + slack)).alias("within"),
+        )
+        for c, p in probs.items()
+    ]
+    return counts.select("arm", F.col("n_values").alias("n"), F.inline(F.array(*cells)))
+
+
 # Whole analyses
 
 
@@ -742,7 +836,7 @@ def q_within_arm_result(v: Views) -> DataFrame:
 def _interim(v: Views, part: int) -> interim.Analysis:
     ready = _prepared(v)
     return interim.interim_analysis(
-        ready.units, ready.predictions, v.formula, cut=v.share_of_clusters(part), hot=v.hot_clusters
+        ready.units, ready.predictor, v.formula, cut=v.share_of_clusters(part), hot=v.hot_clusters
     )
 
 
@@ -756,15 +850,43 @@ def q_interim_contrasts(v: Views) -> DataFrame:
     return _interim(v, 37).contrasts()
 
 
+LOOKS = (27, 37, 56)
+
+
+@query
+def q_interim_looks(v: Views) -> DataFrame:
+    """What the looks after 27, 37 and 56 parts of the clusters hold, per arm, in one pass."""
+    units = cut_lineage(v.units, "units")
+    cuts = [v.share_of_clusters(k) for k in LOOKS]
+    assigned = interim.assigned_clusters(interim.up_to_cluster(v.bare_units, max(cuts)), ARMS, STRATA, SEED)
+    placed = joins.attach(
+        units.withColumnRenamed("arm", "old_arm"), assigned.withColumnRenamed("treatment", "arm"),
+        "cluster_id", ["unit_id"], "inner", v.hot_clusters,
+    )
+    return rounded(interim.look_sums(placed, cuts), "sum_seen")
+
+
+def _looks(v: Views) -> interim.Analysis:
+    ready = _prepared(v)
+    cuts = [v.share_of_clusters(k) for k in LOOKS]
+    return interim.interim_looks(ready.units, ready.predictor, v.formula, cuts, hot=v.hot_clusters)
+
+
+@query
+def q_interim_looks_decisions(v: Views) -> DataFrame:
+    """The decision probabilities at all looks, from one pass over the units."""
+    return _looks(v).decisions()
+
+
 def _in_deciles(v: Views, low: int, high: int) -> DataFrame:
     return v.clusters.where(F.col("decile").between(low, high)).select("cluster_id")
 
 
-def _two_stage_analysis(v: Views, second: DataFrame | None = None, ndraws: int = NDRAWS) -> interim.Analysis:
-    ready = _prepared(v, ndraws)
+def _two_stage_analysis(v: Views, second: DataFrame | None = None) -> interim.Analysis:
+    ready = _prepared(v)
     first = _in_deciles(v, 1, 5)
     return interim.two_stage_analysis(
-        ready.units, ready.predictions, v.formula, first, second, hot=v.hot_clusters
+        ready.units, ready.predictor, v.formula, first, second, hot=v.hot_clusters
     )
 
 
@@ -782,7 +904,7 @@ def q_two_stage_contrasts(v: Views) -> DataFrame:
 @query
 def q_two_stage_units(v: Views) -> DataFrame:
     """How many units of the two-stage analysis stand in each arm and imputation."""
-    data = _two_stage_analysis(v, _in_deciles(v, 6, 8), COUNTED_DRAWS).data
+    data = _two_stage_analysis(v, _in_deciles(v, 6, 8)).data
     return data.groupBy("arm", "imp").agg(F.count("*").alias("n"), F.count("outcome").alias("n_outcome"))
 
 

@@ -134,10 +134,13 @@ def variance_ratio(
 ) -> DataFrame:
     """Per draw the variance of predictions without cluster effects over that with them, then the
     mean, median and 95% interval over draws, per group."""
-    per = cut_lineage(
-        predictions.groupBy(*by, draw).agg(F.try_divide(F.var_samp(without), F.var_samp(whole)).alias("ratio")),
-        "ratios",
-    )
+    ratios = predictions.groupBy(*by, draw).agg(F.try_divide(F.var_samp(without), F.var_samp(whole)).alias("ratio"))
+    return summarise_ratios(ratios, by, range_rows)
+
+
+def summarise_ratios(ratios: DataFrame, by: Sequence[str] = (), range_rows: int | None = None) -> DataFrame:
+    """Mean, median and 95% interval of ``ratio`` over draws, per group."""
+    per = cut_lineage(ratios, "ratios")
     mean = per.groupBy(*by).agg(F.count("ratio").alias("n_draws"), F.avg("ratio").alias("mean"))
     ends = group_quantiles(
         per, by, "ratio", {"median": 0.5, "lower": 0.025, "upper": 0.975}, "linear", range_rows
@@ -181,15 +184,22 @@ def pairwise_contrasts(
     by: Sequence[str] = (),
     keep: Sequence[str] = (),
     range_rows: int | None = None,
+    match: Sequence[str] = (),
 ) -> DataFrame:
     """Median and 95% interval over draws for each contrast (and group of the vectors).
 
     ``coefficients`` are the draw columns in the order of the vectors; ``keep`` are further group
-    columns of the draws. The vectors are one row per pair of arms and closed label.
+    columns of the draws. The vectors are one row per pair of arms and closed label. A draw meets the vectors
+    that agree with it on ``match``, group columns of both.
     """
     cells = F.struct(*[F.col(b) for b in by], "contrast", "vec")
-    every = vectors.agg(F.collect_list(cells).alias("v")).scalar()
-    long = draws.select("*", F.explode(every).alias("_c"))
+    if match:
+        own = vectors.groupBy(*match).agg(F.collect_list(cells).alias("_v"))
+        long = draws.join(own, list(match)).withColumn("_c", F.explode("_v")).drop("_v")
+        keep = [*keep, *match]
+    else:
+        every = vectors.agg(F.collect_list(cells).alias("v")).scalar()
+        long = draws.select("*", F.explode(every).alias("_c"))
     beta = [F.col(c) if isinstance(c, str) else c for c in coefficients]
     value = sum((F.col("_c.vec")[j] * b for j, b in enumerate(beta)), F.lit(0.0))
     named = long.select(

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialweave.functions.noise import text_hash
+from trialweave.functions.noise import text_hash, text_normal
 from trialweave.functions.recode import level_index
 from trialweave.operators.joins import attach, hot_keys
 from trialweave.operators.ranges import RANGE, number_rows, plan_ranges, with_range
@@ -155,38 +157,48 @@ def nearest_levels(
     return found.select("yhat", F.array_sort(with_distance).alias("near"))
 
 
-def number_donors(donors: DataFrame, seed: int, range_rows: int | None = None) -> DataFrame:
-    """``donors(donor_id, yhat, y)`` numbered 1, 2, ... among equal predictions, in an order set by a hash."""
-    mixed = donors.select(
-        "donor_id", "yhat", "y", text_hash(F.col("donor_id"), seed=seed, stream="donor").alias("_mix")
-    )
-    return number_rows(mixed, ["yhat"], ["_mix", "donor_id"], "no", range_rows).drop("_mix")
+def number_donors(donors: DataFrame, seed: int | str, range_rows: int | None = None) -> DataFrame:
+    """``donors(donor_id, yhat, y)`` numbered 1, 2, ... among equal predictions, in an order set by a hash.
+
+    ``seed`` may name a column; each seed then has an order of its own.
+    """
+    by = [seed] if isinstance(seed, str) else []
+    order = text_hash(F.col("donor_id"), seed=F.col(seed) if by else seed, stream="donor")
+    mixed = donors.select(*by, "donor_id", "yhat", "y", order.alias("_mix"))
+    return number_rows(mixed, [*by, "yhat"], ["_mix", "donor_id"], "no", range_rows).drop("_mix")
 
 
 def draw_donors(
     donors: DataFrame,
     targets: DataFrame,
     k: int = 1,
-    seed: int = 1,
+    seed: int | str = 1,
     keys: Sequence[str] = ("unit_id", "imp"),
     range_rows: int | None = None,
+    seeds: Sequence[int] = (),
 ) -> DataFrame:
     """One donor for each target row, drawn evenly from the ``k`` nearest.
 
+    With ``seeds``, ``seed`` names a column of the targets that holds one of them; all are drawn together, each
+    as it would be alone.
+
     ``donors(donor_id, yhat, y)``, ``targets(keys..., yhat)``; adds ``distance``, ``donor_id`` and ``y``.
     A place in 1..k chooses the distance; where more donors share that distance than places are left,
     all of them are equally likely. Donors with equal predictions are numbered in a hashed order and a
     hash of the keys picks the number, so donors join by (level, number) and no list of them is formed.
     Targets get no donor only if there is none.
     """
+    levels = donors.groupBy("yhat").agg(F.count("*").alias("n"))
+    by, mark = ([seed], F.col(seed)) if seeds else ([], seed)
+    if seeds:
+        donors = donors.withColumn(seed, F.explode(F.array(*[F.lit(s) for s in seeds])))
     numbered = cut_lineage(number_donors(donors, seed, range_rows), "donors")
-    levels = numbered.groupBy("yhat").agg(F.count("*").alias("n"))
     near = nearest_levels(levels, targets, k, range_rows).withColumnRenamed("yhat", "_yhat")
     hot = hot_keys(targets, "yhat")
     rows = attach(targets.withColumnRenamed("yhat", "_yhat"), near, "_yhat", list(keys), "left", hot)
     ids = [F.col(c) for c in keys]
     total = F.aggregate("near", F.lit(0).cast("bigint"), lambda s, x: s + x["n"])
-    place = F.pmod(text_hash(*ids, seed=seed, stream="place"), F.least(total, F.lit(k))) + 1
+    place = F.pmod(text_hash(*ids, seed=mark, stream="place"), F.least(total, F.lit(k))) + 1
     # the distance at which the counts reach the place, then a number among all donors at that distance
     start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("double").alias("d"))
     reach = F.aggregate(
@@ -200,38 +212,78 @@ def draw_donors(
     rows = rows.withColumn("_place", place).withColumn("distance", reach)
     rows = rows.withColumn("_at", F.filter("near", lambda x: x["distance"] == F.col("distance")))
     count = F.aggregate("_at", F.lit(0).cast("bigint"), lambda s, x: s + x["n"])
-    rows = rows.withColumn("_u", F.pmod(text_hash(*ids, seed=seed, stream="rank"), count) + 1)
+    rows = rows.withColumn("_u", F.pmod(text_hash(*ids, seed=mark, stream="rank"), count) + 1)
     # at most two levels lie at one distance, one on either side
     low = F.try_element_at("_at", F.lit(1))
     beyond = F.col("_u") > low["n"]
     rows = rows.withColumn("_level", F.when(beyond, F.try_element_at("_at", F.lit(2))["level"]).otherwise(low["level"]))
     rows = rows.withColumn("_no", F.when(beyond, F.col("_u") - low["n"]).otherwise(F.col("_u")))
     picked = rows.drop("near", "_at", "_place", "_u").join(
-        numbered.select(F.col("yhat").alias("_level"), F.col("no").alias("_no"), "donor_id", "y"),
-        ["_level", "_no"],
+        numbered.select(*by, F.col("yhat").alias("_level"), F.col("no").alias("_no"), "donor_id", "y"),
+        [*by, "_level", "_no"],
         "left",
     )
     return picked.drop("_level", "_no").withColumnRenamed("_yhat", "yhat")
 
 
-def linear_coefficients(df: DataFrame, design: Sequence[Column], target: str, ridge: float = 1e-5):
-    """Least squares with a small ridge from one aggregate of cross products.
+@dataclass(frozen=True)
+class LeastSquares:
+    """Least squares with a small ridge: coefficients, and what a draw of them needs."""
+
+    beta: np.ndarray
+    root: np.ndarray
+    rss: float
+    rows: int
+
+    def draw(self, seed: int, imp: int) -> np.ndarray:
+        """Coefficients drawn from their posterior under a flat prior, a stream of md5 per seed and imputation.
 
-    Only the p x p matrix of sums reaches the driver.
+        The residual variance is the residual sum of squares over a chi-square number, which comes from a normal
+        one by Wilson and Hilferty's cube.
+        """
+        df = max(self.rows - len(self.beta), 1)
+        z = text_normal(imp, "variance", seed=seed, stream="proper")
+        chi = df * max(1.0 - 2.0 / (9.0 * df) + z * math.sqrt(2.0 / (9.0 * df)), 1e-3) ** 3
+        normal = [text_normal(imp, j, seed=seed, stream="proper") for j in range(len(self.beta))]
+        return self.beta + math.sqrt(self.rss / chi) * (self.root @ np.array(normal))
+
+
+def least_squares(df: DataFrame, design: Sequence[Column], target: str, ridge: float = 1e-5) -> LeastSquares:
+    """Fit of the target from one aggregate of cross products about the means.
+
+    The first column of the design is the intercept. Two aggregates, of p means and p x p sums, reach the driver.
     """
-    xs = [f"_x{i}" for i in range(len(design))]
-    rows = df.select(*[c.cast("double").alias(x) for x, c in zip(xs, design)], F.col(target).alias("_y"))
-    for c in [*xs, "_y"]:
-        rows = rows.where(F.col(c).isNotNull())
+    xs = [f"_x{i}" for i in range(1, len(design))]
+    rows = df.select(*[c.cast("double").alias(x) for x, c in zip(xs, design[1:])], F.col(target).cast("double").alias("_y"))
+    rows = rows.dropna("any")
     names = [*xs, "_y"]
+    found = rows.agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in names]).first()
+    mean = np.array([found[c] or 0.0 for c in names])
+    off = [F.col(c) - F.lit(float(m)) for c, m in zip(names, mean)]
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    sums = rows.agg(*[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s{i}_{j}") for i, j in pairs])
-    row = sums.first()
+    row = rows.agg(*[F.sum(off[i] * off[j]).alias(f"s{i}_{j}") for i, j in pairs]).first()
     full = np.zeros((len(names), len(names)))
     for i, j in pairs:
         full[i, j] = full[j, i] = row[f"s{i}_{j}"] or 0.0
-    xx, xy = full[:-1, :-1], full[:-1, -1]
-    return np.linalg.lstsq(xx + np.diag(ridge * np.diag(xx)), xy, rcond=None)[0]
+    xx, xy, n = full[:-1, :-1], full[:-1, -1], found["n"]
+    spread = xx + np.diag(ridge * np.diag(xx))
+    slope = np.linalg.lstsq(spread, xy, rcond=None)[0]
+    rss = max(float(full[-1, -1] - 2 * slope @ xy + slope @ xx @ slope), 0.0)
+    back = np.eye(len(design))  # coefficients of the centred columns to those of the given ones
+    back[0, 1:] = -mean[:-1]
+    root = np.zeros((len(design), len(design)))
+    root[0, 0], root[1:, 1:] = max(n, 1) ** -0.5, _root(np.linalg.pinv(spread))
+    beta = back @ np.concatenate([[mean[-1]], slope])
+    return LeastSquares(beta, back @ root, rss, n)
+
+
+def _root(matrix: np.ndarray) -> np.ndarray:
+    """Cholesky factor; of a singular matrix (a constant or doubled column) the symmetric one."""
+    try:
+        return np.linalg.cholesky(matrix)
+    except np.linalg.LinAlgError:
+        value, vector = np.linalg.eigh((matrix + matrix.T) / 2)
+        return vector * np.sqrt(np.maximum(value, 0.0))
 
 
 def dummies(factors: dict[str, Sequence[str]], numeric: Sequence[str] = ()) -> list[Column]:
@@ -254,26 +306,44 @@ def impute_pmm(
     seed: int = 1,
     unit: str = "unit_id",
     range_rows: int | None = None,
+    proper: bool = False,
+    seeds: Sequence[int] = (),
 ) -> DataFrame:
     """Fill the missing values of one column by predictive mean matching; adds ``imp`` in 1..m.
 
-    The linear prediction uses the point estimate of the coefficients. A missing value takes the
+    The linear prediction uses the point estimate of the coefficients; with ``proper`` that of a missing value
+    uses coefficients drawn anew for each imputation, so that several imputations differ as they should. With
+    ``seeds`` instead of one seed there is a column ``seed`` and a whole table for each, made together. A missing value takes the
     observed value of one of the ``donors`` nearest observed rows, drawn by a hash of unit, imputation
     and seed; donors at equal distance are equally likely. Rows with a missing predictor cannot be
     predicted and stay missing.
     """
     design = dummies(factors, numeric)
-    beta = linear_coefficients(df, design, target)
-    yhat = sum((float(b) * x for b, x in zip(beta, design)), F.lit(0.0))
-    scored = cut_lineage(df.withColumn("_yhat", yhat), "scored-units")
+    fit = least_squares(df, design, target)
+    scored = cut_lineage(df.withColumn("_yhat", _line(fit.beta, design)), "scored-units")
     observed = scored.where(F.col(target).isNotNull() & F.col("_yhat").isNotNull()).select(
         F.col(unit).alias("donor_id"), F.col("_yhat").alias("yhat"), F.col(target).alias("y")
     )
-    imps = F.explode(F.sequence(F.lit(1), F.lit(m))).alias("imp")
-    open_rows = scored.where(F.col(target).isNull() & F.col("_yhat").isNotNull())
+    if "seed" in df.columns and seeds:
+        raise ValueError("the units have a column named seed already")
+    imps = F.sequence(F.lit(1), F.lit(m))
+    cells = F.array(*[F.lit(s) for s in seeds]) if seeds else F.array(F.lit(seed))
+    copies = F.inline(F.flatten(F.transform(cells, lambda s: F.transform(imps, lambda i: F.struct(s.alias("seed"), i.alias("imp"))))))
+    open_rows = scored.where(F.col(target).isNull() & F.col("_yhat").isNotNull()).select("*", copies)
+    yhat = F.col("_yhat")
+    if proper:
+        drawn = [fit.draw(s, i) for s in (seeds or [seed]) for i in range(1, m + 1)]
+        at = (F.array_position(cells, F.col("seed")).cast("int") - 1) * m + F.col("imp") - 1
+        each = [F.array(*[F.lit(float(b[j])) for b in drawn])[at] for j in range(len(design))]
+        yhat = sum((b * x for b, x in zip(each, design)), F.lit(0.0))
     columns = [c for c in df.columns if c != target]
-    asked = cut_lineage(open_rows.select(*columns, F.col("_yhat").alias("yhat"), imps), "targets")
-    filled = draw_donors(observed, asked, donors, seed, (unit, "imp"), range_rows)
-    drawn = filled.select(*columns, F.col("y").alias(target), "imp")
-    kept = scored.where(F.col(target).isNotNull() | F.col("_yhat").isNull())
-    return kept.select(*columns, target, imps).unionByName(drawn)
+    by = ["seed"] if seeds else []
+    asked = cut_lineage(open_rows.select(*columns, yhat.alias("yhat"), "imp", *by), "targets")
+    filled = draw_donors(observed, asked, donors, "seed" if seeds else seed, (unit, "imp"), range_rows, seeds)
+    drawn = filled.select(*columns, F.col("y").alias(target), "imp", *by)
+    kept = scored.where(F.col(target).isNotNull() | F.col("_yhat").isNull()).select(*columns, target, copies)
+    return kept.select(*columns, target, "imp", *by).unionByName(drawn)
+
+
+def _line(beta: Sequence[float], design: Sequence[Column]) -> Column:
+    return sum((float(b) * x for b, x in zip(beta, design)), F.lit(0.0))

@@ -2,8 +2,9 @@
 
 The data enters the fit only through sums per cluster, and those only through sums per cluster
 size. For a ratio ``lam`` of cluster to residual variance everything the posterior needs is again a
-sum over sizes, so Spark reduces the table to one p x p system per (group, lam). NumPy solves those
-systems: a fixed number of small ones, whatever the size of the data.
+sum over sizes: one p x p system per (group, lam). NumPy solves those systems, a fixed number of small ones,
+whatever the size of the data. Fits take their sums from blocks (``grams``); ``cluster_sums`` and ``size_sums`` are
+the same sums as plain columns.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trialweave.functions.noise import hash_normal
+from trialweave.operators import grams
 from trialweave.operators.joins import attach
 from trialweave.operators.ranges import group_quantiles
 from trialweave.schema import FIT_SEED, PRIOR_COEFFICIENT_SD, PRIOR_SCALE, PRIOR_SCALE_DF
@@ -120,14 +123,14 @@ def default_priors(df: DataFrame, outcome: str, least: float = 2.5) -> Priors:
 class Fit:
     """Fit table plus what is needed to use it.
 
-    ``table``: by..., cell, sigma, tau, weight, beta ARRAY, cov ARRAY (row-major), on the scale of
-    the data. ``cluster_means``: by..., cluster, n, y_mean, x_mean ARRAY.
+    ``table``: by..., cell, sigma, tau, weight, beta ARRAY, cov ARRAY (row-major), resolved, on the scale of
+    the data. ``cluster_means``: by..., cluster, n, y_mean, x_mean ARRAY; None for a fit of imputed sums.
     """
 
     formula: Formula
     by: Sequence[str]
     table: DataFrame
-    cluster_means: DataFrame
+    cluster_means: DataFrame | None
     centre: Mapping[str, float] = field(default_factory=dict)
 
 
@@ -305,18 +308,11 @@ def refine(lam: np.ndarray, logp: np.ndarray) -> tuple[list[float], bool]:
     return np.exp(np.linspace(lo, hi, points)).tolist(), done
 
 
-def _zoom(pdf: pd.DataFrame, by: Sequence[str], p: int, priors: Priors) -> pd.DataFrame:
-    lam, logp, _ = _solve(pdf, p, priors, False)
-    grid, done = refine(lam, logp)
-    grid = np.sort(lam).tolist() if done else grid
-    return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in by}, "grid": grid, "done": done}])
-
-
 def _cells(
     pdf: pd.DataFrame, by: Sequence[str], p: int, priors: Priors, offset: np.ndarray, y_mean: float
 ) -> pd.DataFrame:
     """Fit table of one group: grid cells with weight, coefficients and covariance."""
-    _, logp, (sigma, tau, beta, cov) = _solve(pdf, p, priors, True)
+    lam, logp, (sigma, tau, beta, cov) = _solve(pdf, p, priors, True)
     weight = np.exp(logp - logp.max())
     weight /= weight.sum()
     keep = np.nonzero(weight > 1e-10)
@@ -334,6 +330,7 @@ def _cells(
             "weight": w,
             "beta": list(mean),
             "cov": list(spread.reshape(len(w), -1)),
+            "resolved": refine(lam, logp)[1],
         }
     )
     for k in reversed(list(by)):
@@ -341,6 +338,107 @@ def _cells(
     return out
 
 
+def _group_systems(sizes: pd.DataFrame, lam: np.ndarray, p: int) -> pd.DataFrame:
+    """``_systems`` of one group from its ``grams.size_blocks``."""
+    width, (up, down) = p - 1, grams.triangle(p - 1)
+    half = len(up)
+    total = np.stack(sizes.loc[sizes["n"] == 0, "v"].to_numpy()).sum(0)
+    sized = sizes[sizes["n"] > 0]
+    n, m = sized["n"].to_numpy(float), sized["n_clusters"].to_numpy(float)
+    v = np.stack(sized["v"].to_numpy())
+    s, ss, t, tt, st = np.split(v, np.cumsum([width, half, 1, 1]), axis=1)
+    keep = 1.0 / (1.0 + np.outer(lam, n))
+    w = lam[:, None] * keep
+    a = np.empty((len(lam), p, p))
+    b = np.empty((len(lam), p))
+    a[:, 0, 0], b[:, 0] = keep @ (n * m), keep @ t[:, 0]
+    a[:, 0, 1:] = a[:, 1:, 0] = keep @ s
+    b[:, 1:] = total[half + 1 :] - w @ st
+    cross = total[:half] - w @ ss
+    a[:, up + 1, down + 1] = a[:, down + 1, up + 1] = cross
+    rows = (n * m).sum()
+    mean = np.concatenate([[1.0], s.sum(0) / rows])
+    return pd.DataFrame(
+        {
+            "lam": lam,
+            "total": rows,
+            "logdet": np.log1p(np.outer(lam, n)) @ m,
+            "c": total[half] - w @ tt[:, 0],
+            "a": list(a.reshape(len(lam), -1)),
+            "b": list(b),
+            "mean": [mean] * len(lam),
+        }
+    )
+
+
+def _fit_group(
+    sizes: pd.DataFrame, by: Sequence[str], p: int, priors: Priors, offset: np.ndarray, y_mean: float
+) -> pd.DataFrame:
+    """Fit table of one group from its size sums; the grid is refined here until it resolves the posterior."""
+    lam = _start_grid()
+    for _ in range(MOST_ROUNDS):
+        systems = _group_systems(sizes, lam, p)
+        grid, done = refine(*_solve(systems, p, priors, False)[:2])
+        if done:
+            break
+        lam = np.array(grid)
+    return _cells(systems.assign(**{k: sizes[k].iloc[0] for k in by}), by, p, priors, offset, y_mean)
+
+
+def _start_grid() -> np.ndarray:
+    return np.exp(np.linspace(math.log(1e-8), math.log(1e6), COARSE_POINTS))
+
+
+def fit_from_sums(
+    sums: DataFrame,
+    formula: Formula,
+    by: Sequence[str],
+    centre: Mapping[str, float],
+    priors: Priors | None = None,
+    means: DataFrame | None = None,
+) -> Fit:
+    """Posterior from ``grams.size_blocks`` per ``by`` group, of columns and outcomes with ``centre`` taken off.
+
+    A group is solved in one call, whatever its number of rows and clusters: it has a row per cluster size, at most
+    the square root of twice its rows. ``resolved`` tells whether the grid of variance ratios came to resolve the
+    posterior; a group that does not leaves the others as they are.
+    """
+    priors = priors or Priors()
+    p, keys = len(formula.names), list(by)
+    if priors.intercept_mean is not None:
+        priors = replace(priors, intercept_mean=priors.intercept_mean - centre[formula.outcome])
+    schema = T.StructType(
+        [
+            *[sums.schema[k] for k in keys],
+            T.StructField("cell", T.IntegerType()),
+            T.StructField("sigma", T.DoubleType()),
+            T.StructField("tau", T.DoubleType()),
+            T.StructField("weight", T.DoubleType()),
+            T.StructField("beta", T.ArrayType(T.DoubleType())),
+            T.StructField("cov", T.ArrayType(T.DoubleType())),
+            T.StructField("resolved", T.BooleanType()),
+        ]
+    )
+    offset = np.array([centre.get(name, 0.0) for name in formula.names])
+    y_mean = centre[formula.outcome]
+    solved = sums.groupBy(*keys).applyInPandas(
+        lambda pdf: _fit_group(pdf, keys, p, priors, offset, y_mean), schema=schema
+    )
+    return Fit(formula, tuple(by), cut_lineage(solved, "fit"), means, centre)
+
+
+def design_rows(
+    df: DataFrame, formula: Formula, by: Sequence[str] = (), centre: Mapping[str, float] | None = None
+) -> DataFrame:
+    """(by..., cluster, x, y): design without intercept and outcome of complete rows, less ``centre``."""
+    centre = centre or {}
+    y = F.col(formula.outcome).cast("double") - F.lit(float(centre.get(formula.outcome, 0.0)))
+    rows = df.select(
+        *by, F.col(formula.cluster).alias("cluster"), grams.array_of(formula.columns(centre=centre)[1:]).alias("x"), y.alias("y")
+    )
+    return rows.where(F.col("cluster").isNotNull() & F.col("y").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
+
+
 def fit_random_intercept(
     df: DataFrame,
     formula: Formula,
@@ -349,56 +447,42 @@ def fit_random_intercept(
 ) -> Fit:
     """Posterior of the random-intercept regression, separately per ``by`` group.
 
-    The data is read once for the means and once for the sums (and again for the cluster means, if
-    predictions are asked for). Given the two variances the
-    coefficients are exactly Normal; the variances are summed out over a grid that is refined and
+    The data is read once for the means and once for the sums; one row per cluster is written. Given the two
+    variances the coefficients are exactly Normal; the variances are summed out over a grid that is refined and
     widened until it resolves the posterior weight, however narrow many clusters make it.
     """
-    priors = priors or Priors()
     p = len(formula.names)
     keys = list(by) or ["_all"]
     if not by:
         df = df.withColumn("_all", F.lit(0))
     centre = centring(df, formula)
-    if priors.intercept_mean is not None:
-        priors = replace(priors, intercept_mean=priors.intercept_mean - centre[formula.outcome])
-    clusters = cluster_sums(df, formula, keys, centre)
-    sizes = cut_lineage(size_sums(clusters, p, keys), "size-sums")
-    key_fields = [sizes.schema[k] for k in keys]
-    grid_schema = T.StructType(
-        [*key_fields, T.StructField("grid", T.ArrayType(T.DoubleType())), T.StructField("done", T.BooleanType())]
-    )
-    start = np.exp(np.linspace(math.log(1e-8), math.log(1e6), COARSE_POINTS))
-    systems = _systems(sizes, F.array(*[F.lit(float(v)) for v in start]), p, keys)
-    for _ in range(MOST_ROUNDS):
-        # one row per group; the groups that are resolved keep their grid
-        ranges = cut_lineage(
-            systems.groupBy(*keys).applyInPandas(lambda pdf: _zoom(pdf, keys, p, priors), schema=grid_schema), "grid"
-        )
-        systems = _systems(sizes.join(ranges, keys), F.col("grid"), p, keys)
-        if ranges.where("not done").isEmpty():
-            break
-    else:
-        raise RuntimeError("the grid of variance ratios does not resolve the posterior")
-    fields = [
-        *key_fields,
-        T.StructField("cell", T.IntegerType()),
-        T.StructField("sigma", T.DoubleType()),
-        T.StructField("tau", T.DoubleType()),
-        T.StructField("weight", T.DoubleType()),
-        T.StructField("beta", T.ArrayType(T.DoubleType())),
-        T.StructField("cov", T.ArrayType(T.DoubleType())),
-    ]
-    offset = np.array([centre.get(name, 0.0) for name in formula.names])
-    y_mean = centre[formula.outcome]
-    table = cut_lineage(
-        systems.groupBy(*keys).applyInPandas(
-            lambda pdf: _cells(pdf, keys, p, priors, offset, y_mean), schema=T.StructType(fields)
-        ),
-        "fit",
-    )
-    means = cluster_means(clusters, formula, by, centre)
-    return Fit(formula, tuple(by), table if by else table.drop("_all"), means, centre)
+    rows, at = design_rows(df, formula, keys, centre), len(keys) + 2
+    made = grams.cluster_blocks(rows, keys, p - 1, 1, lambda batch: batch.column(at).to_numpy()[:, None])
+    clusters = cut_lineage(grams.merged_clusters(made, keys), "cluster-sums")
+    sums = grams.size_blocks(clusters, keys, p - 1, 1)
+    fit = fit_from_sums(sums, formula, keys, centre, priors, _block_means(clusters, formula, by, centre))
+    return fit if by else replace(fit, by=(), table=fit.table.drop("_all"))
+
+
+def _block_means(clusters: DataFrame, formula: Formula, by: Sequence[str], centre: Mapping[str, float]) -> DataFrame:
+    """``cluster_means`` from the rows of ``grams.merged_clusters`` that are clusters."""
+    p = len(formula.names)
+    off = np.array([*[centre.get(name, 0.0) for name in formula.names[1:]], centre.get(formula.outcome, 0.0)])
+    lead = [*by, "cluster"]
+
+    def task(batches):
+        for batch in batches:
+            n = batch.column(len(lead)).to_numpy()
+            mean = np.array([np.frombuffer(v.as_buffer()) for v in batch.column(len(lead) + 1)]).reshape(-1, p)
+            mean = mean / n[:, None] + off
+            x = np.concatenate([np.ones((len(n), 1)), mean[:, :-1]], 1)
+            columns = [*batch.columns[: len(lead) + 1], pa.array(mean[:, -1]), grams.lists(x)]
+            yield pa.RecordBatch.from_arrays(columns, [*lead, "n", "y_mean", "x_mean"])
+
+    kinds = dict(clusters.dtypes)
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in lead) + "n long, y_mean double, x_mean array<double>"
+    rows = clusters.where(F.col("cluster").isNotNull()).select(*lead, "count", "v").mapInArrow(task, schema)
+    return rows.withColumnRenamed("cluster", formula.cluster)
 
 
 def coefficient_summary(fit: Fit) -> DataFrame:
