@@ -89,11 +89,11 @@ def q_csv_quarantine(v: Views) -> DataFrame:
     path = fresh_path(v.spark, "broken-csv")
     for part, header, cells in (
         ("a", "cluster_id,decile,stype", (number, decile, name)),
-        ("b", "stype,cluster_id,decile", (name, number, decile)),
+        ("b", "decile,stype,cluster_id", (decile, name, number)),
     ):
         own = c.where((key % 2 == 0) if part == "a" else (key % 2 == 1))
         lines = own.select(F.concat(F.concat_ws(",", *cells), tail).alias(header))
-        lines.write.option("header", True).option("quote", "").csv(f"{path}/{part}")
+        lines.write.option("header", True).option("sep", "\u0001").option("escapeQuotes", False).csv(f"{path}/{part}")
     schema = c.select("cluster_id", "decile", "stype").schema
     read = tables.read_checked_csv(v.spark, f"{path}/*", schema)
     fields = read.counts.groupBy("column_name").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_unreadable").alias("n_bad"))

@@ -27,9 +27,9 @@ def quantile_sketches(df: DataFrame, by: Sequence[str], value: str, size: int =
     A group without any has a NULL sketch.
     """
     v = F.col(value).cast("double")
-    return df.groupBy(*by).agg(F.kll_sketch_agg_double(F.when(~F.isnan(v), v), size).alias("_s"), F.count_if(~F.isnan(v)).alias("_n")).select(
-        *by, F.when(F.col("_n") > 0, F.col("_s")).alias("sketch")
-    )
+    number = v.isNotNull() & ~F.isnan(v)
+    made = df.groupBy(*by).agg(F.kll_sketch_agg_double(F.when(number, v), size).alias("_s"), F.count_if(number).alias("_n"))
+    return made.select(*by, F.when(F.col("_n") > 0, F.col("_s")).alias("sketch"))
 
 
 def merge_sketches(sketches: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -47,8 +47,9 @@ class SumStore:
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> SumStore:
         about = json.loads(spark.read.parquet(f"{path.rstrip('/')}/about").first().about)
-        pairs = [tuple(i) for i in about["interactions"]]
-        formula = Formula(about["outcome"], about["cluster"], about["factors"], about["numeric"], pairs)
+        factors = {k: tuple(v) for k, v in about["factors"].items()}
+        pairs = tuple(tuple(i) for i in about["interactions"])
+        formula = Formula(about["outcome"], about["cluster"], factors, tuple(about["numeric"]), pairs)
         return cls(spark, path, formula, about["centre"])
 
     def latest(self) -> int:
