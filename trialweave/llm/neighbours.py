@@ -86,10 +86,11 @@ def _vectors(df: DataFrame, vector: str) -> tuple[DataFrame, type]:
     return small_batches(rows).mapInArrow(task, "vec_id long, vec binary, key string"), kind
 
 
-def _limit(df: DataFrame, by: list[str], order: list[Column], most: int) -> DataFrame:
+def _limit(df: DataFrame, by: list[str], order: list[Column], most: int, keep: str | None = None) -> DataFrame:
     """The first ``most`` rows of each group; each task sends on no more than that of a group."""
     no = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn("_no", no).where(F.col("_no") <= most).drop("_no")
+    out = df.withColumn(keep or "_no", no).where(F.col(keep or "_no") <= most)
+    return out if keep else out.drop("_no")
 
 
 @dataclass(frozen=True)
@@ -221,15 +222,13 @@ def _descend(codes: DataFrame, first: DataFrame, n: int, rounds: int) -> DataFra
         pool = [links.select(F.col(a).alias("centre"), F.col(b).alias("id"), "new", F.lit(c).alias("ahead")) for a, b, c in ends]
         mixed = F.xxhash64("centre", "id", F.lit(step), F.lit(SEED))
         pool = pool[0].unionByName(pool[1]).where("id != centre")
-        drawn = _limit(pool.where("new"), ["centre"], [mixed, F.col("id")], NEW).unionByName(
-            _limit(pool.where("not new"), ["centre"], [mixed, F.col("id")], OLD)
-        )
-        drawn = cut_lineage(drawn, "drawn")
+        drawn = _limit(pool, ["centre", "new"], [mixed, F.col("id")], max(NEW, OLD), "_no")
+        drawn = cut_lineage(drawn.where(F.col("_no") <= F.when(F.col("new"), NEW).otherwise(OLD)).drop("_no"), "drawn")
         used = drawn.where("new and ahead").select(F.col("centre").alias("id"), F.col("id").alias("nbr"))
         full = links.groupBy("id").agg(F.when(F.count("*") >= DEGREE, F.min("sim")).alias("worst"))
         known = codes.join(full, "id", "left")
         cell = F.struct("id", "new", F.coalesce("worst", F.lit(-math.inf).cast("float")).alias("worst"), "code")
-        groups = attach(drawn.drop("ahead"), known, "id", ["centre"], "inner").groupBy("centre").agg(F.collect_list(cell).alias("m"))
+        groups = drawn.drop("ahead").join(known, "id").groupBy("centre").agg(F.collect_list(cell).alias("m"))
         found = groups.where(F.exists("m", lambda x: x["new"])).select("m").mapInArrow(_propose, "id long, nbr long, sim float")
         # a link stays new until its node has drawn it
         used = used.select("id", "nbr", F.lit(-math.inf).cast("float").alias("sim"), F.lit(False).alias("new"))
@@ -270,33 +269,29 @@ def _propose(batches) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _scores(pairs: DataFrame, kind=None) -> DataFrame:
-    """(query, id, score) from pairs with ``q`` and ``code``; exact if these are vectors of ``kind``."""
+BEAM_TYPE = "array<struct<id: long, score: float, done: boolean>>"
 
-    def task(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (_fixed(batch.column(i), kind or np.uint8) for i in (2, 3))
-            if kind is None:
-                score = np.einsum("ij,ij->i", decode(a), decode(b)).astype(np.float64)
-            else:
-                score = (a.astype(np.float64) * b.astype(np.float64)).sum(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(score)], ["query", "id", "score"])
 
-    return pairs.select("query", "id", "q", "code").mapInArrow(task, "query long, id long, score double")
+def _beam(ids: np.ndarray, scores: np.ndarray, done: np.ndarray) -> list[dict]:
+    """The best ``BEAM`` nodes, ties to the smaller id."""
+    order = np.lexsort((ids, -scores))[:BEAM]
+    return [{"id": int(ids[i]), "score": float(scores[i]), "done": bool(done[i])} for i in order]
 
 
 def search(index: Index, queries: DataFrame, own: bool = True) -> DataFrame:
     """(query, id, score): the nodes that a greedy search of the graph keeps for ``queries(query, vec)``.
 
-    A query starts from the best of the index's starts and, with ``own``, from the node of its own number. It
-    follows the best nodes not followed yet until all it keeps have been followed. ``vec`` are bytes as in the
-    index; the score is the exact inner product.
+    A query starts from the best of the index's starts and, with ``own``, from the node of its own number. In each
+    step it follows the best nodes not followed yet, until all it keeps have been followed. ``vec`` are bytes as in
+    the index; the score is the exact inner product. A query's nodes are one row; what it meets in a step is at
+    most ``WIDTH`` nodes' neighbours.
     """
     kind, starts = index.kind, index.starts
     if not starts:
         return queries.select("query", F.lit(None).cast("long").alias("id"), F.lit(0.0).alias("score")).limit(0)
     ids = np.array([i for i, _ in starts])
     sample = decode(np.frombuffer(b"".join(c for _, c in starts), np.uint8).reshape(len(starts), -1))
+    beam_type = pa.list_(pa.struct([("id", pa.int64()), ("score", pa.float32()), ("done", pa.bool_())]))
 
     def prepare(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,45 +299,60 @@ def search(index: Index, queries: DataFrame, own: bool = True) -> DataFrame:
             x = x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
             code = encode(np.concatenate([x, np.zeros((len(x), 1))], 1))
             scores = decode(code) @ sample.T
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :BEAM]
-            cells = [
-                [{"id": int(ids[j]), "score": float(s[j]), "done": k >= FOLLOWED} for k, j in enumerate(b.tolist())]
-                for s, b in zip(scores, best)
-            ]
-            kind_of = pa.list_(pa.struct([("id", pa.int64()), ("score", pa.float64()), ("done", pa.bool_())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), _packed(code), pa.array(cells, kind_of)], ["query", "q", "first"])
-
-    ready = cut_lineage(
-        queries.select("query", "vec").mapInArrow(
-            prepare, "query long, q binary, first array<struct<id: long, score: double, done: boolean>>"
-        ),
-        "queries",
-    )
-    state = ready.select("query", F.inline("first"))
-    asked = ready.select("query", "q")
-    wanted = [F.desc("score"), F.col("id")]
-
-    def kept(rows: DataFrame) -> DataFrame:
-        merged = rows.groupBy("query", "id").agg(F.max("score").alias("score"), F.max("done").alias("done"))
-        return cut_lineage(_limit(merged, ["query"], wanted, BEAM), "beam")
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        coded = attach(pairs, index.codes, "id", ["query"], "inner")
-        return _scores(coded.join(asked, "query")).withColumn("done", F.lit(False))
-
-    if own:
-        state = state.unionByName(scored(ready.select("query", F.col("query").alias("id"))))
-    state = kept(state)
-    while not state.where("not done").isEmpty():
-        front = _limit(state.where("not done"), ["query"], wanted, WIDTH).select("query", "id")
-        met = attach(front, index.graph, "id", ["query"], "inner").select("query", F.explode("near").alias("id")).distinct()
-        new = scored(met.join(state, ["query", "id"], "left_anti"))
-        done = state.join(front.withColumn("_now", F.lit(True)), ["query", "id"], "left")
-        state = kept(
-            done.select("query", "id", "score", (F.col("done") | F.coalesce("_now", F.lit(False))).alias("done")).unionByName(new)
-        )
-    exact = attach(state.select("query", "id"), index.nodes.select("id", F.col("vec").alias("code")), "id", ["query"], "inner")
-    return _scores(exact.join(queries.select("query", F.col("vec").alias("q")), "query"), kind)
+            cells = []
+            for query, row in zip(batch.column(0).to_pylist(), scores):
+                beam = _beam(ids, row, np.ones(len(ids), bool))
+                for cell in beam[:FOLLOWED]:
+                    cell["done"] = False
+                if own and all(cell["id"] != query for cell in beam):
+                    beam = [{"id": query, "score": 2.0, "done": False}, *beam[: BEAM - 1]]  # followed first of all
+                cells.append([{**c, "done": c["done"] and c["id"] != query} for c in beam] if own else beam)
+            yield pa.RecordBatch.from_arrays([batch.column(0), _packed(code), pa.array(cells, beam_type)], ["query", "q", "beam"])
+
+    def step(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            beams = []
+            q = decode(_fixed(batch.column(1)))
+            for i, beam in enumerate(batch.column(2).to_pylist()):
+                ready = np.array([c["id"] for c in beam], np.int64)
+                scores = np.array([c["score"] for c in beam], np.float32)
+                done = np.array([c["done"] for c in beam], bool)
+                done[np.flatnonzero(~done)[:WIDTH]] = True
+                met = batch.column(3)[i]
+                if met.is_valid and len(met.values):
+                    found, at = np.unique(met.values.field(0).to_numpy(), return_index=True)
+                    new = ~np.isin(found, ready)
+                    code = _fixed(met.values.field(1))[at[new]]
+                    ready = np.concatenate([ready, found[new]])
+                    scores = np.concatenate([scores, decode(code) @ q[i]])
+                    done = np.concatenate([done, np.zeros(new.sum(), bool)])
+                beams.append(_beam(ready, scores, done))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(beams, beam_type)], ["query", "q", "beam"])
+
+    schema = f"query long, q binary, beam {BEAM_TYPE}"
+    state = cut_lineage(queries.select("query", "vec").mapInArrow(prepare, schema), "beam")
+    open_cells = F.filter("beam", lambda c: ~c["done"])
+    finished = None
+    while True:
+        over = state.where(F.size(open_cells) == 0)
+        finished = over if finished is None else finished.unionByName(over)
+        state = state.where(F.size(open_cells) > 0)
+        if state.isEmpty():
+            break
+        front = state.select("query", F.explode(F.slice(open_cells, 1, WIDTH)).alias("c")).select("query", F.col("c.id").alias("id"))
+        near = front.join(index.graph, "id").select("query", F.explode("near").alias("id"))
+        met = near.join(index.codes, "id").groupBy("query").agg(F.collect_list(F.struct("id", "code")).alias("met"))
+        state = cut_lineage(state.join(met, "query", "left").select("query", "q", "beam", "met").mapInArrow(step, schema), "beam")
+
+    def exact(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (_fixed(batch.column(i), kind).astype(np.float64) for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array((a * b).sum(1))], ["query", "id", "score"])
+
+    kept = finished.select("query", F.explode("beam.id").alias("id"))
+    pairs = kept.join(index.nodes.select("id", F.col("vec").alias("b")), "id")
+    pairs = pairs.join(queries.select("query", F.col("vec").alias("a")), "query").select("query", "id", "a", "b")
+    return pairs.mapInArrow(exact, "query long, id long, score double")
 
 
 def nearest(df: DataFrame, vector: str = "embedding", k: int = 20, every: int = 20) -> DataFrame:
@@ -359,9 +369,7 @@ def nearest(df: DataFrame, vector: str = "embedding", k: int = 20, every: int =
     vectors = index.nodes.select(F.col("id").alias("query"), "vec")
     queries = cut_lineage(vectors.join(asking.select(F.col("id").alias("query")).distinct(), "query", "left_semi"), "asked")
     found = search(index, queries)
-    named = attach(found, index.nodes.select("id", "members"), "id", ["query"], "inner").select(
-        "query", "score", F.explode("members").alias("vec_id")
-    )
+    named = found.join(index.nodes.select("id", "members"), "id").select("query", "score", F.explode("members").alias("vec_id"))
     best = _limit(named, ["query"], [F.desc("score"), F.col("vec_id")], k + 1)
     cell = F.struct((-F.col("score")).alias("down"), "vec_id", "score")
     lists = best.groupBy(F.col("query").alias("id")).agg(F.sort_array(F.collect_list(cell)).alias("found"))
