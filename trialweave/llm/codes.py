@@ -22,7 +22,7 @@ from trialweave.session import cut_lineage
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 #: Coefficients that every entry is compared on, then those added between two eliminations.
-LEAD, STEP = 4, 4
+LEAD, STEP = 8, 8
 #: Rows times entries whose sums are held at once.
 CELLS = 1 << 20
 
@@ -86,10 +86,15 @@ def nearest(y: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     if n > step:
         parts = [nearest(y[i : i + step], entries) for i in range(0, n, step)]
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    if y.dtype == entries.dtype == np.int64 and size * (int(np.abs(y).max()) + int(np.abs(entries).max())) ** 2 < 1 << 31:
+        y, entries = y.astype(np.int32), entries.astype(np.int32)  # half the memory to move, as exact
     lead = min(LEAD, size)
-    sums = (y[:, None, 0] - entries[None, :, 0]) ** 2
-    for j in range(1, lead):
-        sums += (y[:, None, j] - entries[None, :, j]) ** 2
+    columns, rows = np.ascontiguousarray(entries.T), np.ascontiguousarray(y.T)
+    sums = np.zeros((n, len(entries)), y.dtype if y.dtype == entries.dtype else object)
+    for j in range(lead):
+        off = rows[j][:, None] - columns[j][None, :]
+        off *= off
+        sums += off
     best = ((y - entries[sums.argmin(1)]) ** 2).sum(1)  # a whole distance that the nearest entry does not pass
     row, entry = np.nonzero(sums <= best[:, None])
     sums = sums[row, entry]
@@ -101,7 +106,7 @@ def nearest(y: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         sorted(range(len(row)), key=lambda k: (row[k], sums[k], entry[k])), np.int64
     )
     first = order[np.flatnonzero(np.diff(row[order], prepend=-1))]
-    return entry[first], sums[first] // size
+    return entry[first], (sums[first] if sums.dtype == object else sums[first].astype(np.int64)) // size
 
 
 def _limbs(total: int) -> list[int]:
