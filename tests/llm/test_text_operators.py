@@ -105,6 +105,37 @@ def test_large_buckets_in_blocks_give_the_same(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_checked_pairs_grow_with_the_copies_not_with_their_square(spark, monkeypatch):
+    """Near copies of one text, alike enough to each other but not all to one centre."""
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    base = [rng.choice(vocabulary) for _ in range(150)]
+
+    def copy():
+        out = list(base)
+        for _ in range(rng.randrange(2, 8)):
+            out[rng.randrange(150)] = rng.choice(vocabulary)
+        return " ".join(out)
+
+    counted = {}
+    plain = near_dedup.confirm
+    for n in (100, 400):
+        seen = counted.setdefault(n, [])
+        monkeypatch.setattr(near_dedup, "confirm", lambda pairs, *a, seen=seen: (seen.append(pairs.count()), plain(pairs, *a))[1])
+        texts = [copy() for _ in range(n)]
+        got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs(spark, texts)).collect()}
+        if n == 100:
+            assert [got[i] for i in range(n)] == brute_components(texts)[0]
+    assert sum(counted[400]) <= 5 * sum(counted[100])
+
+
+def test_forests_take_the_most_alike_and_every_pair_in_the_end():
+    comp = np.array([0, 1, 2, 0])
+    edges = [(5, 0, 1), (3, 1, 2), (4, 0, 2), (9, 2, 3)]
+    assert near_dedup._forests(edges, comp, 1) == [(3, 1, 2), (4, 0, 2)]
+    assert sorted(near_dedup._forests(edges, comp, 4)) == sorted(edges)
+
+
 def test_odd_sketch_estimates_high_similarity():
     rng = np.random.default_rng(1)
     a, b = blocks.multipliers(7, 2048)

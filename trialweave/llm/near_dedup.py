@@ -7,10 +7,12 @@
 2. Texts with equal sets form one class, seen through its smallest id.
 3. Each bucket links its members to one centre. Pairs whose sketches are alike enough are checked on
    full sets, read from whole texts. Confirmed links give components.
-4. Buckets whose members are then in several components are searched in blocks: finer sketches (2,048
-   samples) of all members are compared inside the task, and only pairs across components that are
-   alike enough go on to the check on full sets. Nothing is capped; large buckets are cut into pairs
-   of blocks.
+4. Buckets whose members are then in several components are searched in blocks, in rounds: finer sketches
+   (2,048 samples) of all members are compared inside the task, and of the pairs across components that
+   are alike enough a forest of the most alike ones goes on to the check on full sets. A link joins two
+   components, whose other pairs need no check; a refused pair is not tried again. A block with pairs left
+   takes part in the next round, with four times as many forests, until none has. Nothing is capped; large
+   buckets are cut into pairs of blocks.
 
 A pair at the threshold shares no bucket with probability 5e-6 and falls below a sketch's limit (five
 standard deviations under the threshold) with probability 3e-7.
@@ -192,34 +194,78 @@ def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return parts[0] if len(parts) == 1 else pa.concat_batches(parts)
 
 
-def _across(batches: Iterator[pa.RecordBatch], most: int, per_cent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket that lie in different components and whose fine sketches are alike enough.
-
-    A pair that meets in several buckets is given by the bucket of its first common band only.
-    Columns: bucket, block i, block j, band, side (0: block i, 1: block j), doc_id, comp, n, bands, fine.
+def _forests(edges: list[tuple[int, int, int]], comp: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """Of ``edges`` (distance, x, y), most alike first, ``k`` spanning forests over the components one after another."""
+    kept, rest = [], sorted(edges)
+    for _ in range(k):
+        root: dict[int, int] = {}
+
+        def find(c: int, root: dict[int, int] = root) -> int:
+            while root.get(c, c) != c:
+                root[c] = root.get(root[c], root[c])
+                c = root[c]
+            return c
+
+        left = []
+        for edge in rest:
+            a, b = find(int(comp[edge[1]])), find(int(comp[edge[2]]))
+            if a == b:
+                left.append(edge)
+            else:
+                root[a] = b
+                kept.append(edge)
+        if len(left) == len(rest):
+            break
+        rest = left
+    return kept
+
+
+def _across(batches: Iterator[pa.RecordBatch], most: int, per_cent: int, k: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of a bucket that lie in different components and whose fine sketches are alike enough, ``k`` forests of them.
+
+    A pair that meets in several buckets is given by the bucket of its first common band only. A row without
+    pair says that the block holds more.
+    Columns: bucket, block i, block j, band, side (0: block i, 1: block j), doc_id, comp, n, bands, fine, refused.
     """
     for g in sorted_groups(batches, 3):
         band, side = int(g.column(3)[0].as_py()), g.column(4).to_numpy()
-        ids, comp, n = (g.column(k).to_numpy() for k in (5, 6, 7))
+        ids, comp, n = (g.column(c).to_numpy() for c in (5, 6, 7))
         bands, fine = _matrix(g.column(8), np.uint64), _matrix(g.column(9), np.uint64)
+        refused = g.column(10)
         one = g.column(1)[0].as_py() == g.column(2)[0].as_py()
         left = np.arange(len(ids)) if one else np.flatnonzero(side == 0)
         right = left if one else np.flatnonzero(side == 1)
-        out_a, out_b = [], []
+        edges, total = [], 0
         for x in left.tolist():
             # only those behind x in a block's own triangle, in another component, of a size that can be similar
             y = right[x + 1 :] if one else right
             y = y[(comp[y] != comp[x]) & (100 * np.minimum(n[y], n[x]) >= per_cent * np.maximum(n[y], n[x]))]
             if not len(y):
                 continue
-            y = y[np.bitwise_count(fine[y] ^ fine[x]).sum(1, dtype=np.int64) <= most]
+            far = np.bitwise_count(fine[y] ^ fine[x]).sum(1, dtype=np.int64)
+            y, far = y[far <= most], far[far <= most]
             if len(y):
-                y = y[(bands[y] == bands[x]).argmax(1) == band]
-                out_a.append(np.minimum(ids[y], ids[x]))
-                out_b.append(np.maximum(ids[y], ids[x]))
-        if out_a:
+                mine = (bands[y] == bands[x]).argmax(1) == band
+                if refused[x].is_valid:
+                    mine &= ~np.isin(ids[y], refused[x].values.to_numpy())
+                y, far = y[mine], far[mine]
+                total += len(y)
+                if len(y) > k:
+                    near = np.argpartition(far, k - 1)[:k]
+                    y, far = y[near], far[near]
+                edges += zip(far.tolist(), [x] * len(y), y.tolist())
+        if total:
+            kept = _forests(edges, comp, k)
+            x, y = np.array([e[1] for e in kept]), np.array([e[2] for e in kept])
+            more = [None] if len(kept) < total else []
+            size = len(kept) + len(more)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"]
+                [
+                    *[pa.array([g.column(c)[0].as_py()] * size, g.column(c).type) for c in (0, 1, 2)],
+                    pa.array([*np.minimum(ids[x], ids[y]).tolist(), *more], pa.int64()),
+                    pa.array([*np.maximum(ids[x], ids[y]).tolist(), *more], pa.int64()),
+                ],
+                names=["bucket", "i", "j", "a", "b"],
             )
 
 
@@ -237,6 +283,46 @@ def _split_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _rounds(
+    cells: DataFrame, detail: DataFrame, texts: DataFrame, roots: DataFrame, most: int, per_cent: int
+) -> DataFrame:
+    """(u, root) after all links between members of one block have been found.
+
+    ``cells(bucket, i, j, band, side, doc_id)`` are the members of each block, ``detail`` what is compared.
+    """
+    block, k, refused = ["bucket", "i", "j"], 1, None
+    while True:
+        placed = cells.join(roots.withColumnRenamed("u", "doc_id"), "doc_id", "left").withColumn(
+            "comp", F.coalesce("root", "doc_id")
+        )
+        apart = placed.groupBy(*block).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
+        rows = placed.join(apart.select(*block), block, "left_semi").join(detail, "doc_id")
+        if refused is None:
+            rows = rows.withColumn("refused", F.lit(None).cast("array<long>"))
+        else:
+            both = refused.select("a", "b").unionByName(refused.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            lists = both.groupBy(F.col("a").alias("doc_id")).agg(F.collect_list("b").alias("refused"))
+            rows = rows.join(lists, "doc_id", "left")
+        rows = rows.select(*block, "band", "side", "doc_id", "comp", "n", "bands", "fine", "refused")
+        rows = rows.repartition(*block).sortWithinPartitions(*block, "band", "doc_id")
+        found = rows.mapInArrow(
+            partial(_across, most=most, per_cent=per_cent, k=k), "bucket long, i int, j int, a long, b long"
+        )
+        found = cut_lineage(found, "across")
+        pairs = cut_lineage(found.where("a is not null").select("a", "b").distinct(), "pairs")
+        if pairs.isEmpty():
+            return roots
+        good = cut_lineage(confirm(pairs, texts, per_cent), "links")
+        roots = cut_lineage(components(roots.toDF("a", "b").unionByName(good)), "roots")
+        more = found.where("a is null").select(*block)
+        if more.isEmpty():
+            return roots
+        bad = pairs.join(good, ["a", "b"], "left_anti")
+        refused = cut_lineage(bad if refused is None else refused.unionByName(bad), "refused")
+        cells = cut_lineage(cells.join(more, block, "left_semi"), "cells")
+        k *= 4
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_cent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``.
 
@@ -302,14 +388,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "band",
         F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"),
         "doc_id",
-        "comp",
     )
-    cells = cells.join(detail, "doc_id").select("bucket", "i", "j", "band", "side", "doc_id", "comp", "n", "bands", "fine")
-    cells = cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "band", "doc_id")
     most = most_toggled(per_cent / 100, FINE_SAMPLES, FINE_BITS)
-    pairs = cells.mapInArrow(partial(_across, most=most, per_cent=per_cent), "a long, b long").distinct()
-    second = confirm(cut_lineage(pairs, "pairs"), texts, per_cent)
-    roots = components(cut_lineage(first.unionByName(second), "links"))
+    roots = _rounds(cut_lineage(cells, "cells"), detail, texts, roots, most, per_cent)
 
     named = signed.select("doc_id", "n", "set_key").join(
         classes.select("set_key", "rep"), "set_key", "left"
