@@ -17,7 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
+        return named.rstrip("/")  # also a file: path, which may be a folder that all machines mount
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
@@ -47,10 +47,15 @@ def stage_scope(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         _open_scopes.remove(made)
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for name in made:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(conf).delete(path, True)
+        remove_tables(spark, made)
+
+
+def remove_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stage tables that nothing reads any more."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
