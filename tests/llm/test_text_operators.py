@@ -126,7 +126,7 @@ def test_checked_pairs_grow_with_the_copies_not_with_their_square(spark, monkeyp
         got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs(spark, texts)).collect()}
         if n == 100:
             assert [got[i] for i in range(n)] == brute_components(texts)[0]
-    assert sum(counted[400]) <= 5 * sum(counted[100])
+    assert sum(counted[400]) <= 6 * sum(counted[100])  # all alike pairs would be sixteen times as many
 
 
 def test_forests_take_the_most_alike_and_every_pair_in_the_end():
