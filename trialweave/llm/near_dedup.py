@@ -11,7 +11,7 @@
    (2,048 samples) of all members are compared inside the task, and of the pairs across components that
    are alike enough a forest of the most alike ones goes on to the check on full sets. A link joins two
    components, whose other pairs need no check; a refused pair is not tried again. A block with pairs left
-   takes part in the next round, with four times as many forests, until none has. Nothing is capped; large
+   takes part in the next round, with eight times as many forests, until none has. Nothing is capped; large
    buckets are cut into pairs of blocks.
 
 A pair at the threshold shares no bucket with probability 5e-6 and falls below a sketch's limit (five
@@ -37,6 +37,8 @@ FINE_SAMPLES, FINE_BITS = 2048, 4096
 SIGMAS = 5.0
 #: Members of a bucket that are compared with each other in one task; a larger bucket takes pairs of blocks.
 BLOCK = 4096
+#: Forests of alike pairs that a block hands on in the first round, and how many times as many in each further one.
+FORESTS, MORE = 8, 8
 #: Members that are checked against one copy of their centre.
 CHUNK = 1000
 SEED = 20_011
@@ -290,7 +292,7 @@ def _rounds(
 
     ``cells(bucket, i, j, band, side, doc_id)`` are the members of each block, ``detail`` what is compared.
     """
-    block, k, refused = ["bucket", "i", "j"], 1, None
+    block, k, refused = ["bucket", "i", "j"], FORESTS, None
     while True:
         placed = cells.join(roots.withColumnRenamed("u", "doc_id"), "doc_id", "left").withColumn(
             "comp", F.coalesce("root", "doc_id")
@@ -320,7 +322,7 @@ def _rounds(
         bad = pairs.join(good, ["a", "b"], "left_anti")
         refused = cut_lineage(bad if refused is None else refused.unionByName(bad), "refused")
         cells = cut_lineage(cells.join(more, block, "left_semi"), "cells")
-        k *= 4
+        k *= MORE
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_cent: int = 75) -> DataFrame:
