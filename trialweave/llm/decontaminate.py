@@ -17,6 +17,8 @@ from trialweave.session import cut_lineage
 WINDOW = 8
 #: Benchmark texts of fewer canonical words name no question and are left out.
 LEAST = 5
+#: Windows with fewer words beside their slots name no question: counting is no leak of other counting.
+PLAIN = 2
 #: Share of a benchmark text's windows that a document must hold.
 COVERAGE = 0.5
 # fixed values: units that follow a number
@@ -29,56 +31,109 @@ UNITS = (
     "ounces ounce yards yard gallons gallon acres acre hectares hectare degrees degree watts watt volts volt"
 ).split()
 _UNIT = r"([0-9])\x20?(" + "|".join(UNITS) + r")\b"
-_NAME = r"(?<=[\p{Ll},;][\x20\x09-\x0D])(\p{Lu}\p{Ll}+)"
-# every capitalised word, also where a sentence starts, and neighbouring ones as one name
-_ANY_NAME = r"(?<![\p{L}\p{N}_:])(\p{Lu}\p{Ll}+)(?!\p{L})"
-_NEXT_NAME = r"(#p:[\p{L}_]++)[\x20\x09-\x0D]++#p:"
-#: Kinds of templates: names inside sentences only, every capitalised word.
+_NAME = r"(?<![\p{L}\p{N}_:])(\p{Lu}\p{Ll}+)"
+# a capitalised word inside a sentence
+_INSIDE = r"#q(?<=[\p{Ll},;][\x20\x09-\x0D]#q):"
+#: Kinds of templates: names inside sentences only; every capitalised word, neighbouring ones as one name.
 KINDS = (0, 1)
 _BREAK = r"[^\p{L}\p{N}#:_]+"
 
 
-def _marked(text: Column, kind: int) -> Column:
-    """The text in lower case with values of slots marked as #n:..., #p:... and #u:..."""
-    t = F.translate(F.coalesce(text, F.lit("")), "#:_", "   ")
-    n = F.regexp_replace(t, _UNIT, "$1 #u:$2 ")
+def _starts(word: Column, *marks: str) -> Column:
+    found = [F.startswith(word, F.lit(m)) for m in marks]
+    return found[0] if len(found) == 1 else found[0] | found[1]
+
+
+def _words(table: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_key, words): lower-case words; values of slots as #n:..., #u:..., #p:... and, where a sentence starts, #q:..."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = table.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_key"), F.translate(text, "#:_", "   ").alias("t"))
+    n = F.regexp_replace("t", _UNIT, "$1 #u:$2 ")
     for _ in range(2):  # neighbouring matches share a digit
         n = F.regexp_replace(n, r"([0-9])[.,]([0-9])", "$1_$2")
     n = F.regexp_replace(n, r"([0-9][0-9_]*)", " #n:$1 ")
-    t = F.when(F.rlike(t, F.lit("[0-9]")), n).otherwise(t)
-    if kind == 0:
-        return F.lower(F.regexp_replace(t, _NAME, " #p:$1"))
-    t = F.regexp_replace(t, _ANY_NAME, " #p:$1")
-    for _ in range(3):  # names of up to eight words
-        t = F.regexp_replace(t, _NEXT_NAME, "$1_")
-    return F.lower(t)
+    t = F.when(F.rlike("t", F.lit("[0-9]")), n).otherwise(F.col("t"))
+    t = F.regexp_replace(F.regexp_replace(t, _NAME, "#q:$1"), _INSIDE, "#p:")
+    return rows.select("id", "text_key", F.array_remove(F.split(F.lower(t), _BREAK, -1), "").alias("words"))
 
 
 def templates(table: DataFrame, id_col: str, text_col: str, kind: int = 0) -> DataFrame:
     """(id, marked, canon): arrays of equal length of a text's words with and without slot values."""
-    marked = table.select(
-        F.col(id_col).cast("long").alias("id"), _marked(F.col(text_col).cast("string"), kind).alias("t")
-    )
-    bare = F.when(F.contains("t", F.lit("#")), F.regexp_replace("t", r"(#[npu]):[\p{L}\p{N}_]+", "$1")).otherwise(F.col("t"))
-    words = lambda c: F.array_remove(F.split(c, _BREAK, -1), "")
-    return marked.select(
-        "id",
-        F.when(F.contains("t", F.lit("#")), words(F.col("t"))).alias("marked"),
-        words(bare).alias("canon"),
-    )
+    rows = _words(table, id_col, text_col)
+    if kind == 0:
+        marked = F.transform("words", lambda w: F.when(_starts(w, "#q:"), F.substr(w, F.lit(4))).otherwise(w))
+    else:  # a run of names is joined where the mark at the end of one meets that at the start of the next
+        name = lambda w: F.concat(F.lit("#p:"), F.substr(w, F.lit(4)), F.lit(";"))
+        text = F.array_join(F.transform("words", lambda w: F.when(_starts(w, "#p:", "#q:"), name(w)).otherwise(w)), " ")
+        text = F.replace(F.replace(text, F.lit("; #p:"), F.lit("_")), F.lit(";"), F.lit(""))
+        marked = F.array_remove(F.split(text, " ", -1), "")
+    rows = rows.select("id", marked.alias("marked"))
+    return rows.select("id", "marked", F.transform("marked", lambda w: F.when(_starts(w, "#"), F.left(w, F.lit(2))).otherwise(w)).alias("canon"))
+
+
+def _hashes(kind: int) -> Column:
+    """Hashes of the canonical words of ``words``, without the slots' values."""
+    words = F.col("words")
+    if kind == 0:
+        plain = F.transform(
+            words,
+            lambda w: F.xxhash64(F.when(_starts(w, "#q:"), F.substr(w, F.lit(4))).when(_starts(w, "#"), F.left(w, F.lit(2))).otherwise(w)),
+        )
+    else:
+        names = ("#p:", "#q:")
+        first = F.filter(words, lambda w, i: ~_starts(w, *names) | (i == 0) | ~_starts(F.get(words, i - 1), *names))
+        plain = F.transform(
+            first,
+            lambda w: F.xxhash64(F.when(_starts(w, *names), F.lit("#p")).when(_starts(w, "#"), F.left(w, F.lit(2))).otherwise(w)),
+        )
+    return plain
+
+
+def _keyed(rows: DataFrame, width: int, kinds: dict[str, int]) -> DataFrame:
+    """``rows`` with a column ``keys_<kind>_<width>``, the hashes of all windows, for each column of word hashes.
+
+    Hashes of two words come from their neighbours', those of four from the twos, those of five to eight
+    from two overlapping fours, so a window costs three steps at any width.
+    """
 
+    def join(c: str, by: int, mark: int | None = None) -> Column:
+        later = F.slice(c, by + 1, F.size(c))
+        return F.zip_with(c, later, lambda a, b: F.xxhash64(a, b) if mark is None else F.xxhash64(F.lit(mark), a, b))
 
-def _windows(table: DataFrame, width: Column | int, kind: int) -> DataFrame:
-    """(id, pos, width, key, slots): every window of a row's words; slots only where it has some."""
-    width = F.lit(width) if isinstance(width, int) else width
-    places = F.when(F.size("canon") >= width, F.sequence(F.lit(1), F.size("canon") - width + 1))
-    window = F.transform(
-        places,
-        lambda i: F.struct(i.alias("pos"), F.xxhash64(width, F.lit(kind), F.slice("canon", i, width)).alias("key")),
-    )
-    out = table.select("id", width.alias("width"), "marked", F.inline(window))
-    values = F.filter(F.slice("marked", F.col("pos"), F.col("width")), lambda w: F.startswith(w, F.lit("#")))
-    return out.select("id", "pos", "width", "key", F.when(F.size(values) > 0, values).alias("slots"))
+    for c, kind in kinds.items():
+        if f"{c}_4" not in rows.columns:
+            rows = rows.withColumn(f"{c}_2", join(c, 1))
+            rows = rows.withColumn(f"{c}_4", join(f"{c}_2", 2))
+        whole = F.slice(join(f"{c}_4", width - 4, 16 * kind + width), 1, F.greatest(F.size(c) - width + 1, F.lit(0)))
+        rows = rows.withColumn(f"keys_{kind}_{width}", whole)
+    return rows
+
+
+def _windows(table: DataFrame, width: int, kind: int) -> DataFrame:
+    """(id, pos, width, key, slots, plain): every window of a row's words; slots only where it has some."""
+    rows = table.withColumn("h", F.transform("canon", lambda w: F.xxhash64(w)))
+    rows = _keyed(rows, width, {"h": kind}).select("id", "marked", F.posexplode(f"keys_{kind}_{width}").alias("at", "key"))
+    values = F.filter(F.slice("marked", F.col("at") + 1, width), lambda w: _starts(w, "#"))
+    rows = rows.select("id", (F.col("at") + 1).alias("pos"), F.lit(width).alias("width"), "key", values.alias("v"))
+    return rows.select("id", "pos", "width", "key", F.when(F.size("v") > 0, F.col("v")).alias("slots"), (width - F.size("v")).alias("plain"))
+
+
+def _suspects(docs: DataFrame, id_col: str, text_col: str, known: DataFrame, total: DataFrame, widths: list[int], coverage: float) -> DataFrame:
+    """The rows whose texts hold enough windows of a benchmark text, whatever their slots hold.
+
+    One pass over the texts: all window hashes meet the benchmark's, and what remains is counted by text.
+    """
+    rows = _words(docs, id_col, text_col).select("text_key", *[_hashes(k).alias(f"h{k}") for k in KINDS])
+    for width in widths:
+        rows = _keyed(rows, width, {f"h{k}": k for k in KINDS})
+    keys = F.concat(*[F.col(f"keys_{k}_{w}") for k in KINDS for w in widths])
+    held = rows.select("text_key", F.explode(keys).alias("key")).join(known.select("key").distinct(), "key").distinct()
+    at = known.select("key", "kind", F.col("id").alias("item_id"), "pos").distinct()
+    held = held.join(at, "key").groupBy("text_key", "kind", "item_id").agg(F.count_distinct("pos").alias("matched"))
+    held = held.join(total, (held.item_id == total.id) & (held.kind == total.k)).where(F.col("matched") >= coverage * F.col("windows"))
+    texts = cut_lineage(held.select(F.col("text_key").alias("__text")).distinct(), "suspects")
+    own = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return docs.join(texts, own == F.col("__text"), "left_semi").select(id_col, text_col)
 
 
 def leaks(
@@ -95,27 +150,30 @@ def leaks(
     ``matched`` of the text's ``windows`` stand in the document, counted over the places (differences of
     position) at which every slot value of the benchmark stands for one value only; ``slots`` distinct
     slot values were compared there and ``changed`` of them differ. A pair is given where matched reaches
-    the coverage. Benchmark texts of 5 to 7 words are one window; shorter, empty or missing ones are left
-    out. Texts are compared in two kinds of templates, with names inside sentences as slots and with every
-    capitalised word (runs of them as one); a pair that both give has the figures of the first. Missing and
+    the coverage. Windows with fewer than two words beside their slots do not count. Benchmark texts of 5
+    to 7 words are one window; shorter, empty or missing ones are left out. Texts are compared in two kinds of templates, with names inside sentences as slots and with every
+    capitalised word (neighbouring ones, of any number, as one); a pair that both give has the figures of the first. Missing and
     empty documents hold nothing; rows without id are searched and named by NULL.
     Repeated rows count once. Benchmark rows of one id are one text each and count together.
     """
     known = None
     for kind in KINDS:
-        items = templates(benchmark, item_col, item_text, kind).where(F.size("canon") >= LEAST)
-        part = _windows(items, F.least(F.size("canon"), F.lit(WINDOW)), kind).withColumn("kind", F.lit(kind))
-        known = part if known is None else known.unionByName(part)
-    known = cut_lineage(known.distinct(), "windows")
+        items = cut_lineage(templates(benchmark, item_col, item_text, kind).where(F.size("canon") >= LEAST), "templates")
+        for width in range(LEAST, WINDOW + 1):
+            own = F.size("canon") == width if width < WINDOW else F.size("canon") >= width
+            part = _windows(items.where(own), width, kind).withColumn("kind", F.lit(kind)).where(F.col("plain") >= PLAIN)
+            known = part if known is None else known.unionByName(part)
+    known = cut_lineage(known.drop("plain").distinct(), "windows")
     widths = sorted(r[0] for r in known.select("width").distinct().collect())  # 5 to 8
     total = known.groupBy("id", F.col("kind").alias("k")).agg(F.count_distinct("pos").alias("windows"))
     keys = known.select("key", "kind", F.col("id").alias("item_id"), F.col("pos").alias("at"), F.col("slots").alias("theirs"))
 
+    suspects = _suspects(docs, id_col, text_col, known, total, widths or [WINDOW], coverage)
     found = None
     for kind in KINDS:
-        own = templates(docs, id_col, text_col, kind)
+        own = cut_lineage(templates(suspects, id_col, text_col, kind), "templates")
         for width in widths or [WINDOW]:
-            part = _windows(own, width, kind).join(keys, "key")
+            part = _windows(own, width, kind).drop("plain").join(keys, "key")
             found = part if found is None else found.unionByName(part)
     found = found.select(
         F.col("id").alias("doc_id"), "item_id", "kind", (F.col("pos") - F.col("at")).alias("place"), "at", "slots", "theirs"
