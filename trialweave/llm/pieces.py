@@ -156,7 +156,7 @@ class Pieces:
         return True
 
     def _last_merges(self, word: str, states: list) -> None:
-        """Extend the states (last piece, what fits behind it, ids) of prefixes of ``word`` to all of it.
+        """Extend the states (last piece, what fits behind it, state before, own ids, last id) of prefixes of ``word`` to all of it.
 
         The pieces that can end at a place are tried from the shortest on; exactly one fits.
         """
@@ -166,7 +166,7 @@ class Pieces:
             while True:
                 own = get(piece)
                 if own is not None or j == i - 1:
-                    last, behind, ids = states[j]
+                    last, behind, _, _, id_before = states[j]
                     fit = behind.get(piece)
                     if fit is None:
                         fit = behind[piece] = self._fit(last, piece)
@@ -180,10 +180,11 @@ class Pieces:
             behind = fits.get(piece)
             if behind is None:
                 behind = fits[piece] = {}
-            states.append((piece, behind, ids + ((own,) if own is not None else self._own(piece, ids))))
+            own_ids = (own,) if own is not None else self._own(piece, id_before)
+            states.append((piece, behind, j, own_ids, own_ids[-1] if own_ids else id_before))
 
     def _best_sums(self, word: str, states: list) -> None:
-        """Extend the states (last piece, best sum of scores, ids) of prefixes of ``word`` to all of it."""
+        """Extend the states (last piece, best sum of scores, state before, own ids, last id) of prefixes of ``word`` to all of it."""
         for i in range(len(states), len(word) + 1):
             states.append(self._best_sum(word, i, states))
 
@@ -198,15 +199,25 @@ class Pieces:
             score += states[j][1]
             if best is None or score > best:
                 best, at = score, j
-        return (word[at:i], best, states[at][2] + self._own(word[at:i], states[at][2]))
-
-    def _own(self, piece: str, before: tuple) -> tuple[int, ...]:
+        own, id_before = self._own(word[at:i], states[at][4]), states[at][4]
+        return (word[at:i], best, at, own, own[-1] if own else id_before)
+
+    @staticmethod
+    def _ids(states: list) -> list[int]:
+        """The ids of the last state, walked back to the first."""
+        parts, at = [], len(states) - 1
+        while at > 0:
+            parts.append(states[at][3])
+            at = states[at][2]
+        return [i for own in reversed(parts) for i in own]
+
+    def _own(self, piece: str, before: int) -> tuple[int, ...]:
         own = self.ids.get(piece)
         if own is not None:
             return (own,)
         if self.byte_ids:
             return tuple(self.byte_ids[b] for b in piece.encode())
-        return () if before and before[-1] == self.unknown else (self.unknown,)
+        return () if before == self.unknown else (self.unknown,)
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode the words that are not remembered, in sorted order."""
@@ -214,7 +225,7 @@ class Pieces:
         if self.known_pairs > REMEMBERED:
             self.fits, self.known_pairs = {}, 0
         extend = self._last_merges if self.merges else self._best_sums
-        states: list[tuple] = [("", self.fits.setdefault("", {}) if self.merges else 0.0, ())]
+        states: list[tuple] = [("", self.fits.setdefault("", {}) if self.merges else 0.0, 0, (), -1)]
         before, at = "", len(self.ends)
         for word in sorted(w for w in words if w not in known):
             shared, most = 0, min(len(word), len(before))
@@ -224,7 +235,7 @@ class Pieces:
             extend(word, states)
             before = word
             known[word] = at + len(ends)
-            flat += states[-1][2]
+            flat += self._ids(states)
             ends.append(len(flat))
         if ends:
             self.ends = np.concatenate([self.ends, np.array(ends, dtype=np.int64) + len(self.flat)])
