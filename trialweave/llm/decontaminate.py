@@ -31,7 +31,7 @@ UNITS = (
     "ounces ounce yards yard gallons gallon acres acre hectares hectare degrees degree watts watt volts volt"
 ).split()
 _UNIT = r"([0-9])\x20?(" + "|".join(UNITS) + r")\b"
-_NAME = r"(?<![\p{L}\p{N}_:])(\p{Lu}\p{Ll}+)"
+_NAME = r"(\p{Lu}(?<![\p{L}\p{N}_:]\p{Lu})\p{Ll}+)"
 # a capitalised word inside a sentence
 _INSIDE = r"#q(?<=[\p{Ll},;][\x20\x09-\x0D]#q):"
 #: Kinds of templates: names inside sentences only; every capitalised word, neighbouring ones as one name.
