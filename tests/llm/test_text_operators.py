@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
@@ -308,6 +309,22 @@ def test_quality_of_odd_rows(spark):
 # SentencePiece
 
 
+def test_very_long_words_take_linear_memory():
+    import sentencepiece
+
+    data = pieces.read_model(pieces.MODEL)
+    own, ref = pieces.Pieces(data), sentencepiece.SentencePieceProcessor(model_proto=data)
+    rng = random.Random(8)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "é漢字kanji"):
+        word = "".join(rng.choice(letters) for _ in range(300_000))
+        tracemalloc.start()
+        ids, _ = own.encode([word, word[:200_000]])
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert list(ids) == ref.encode(word) + ref.encode(word[:200_000]) and peak < 1 << 28
+        own.forget()
+
+
 def test_ids_equal_the_reference_encoder():
     import sentencepiece
 
@@ -560,6 +577,32 @@ def test_verbatim_and_changed_questions_leak(spark):
     assert [(r.doc_id, r.item_id) for r in short] == [(0, 4)]
 
 
+def test_counting_is_no_leak_and_names_of_many_words_are(spark):
+    numbers = " ".join(str(i) for i in range(300))
+    plain = "The long list of prices holds these values and no others: "
+    item = "Ask Tom how many of the seven boxes he left with Eve when they met at noon."
+    long = item.replace("Tom", " ".join(["Ann"] * 12))
+    bench = spark.createDataFrame([(1, numbers), (2, plain + numbers), (3, item)], "item_id long, text string")
+    texts = [" ".join(str(7 * i) for i in range(3000)), plain + numbers, long, item.replace("Eve", "Zoe")]
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(docs(spark, texts), bench).collect()}
+    assert set(got) == {(1, 2), (2, 3), (3, 3)}
+    assert got[1, 2].matched == got[1, 2].windows < 20 and got[3, 3].changed == 1
+
+
+def test_window_hashes_are_those_of_equal_words(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.choice("abc") for _ in range(rng.randrange(12))]) for i in range(200)]
+    table = spark.createDataFrame(rows, "id long, words array<string>").withColumn("h0", F.transform("words", lambda w: F.xxhash64(w)))
+    for width in (5, 6, 7, 8):
+        seen = {}
+        for r in decontaminate._keyed(table, width, {"h0": 0}).collect():
+            keys = r[f"keys_0_{width}"]
+            assert len(keys) == max(len(r.words) - width + 1, 0)
+            for i, k in enumerate(keys):
+                assert seen.setdefault(k, tuple(r.words[i : i + width])) == tuple(r.words[i : i + width])
+        assert len(set(seen.values())) == len(seen)
+
+
 def test_questions_whose_sentences_start_with_names_leak(spark):
     item = "Tom has 5 red apples. Tom eats 2 of them daily. Tom gives 3 to Mary now. Tom carries 4 kilograms of rice home."
     texts = [item, item.replace("Tom", "Ann"), item.replace("Tom", "Mary Ann").replace("to Mary", "to Bob"), item.replace("4 kilograms", "9 litres")]
