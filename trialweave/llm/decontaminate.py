@@ -112,10 +112,16 @@ def _keyed(rows: DataFrame, width: int, kinds: dict[str, int]) -> DataFrame:
 def _windows(table: DataFrame, width: int, kind: int) -> DataFrame:
     """(id, pos, width, key, slots, plain): every window of a row's words; slots only where it has some."""
     rows = table.withColumn("h", F.transform("canon", lambda w: F.xxhash64(w)))
-    rows = _keyed(rows, width, {"h": kind}).select("id", "marked", F.posexplode(f"keys_{kind}_{width}").alias("at", "key"))
-    values = F.filter(F.slice("marked", F.col("at") + 1, width), lambda w: _starts(w, "#"))
-    rows = rows.select("id", (F.col("at") + 1).alias("pos"), F.lit(width).alias("width"), "key", values.alias("v"))
-    return rows.select("id", "pos", "width", "key", F.when(F.size("v") > 0, F.col("v")).alias("slots"), (width - F.size("v")).alias("plain"))
+    rows = _keyed(rows, width, {"h": kind})
+    window = F.transform(  # with its slots, so that no row of a window holds the whole text
+        f"keys_{kind}_{width}",
+        lambda key, i: F.struct(
+            (i + 1).alias("pos"), key.alias("key"), F.filter(F.slice("marked", i + 1, width), lambda w: _starts(w, "#")).alias("v")
+        ),
+    )
+    rows = rows.select("id", window.alias("w")).select("id", F.inline("w"))
+    slots, plain = F.when(F.size("v") > 0, F.col("v")), width - F.size("v")
+    return rows.select("id", "pos", F.lit(width).alias("width"), "key", slots.alias("slots"), plain.alias("plain"))
 
 
 def _suspects(docs: DataFrame, id_col: str, text_col: str, known: DataFrame, total: DataFrame, widths: list[int], coverage: float) -> DataFrame:
