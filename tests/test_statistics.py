@@ -236,3 +236,13 @@ def test_hash_noise_is_normal_and_stable(spark):
     assert abs(np.mean(np.array(a) ** 4) - 3) < 0.25
     picks = [r[0] for r in spark.range(6000).select(noise.hash_pick(F.lit(3), F.col("id"), seed=2)).collect()]
     assert set(picks) == {1, 2, 3} and abs(picks.count(2) - 2000) < 200
+
+
+def test_target_rows_only_look_up_their_place(spark):
+    donors = spark.createDataFrame([(i, float(i // 3), i / 10) for i in range(60)], "donor_id long, yhat double, y double")
+    targets = spark.createDataFrame([(900 + i, 1, i * 0.37) for i in range(40)], "unit_id long, imp int, yhat double")
+    drawn = impute.draw_donors(donors, targets, 5, seed=1)
+    assert "lambda" not in drawn._jdf.queryExecution().optimizedPlan().toString()
+    for r in drawn.collect():
+        near = sorted(abs(d // 3 - r.yhat) for d in range(60))[:5]
+        assert r.distance in near and r.distance == abs(r.donor_id // 3 - r.yhat) and r.y == r.donor_id / 10

@@ -168,6 +168,41 @@ def number_donors(donors: DataFrame, seed: int | str, range_rows: int | None = N
     return number_rows(mixed, [*by, "yhat"], ["_mix", "donor_id"], "no", range_rows).drop("_mix")
 
 
+def _places(near: str, k: int) -> Column:
+    """What each place 1..k (or up to the number of donors) of sorted ``near`` chooses: (distance, low, n, high, count).
+
+    Worked out once per distinct prediction, as each target row only looks up its place. At most two levels lie at
+    one distance, one on either side; ``n`` donors have the ``low`` one, ``count`` both.
+    """
+    none = F.lit(0).cast("bigint")
+    total = F.aggregate(near, none, lambda s, x: s + x["n"])
+    start = F.struct(none.alias("seen"), F.lit(None).cast("double").alias("d"))
+
+    def reach(place: Column) -> Column:
+        """The distance at which the counts reach the place."""
+        return F.aggregate(
+            near,
+            start,
+            lambda s, x: F.struct(
+                (s["seen"] + x["n"]).alias("seen"), F.when(s["seen"] < place, x["distance"]).otherwise(s["d"]).alias("d")
+            ),
+        )["d"]
+
+    def choice(at: Column) -> Column:
+        low = F.try_element_at(at, F.lit(1))
+        return F.struct(
+            low["distance"].alias("distance"),
+            low["level"].alias("low"),
+            low["n"].alias("n"),
+            F.try_element_at(at, F.lit(2))["level"].alias("high"),
+            F.aggregate(at, none, lambda s, x: s + x["n"]).alias("count"),
+        )
+
+    reached = F.transform(F.sequence(F.lit(1), F.least(total, F.lit(k)).cast("int")), reach)
+    at = F.transform(reached, lambda d: F.filter(near, lambda x: x["distance"] == d))
+    return F.when(F.col(near).isNotNull(), F.transform(at, choice))
+
+
 def draw_donors(
     donors: DataFrame,
     targets: DataFrame,
@@ -193,32 +228,19 @@ def draw_donors(
     if seeds:
         donors = donors.withColumn(seed, F.explode(F.array(*[F.lit(s) for s in seeds])))
     numbered = cut_lineage(number_donors(donors, seed, range_rows), "donors")
-    near = nearest_levels(levels, targets, k, range_rows).withColumnRenamed("yhat", "_yhat")
+    near = nearest_levels(levels, targets, k, range_rows)
+    near = cut_lineage(near.select(F.col("yhat").alias("_yhat"), _places("near", k).alias("_places")), "places")
     hot = hot_keys(targets, "yhat")
     rows = attach(targets.withColumnRenamed("yhat", "_yhat"), near, "_yhat", list(keys), "left", hot)
     ids = [F.col(c) for c in keys]
-    total = F.aggregate("near", F.lit(0).cast("bigint"), lambda s, x: s + x["n"])
-    place = F.pmod(text_hash(*ids, seed=mark, stream="place"), F.least(total, F.lit(k))) + 1
-    # the distance at which the counts reach the place, then a number among all donors at that distance
-    start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("double").alias("d"))
-    reach = F.aggregate(
-        "near",
-        start,
-        lambda s, x: F.struct(
-            (s["seen"] + x["n"]).alias("seen"),
-            F.when(s["seen"] < F.col("_place"), x["distance"]).otherwise(s["d"]).alias("d"),
-        ),
-    )["d"]
-    rows = rows.withColumn("_place", place).withColumn("distance", reach)
-    rows = rows.withColumn("_at", F.filter("near", lambda x: x["distance"] == F.col("distance")))
-    count = F.aggregate("_at", F.lit(0).cast("bigint"), lambda s, x: s + x["n"])
-    rows = rows.withColumn("_u", F.pmod(text_hash(*ids, seed=mark, stream="rank"), count) + 1)
-    # at most two levels lie at one distance, one on either side
-    low = F.try_element_at("_at", F.lit(1))
-    beyond = F.col("_u") > low["n"]
-    rows = rows.withColumn("_level", F.when(beyond, F.try_element_at("_at", F.lit(2))["level"]).otherwise(low["level"]))
-    rows = rows.withColumn("_no", F.when(beyond, F.col("_u") - low["n"]).otherwise(F.col("_u")))
-    picked = rows.drop("near", "_at", "_place", "_u").join(
+    place = F.pmod(text_hash(*ids, seed=mark, stream="place"), F.array_size("_places")) + 1
+    rows = rows.withColumn("_at", F.element_at("_places", place.cast("int"))).withColumn("distance", F.col("_at.distance"))
+    # a number among all donors at that distance
+    rows = rows.withColumn("_u", F.pmod(text_hash(*ids, seed=mark, stream="rank"), F.col("_at.count")) + 1)
+    beyond = F.col("_u") > F.col("_at.n")
+    rows = rows.withColumn("_level", F.when(beyond, F.col("_at.high")).otherwise(F.col("_at.low")))
+    rows = rows.withColumn("_no", F.when(beyond, F.col("_u") - F.col("_at.n")).otherwise(F.col("_u")))
+    picked = rows.drop("_places", "_at", "_u").join(
         numbered.select(*by, F.col("yhat").alias("_level"), F.col("no").alias("_no"), "donor_id", "y"),
         [*by, "_level", "_no"],
         "left",
