@@ -246,3 +246,10 @@ def test_target_rows_only_look_up_their_place(spark):
     for r in drawn.collect():
         near = sorted(abs(d // 3 - r.yhat) for d in range(60))[:5]
         assert r.distance in near and r.distance == abs(r.donor_id // 3 - r.yhat) and r.y == r.donor_id / 10
+
+
+def test_ranges_do_not_grow_with_the_rows(spark):
+    df = spark.range(20_000).select(F.col("id").cast("double").alias("v")).repartition(4)
+    assert len(ranges.plan_ranges(df, "v", 5).cuts) < ranges.MOST_RANGES == 2_000
+    got = ranges.group_quantiles(df, [], "v", {"low": 0.025, "high": 0.975}, range_rows=5).first()
+    assert (got.n_values, got.low, got.high) == (20_000, pytest.approx(499.975), pytest.approx(19499.025))

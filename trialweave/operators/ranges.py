@@ -1,6 +1,6 @@
 """Row numbers and exact quantiles without putting a whole group into one task.
 
-The value axis is cut at approximate quantiles into ranges of about ``RANGE_ROWS`` rows. Everything that
+The value axis is cut at approximate quantiles into ranges of about ``RANGE_ROWS`` rows, or more of very many rows. Everything that
 needs order is done inside one range; what lies before a range is known from the row counts of the
 earlier ranges, a table of at most (groups x ranges) rows. The cut points only balance the work: any cut
 points give the same result, and as plain numbers they put a row into the same range on every retry.
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from trialweave.session import cut_lineage
 
 RANGE_ROWS = 1_000_000
+#: Ranges at most, as every task holds the cut points; more rows make the ranges larger.
+MOST_RANGES = 2_000
 #: Rows of the sample that a cut point rests on.
 CUT_SAMPLE = 200
 
@@ -35,7 +37,7 @@ class RangePlan:
 
 
 def plan_ranges(df: DataFrame, value: str, range_rows: int | None = None) -> RangePlan:
-    """Count the rows and choose cut points for ranges of about ``range_rows`` rows.
+    """Count the rows and choose cut points for ranges of about ``range_rows`` rows, ``MOST_RANGES`` at most.
 
     The cut points come from a sample of some hundred rows per range. The sample decides only how
     evenly the work is spread: all rows are ranked, and the result is the same for any cut points.
@@ -45,7 +47,7 @@ def plan_ranges(df: DataFrame, value: str, range_rows: int | None = None) -> Ran
     v = F.col(value).cast("double")
     plain = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != math.inf)
     rows = df.agg(F.count_if(plain)).first()[0]
-    parts = -(-rows // wanted)
+    parts = min(-(-rows // wanted), MOST_RANGES)
     if parts < 2:
         return RangePlan(rows, ())
     probs = [i / parts for i in range(1, parts)]
