@@ -26,7 +26,7 @@ from trialweave.operators import grams
 from trialweave.operators.joins import attach
 from trialweave.operators.ranges import group_quantiles
 from trialweave.schema import FIT_SEED, PRIOR_COEFFICIENT_SD, PRIOR_SCALE, PRIOR_SCALE_DF
-from trialweave.session import cut_lineage
+from trialweave.session import cut_lineage, shuffle_partitions
 
 COARSE_POINTS = 71
 FINE_POINTS = 41
@@ -421,7 +421,9 @@ def fit_from_sums(
     )
     offset = np.array([centre.get(name, 0.0) for name in formula.names])
     y_mean = centre[formula.outcome]
-    solved = sums.groupBy(*keys).applyInPandas(
+    # a group has few rows but takes a while to solve; Spark would put all of them into one task
+    dealt = sums.repartition(shuffle_partitions(sums.sparkSession), *keys)
+    solved = dealt.groupBy(*keys).applyInPandas(
         lambda pdf: _fit_group(pdf, keys, p, priors, offset, y_mean), schema=schema
     )
     return Fit(formula, tuple(by), cut_lineage(solved, "fit"), means, centre)
