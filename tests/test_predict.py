@@ -193,3 +193,20 @@ def test_an_unresolved_group_leaves_the_others(spark, monkeypatch):
     monkeypatch.setattr(model, "MOST_ROUNDS", 1)
     rows = model.fit_random_intercept(df, FORMULA, ["g"]).table.select("g", "resolved").distinct().collect()
     assert [tuple(r) for r in rows] == [(1, False)]
+
+
+def test_blocks_of_draws_do_not_change_the_shares(spark, monkeypatch):
+    formula = model.Formula("outcome", "cluster_id", {"arm": ("a", "b")}, ("baseline",))
+    units = spark.createDataFrame(
+        [(i, i % 7, "ab"[i % 2], float(i % 11), float(i * i % 13), i % 3) for i in range(200)],
+        "unit_id long, cluster_id long, arm string, baseline double, outcome double, g int",
+    )
+    draws = spark.createDataFrame([(d, 2.0 + d / 100, 1.0, [0.5, d / 50, 0.3]) for d in range(1, 31)], "draw int, sigma double, tau double, beta array<double>")
+    means = model.cluster_means(model.cluster_sums(units, formula), formula)
+
+    def shares():
+        return {(r.g, r.draw): r.ratio for r in predict.variance_shares(units, draws, formula, means, ["g"]).collect()}
+
+    whole = shares()
+    monkeypatch.setattr(predict, "DRAWS_AT_ONCE", 8)
+    assert len(whole) == 90 and shares() == pytest.approx(whole, rel=1e-9)

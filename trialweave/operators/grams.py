@@ -38,7 +38,7 @@ def triangle(width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(width)
 
 
-def _codes(columns: Sequence[pa.Array]) -> np.ndarray:
+def codes(columns: Sequence[pa.Array]) -> np.ndarray:
     """Whole numbers that are equal where all columns are; a missing value equals a missing value."""
     out = np.zeros(len(columns[0]), np.int64)
     for c in columns:
@@ -112,7 +112,7 @@ def cluster_blocks(
             types = [*(whole.schema.field(i).type for i in range(k + 1)), pa.int32()]
             for low in range(0, whole.num_rows, BLOCK_ROWS):
                 batch = whole.slice(low, BLOCK_ROWS)
-                code = _codes(batch.columns[: k + 1])
+                code = codes(batch.columns[: k + 1])
                 order = np.argsort(code, kind="stable")
                 starts = np.flatnonzero(np.diff(code[order], prepend=-1))
                 x, y = matrix(batch.column(k + 1), width)[order], outcomes(batch)[order]
@@ -128,7 +128,7 @@ def cluster_blocks(
                     ],
                     names,
                 )
-                group = _codes(batch.columns[:k])[order] if k else np.zeros(len(order), np.int64)
+                group = codes(batch.columns[:k])[order] if k else np.zeros(len(order), np.int64)
                 for g in np.unique(group):
                     at = np.flatnonzero(group == g)
                     xg, yg = x[at], y[at]

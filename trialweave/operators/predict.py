@@ -23,6 +23,10 @@ from trialweave.schema import FIT_SEED
 
 #: Numbers in all draws together, which the driver and every task hold.
 MOST_NUMBERS = 20_000_000
+#: Draws whose noise of a row is one array; a cluster has a row per so many draws where variance shares are summed.
+DRAWS_AT_ONCE = 100
+#: Numbers in the sums that a task holds before it hands them on.
+HELD_NUMBERS = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -64,7 +68,12 @@ class Predictor:
         return F.transform(F.sequence(F.lit(1), F.lit(self.ndraws)), make)
 
     def unit_noise(self, unit: str, arm: Column) -> Column:
-        """Standard normal number of the row for every draw."""
+        """Standard normal number of the row for every draw.
+
+        A few draws are spelt out, as an expression per number is compiled and one over a sequence is interpreted.
+        """
+        if 0 < self.ndraws <= DRAWS_AT_ONCE:
+            return F.array(*[self.unit_noise_at(unit, arm, F.lit(d)) for d in range(1, self.ndraws + 1)])
         return self._each(lambda d: hash_normal(F.col(unit), arm, d, seed=self.seed, stream="unit"))
 
     def unit_noise_at(self, unit: str, arm: Column, draw: Column) -> Column:
@@ -181,7 +190,8 @@ def imputed_size_sums(
     rows = placed.where(F.col(formula.cluster).isNotNull() & y.isNotNull() & changed.isNotNull()).select(
         (F.lit(0) if part is None else part).cast("int").alias("part"),
         F.col(formula.cluster).alias("cluster"),
-        grams.array_of(formula.columns(centre=centre)[1:]).alias("x"),
+        # a lambda keeps the projection out of a whole stage's one method, for which the spelt out noise is too long
+        F.transform(grams.array_of(formula.columns(centre=centre)[1:]), lambda v: v).alias("x"),
         predictor.design().alias("px"),
         (y - F.lit(float(centre.get(formula.outcome, 0.0)))).alias("y"),
         changed.alias("changed"),
@@ -243,10 +253,13 @@ def variance_shares(
     keys = [*[c for c in by if c in cluster_means.columns], cluster]
     means = cluster_means.select(*keys, F.col("n").alias("_seen"), "y_mean", "x_mean")
     pairs = _pairs(p)
+    most_blocks = -(-longest // DRAWS_AT_ONCE)
+    first = (F.col("_block") * DRAWS_AT_ONCE + 1).cast("int")
     z = F.transform(
-        F.sequence(F.lit(1), F.lit(longest)), lambda d: hash_normal(F.col(cluster), d, seed=seed, stream="cluster")
+        F.sequence(first, first + (DRAWS_AT_ONCE - 1)), lambda d: hash_normal(F.col(cluster), d, seed=seed, stream="cluster")
     )
-    joined = sums.join(means, keys, "left").select(
+    every = F.explode(F.sequence(F.lit(0), F.lit(most_blocks - 1))) if most_blocks else F.explode(F.array().cast("array<int>"))
+    joined = sums.join(means, keys, "left").select("*", every.alias("_block")).select(
         *by,
         F.col("n").cast("double").alias("n"),
         F.array(*[F.col(f"s{j}") for j in range(1, p)]).cast("array<double>").alias("s"),
@@ -255,47 +268,65 @@ def variance_shares(
         F.coalesce("y_mean", F.lit(0.0)).alias("y"),
         F.coalesce("x_mean", F.array_repeat(F.lit(0.0), p)).alias("x"),
         (z if noise and longest else F.array().cast("array<double>")).alias("z"),
+        F.col("_block").cast("int").alias("block"),
     )
     b = len(by)
     at = [list(by).index(c) for c in own]
     width = 3 + (p - 1) + len(pairs) + (p - 1)
 
+    # per group the draws (by place) of each block
+    dealt = {
+        k: {j: [i for i, d in enumerate(v) if (d - 1) // DRAWS_AT_ONCE == j] for j in {(d - 1) // DRAWS_AT_ONCE for d in v}}
+        for k, v in labels.items()
+    }
+
     def task(batches) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        types: list[pa.DataType] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for (*g, block), v in held.items():
+                mine = tuple(g[i] for i in at)
+                label = [labels[mine][i] for i in dealt[mine][block]]
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.array([g[i]] * len(label), types[i]) for i in range(b)], pa.array(label, pa.int32()), grams.lists(v)],
+                    [*by, "draw", "v"],
+                )
+            held.clear()
+
         for whole in batches:
-            held: dict[tuple, list[np.ndarray]] = {}
+            types = [whole.schema.field(i).type for i in range(b)]
             for low in range(0, whole.num_rows, grams.BLOCK_ROWS):
                 batch = whole.slice(low, grams.BLOCK_ROWS)
-                group = list(zip(*(batch.column(i).to_pylist() for i in range(b)))) if b else [()] * batch.num_rows
                 n, seen, y = (batch.column(b + i).to_numpy() for i in (0, 3, 4))
                 s, q, x = (grams.matrix(batch.column(b + i), k) for i, k in ((1, p - 1), (2, len(pairs)), (5, p)))
-                for g in dict.fromkeys(group):
+                stream = grams.matrix(batch.column(b + 6), DRAWS_AT_ONCE) if noise else None
+                lead = [*batch.columns[:b], batch.column(b + 7)]
+                _, one, code = np.unique(grams.codes(lead), return_index=True, return_inverse=True)
+                for number, row in enumerate(one.tolist()):
+                    *g, block = (c[row].as_py() for c in lead)
                     mine = tuple(g[i] for i in at)
-                    if mine not in ready:
+                    places = dealt.get(mine, {}).get(block)
+                    if not places:
                         continue
-                    r = np.array([h == g for h in group])
-                    beta, sigma, tau = ready[mine]
+                    r = np.flatnonzero(code == number)
+                    beta, sigma, tau = (v[places] for v in ready[mine])
                     spread = sigma**2 + seen[r, None] * tau**2
                     u = seen[r, None] * tau**2 / spread * (y[r, None] - x[r] @ beta.T)
                     if noise:
-                        stream = grams.matrix(batch.column(b + 6), longest)[r][:, np.array(labels[mine]) - 1]
-                        u = u + np.sqrt(tau**2 * sigma**2 / spread) * stream
+                        own_draws = np.array([labels[mine][i] for i in places]) - 1 - block * DRAWS_AT_ONCE
+                        u = u + np.sqrt(tau**2 * sigma**2 / spread) * stream[r][:, own_draws]
                     out = np.empty((len(beta), width))
                     out[:, 0] = n[r].sum()
                     out[:, 1], out[:, 2] = n[r] @ u, n[r] @ (u * u)
                     out[:, 3 : 2 + p] = s[r].sum(0)
                     out[:, 2 + p : 2 + p + len(pairs)] = q[r].sum(0)
                     out[:, 2 + p + len(pairs) :] = u.T @ s[r]
-                    held.setdefault(g, []).append(out)
-            for g, parts in held.items():
-                label = labels[tuple(g[i] for i in at)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *[pa.array([g[i]] * len(label), whole.schema.field(i).type) for i in range(b)],
-                        pa.array(label, pa.int32()),
-                        grams.lists(sum(parts)),
-                    ],
-                    [*by, "draw", "v"],
-                )
+                    key = (*g, block)
+                    held[key] = held[key] + out if key in held else out
+            if sum(v.size for v in held.values()) > HELD_NUMBERS:
+                yield from flush()
+        yield from flush()
 
     kinds = dict(joined.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "draw int, v array<double>"])
