@@ -470,6 +470,51 @@ def test_passages_with_parts_in_earlier_documents_match_brute_force(spark):
     assert n >= 100
 
 
+def test_a_source_in_a_crowd_of_partial_holders_is_found(spark):
+    rng = random.Random(84)
+    fresh = lambda n: [f"v{rng.randrange(50_000)}" for _ in range(n)]
+    for crowd in (2, 10, 40, 80):  # on either side of the source, also above what is joined at once
+        whole = fresh(80)
+        parts = [whole[a : a + 20] for a in range(0, 80, 20)]
+        copy = [f"x{rng.randrange(10**6)}" if w % 10 == 7 else v for w, v in enumerate(whole)]
+        partial = [fresh(30) + sum((p + fresh(60) for p in parts), []) for _ in range(2 * crowd)]
+        rows = [*partial[:crowd], fresh(30) + whole + fresh(30), *partial[crowd:], fresh(20) + copy + fresh(30)]
+        got = passages.repeated_passages(docs(spark, [" ".join(r) for r in rows])).collect()
+        got = [r for r in got if r.doc_id == len(rows) - 1]
+        assert any(r.other_id == crowd and r.start_word <= 21 and r.end_word >= 97 for r in got), (crowd, got)
+
+
+def test_every_pair_with_a_common_passage_is_linked_or_covered(spark):
+    rng = random.Random(85)
+    fresh = lambda n: [f"v{rng.randrange(50_000)}" for _ in range(n)]
+    line, rows = fresh(27), []
+    for i in range(120):  # one line in all; every fourth text shares what is around it with some other
+        near = rows[rng.randrange(len(rows))][20:100] if i % 4 == 3 else fresh(25) + line + fresh(28)
+        changed = [f"x{rng.randrange(10**6)}" if w % 9 == 4 and not 25 <= w < 52 else v for w, v in enumerate(near)]
+        rows.append(fresh(20) + (changed if i % 4 == 3 else near) + fresh(20))
+    texts = [" ".join(r) for r in rows]
+    got = passages.repeated_passages(docs(spark, texts)).collect()
+    spans = {}
+    for r in got:
+        spans.setdefault(r.doc_id, []).append((r.start_word, r.end_word))
+    words, n = [np.array([hash(w) & 0xFFFFFFFF for w in r], np.uint32) for r in rows], 0
+    for i, a in enumerate(words):
+        for b in words[:i]:  # all pairs, aligned in place at the line
+            for s, e, _, _, _ in passages.passage_parts(a[20:100], b[20:100], 0, 50):
+                n += 1
+                held = max(min(e + 20, q) - max(s + 20, p) for p, q in spans.get(i, [(0, 0)]))
+                assert held >= min(50, e - s) - 3, (i, s, e, spans.get(i))
+    assert n >= 30
+
+
+def test_repeated_words_that_an_earlier_document_holds_are_found(spark):
+    rng = random.Random(86)
+    fresh = lambda n: [f"v{rng.randrange(50_000)}" for _ in range(n)]
+    rows = [fresh(i) + ["one", "two"] * 60 + fresh(20) for i in range(10, 50)]
+    got = {r.doc_id: r for r in passages.repeated_passages(docs(spark, [" ".join(r) for r in rows])).collect()}
+    assert all(got[i].start_word <= i + 10 and got[i].end_word >= i + 129 for i in range(1, 40)), got
+
+
 def test_both_passages_of_one_chain_are_given():
     rng = np.random.default_rng(81)
     fresh = lambda n: rng.integers(0, 1 << 32, n, dtype=np.uint32)
