@@ -5,8 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialweave.operators import grams, model, predict
+from trialweave.operators.joins import attach
 from trialweave.operators.reshape import expand_arms
 from trialweave.plans import interim
+from trialweave.session import shuffle_partitions
 
 from test_model import ARMS, FORMULA, SCHEMA, make
 
@@ -210,3 +212,20 @@ def test_blocks_of_draws_do_not_change_the_shares(spark, monkeypatch):
     whole = shares()
     monkeypatch.setattr(predict, "DRAWS_AT_ONCE", 8)
     assert len(whole) == 90 and shares() == pytest.approx(whole, rel=1e-9)
+
+
+def test_predictions_are_dealt_over_all_tasks_of_a_shuffle(spark, units, given):
+    predictor, tasks = given[2], shuffle_partitions(spark)
+    assert tasks > 1  # the rows are few bytes, so that they would go to one task by their size
+    clusters = units.select("cluster_id").distinct()
+    assert predictor.effects(clusters).rdd.getNumPartitions() == tasks
+    assert predictor.table(units, ARMS).rdd.getNumPartitions() == tasks
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+@pytest.mark.parametrize("hot", [{}, {3: 64}])
+def test_dealt_rows_meet_what_they_meet_otherwise(spark, how, hot):
+    facts = spark.createDataFrame([(i, 3 if i % 2 else i % 7) for i in range(60)] + [(60, None), (60, None), (5, 5)], "unit_id long, cluster_id long")
+    keyed = spark.createDataFrame([(k, [float(k)]) for k in (0, 1, 3, 5)] + [(None, [9.0])], "cluster_id long, effects array<double>")
+    want = attach(facts, keyed, "cluster_id", ["unit_id"], how, hot).collect()
+    assert sorted(attach(facts, keyed, "cluster_id", ["unit_id"], how, hot, deal=True).collect(), key=str) == sorted(want, key=str)

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trialweave.session import shuffle_partitions
+
 #: A key is hot above this share of all rows, or with this many rows if that is fewer; each salt takes about as many.
 HOT_SHARE = 0.01
 TASK_ROWS = 1_000_000
@@ -50,6 +52,7 @@ def attach(
     spread: Sequence[str],
     how: str = "left",
     hot: Mapping | Sequence | None = None,
+    deal: bool = False,
 ) -> DataFrame:
     """Join a table with one row per ``key`` to a table where some keys, or no key, hold very many rows.
 
@@ -57,12 +60,18 @@ def attach(
     copied once per salt; every fact row still meets exactly one copy. Rows without a key meet nothing
     and are spread over all tasks. Other keys join as usual. ``how`` is ``left``, ``inner``,
     ``left_semi`` or ``left_anti``.
+
+    With ``deal`` the rows go to as many tasks as a shuffle has, however few bytes they are: for rows that are
+    small in bytes and much work each, which would else follow their files or be coalesced, and keyed rows too
+    wide to be copied to every task.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError("copies of keyed rows may only be matched, never kept on their own")
     if hot is None:
         hot = hot_keys(facts, key)
     salts = _salts(key, hot)
+    if deal and salts is None:
+        salts = F.lit(1)  # a salt worked out per row stays among the join's keys, a literal would take its dealt tasks away
     mixed = F.xxhash64(*spread)
     own = F.lit(0).cast("bigint") if salts is None else F.pmod(mixed, salts)
     salted = facts.withColumn("_salt", F.when(F.col(key).isNull(), mixed).otherwise(own))
@@ -70,6 +79,10 @@ def attach(
         copied = keyed.withColumn("_salt", F.lit(0).cast("bigint"))
     else:
         copied = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), (salts - 1).cast("bigint"))))
+    if deal:
+        tasks = shuffle_partitions(facts.sparkSession)
+        salted, copied = (x.repartition(tasks, key, "_salt") for x in (salted, copied))
+        copied = copied.hint("merge")
     return salted.join(copied, [key, "_salt"], how).drop("_salt")
 
 

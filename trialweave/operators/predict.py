@@ -20,6 +20,7 @@ from trialweave.operators import grams
 from trialweave.operators.joins import attach
 from trialweave.operators.model import Fit, Formula, _pairs, centring, cluster_sums, draws_from_fit
 from trialweave.schema import FIT_SEED
+from trialweave.session import shuffle_partitions
 
 #: Numbers in all draws together, which the driver and every task hold.
 MOST_NUMBERS = 20_000_000
@@ -67,14 +68,15 @@ class Predictor:
         """An array with ``make(draw)`` for every draw."""
         return F.transform(F.sequence(F.lit(1), F.lit(self.ndraws)), make)
 
-    def unit_noise(self, unit: str, arm: Column) -> Column:
-        """Standard normal number of the row for every draw.
-
-        A few draws are spelt out, as an expression per number is compiled and one over a sequence is interpreted.
-        """
+    def _spelt(self, make) -> Column:
+        """The same for very many rows: a few draws are spelt out, which is compiled, while a sequence is interpreted."""
         if 0 < self.ndraws <= DRAWS_AT_ONCE:
-            return F.array(*[self.unit_noise_at(unit, arm, F.lit(d)) for d in range(1, self.ndraws + 1)])
-        return self._each(lambda d: hash_normal(F.col(unit), arm, d, seed=self.seed, stream="unit"))
+            return F.array(*[make(F.lit(d)) for d in range(1, self.ndraws + 1)])
+        return self._each(make)
+
+    def unit_noise(self, unit: str, arm: Column) -> Column:
+        """Standard normal number of the row for every draw."""
+        return self._spelt(lambda d: self.unit_noise_at(unit, arm, d))
 
     def unit_noise_at(self, unit: str, arm: Column, draw: Column) -> Column:
         return hash_normal(F.col(unit), arm, draw, seed=self.seed, stream="unit")
@@ -90,7 +92,7 @@ class Predictor:
         outcomes gets a new effect.
         """
         cluster = self.formula.cluster
-        noise = self._each(lambda d: hash_normal(F.col(cluster), d, seed=self.seed, stream="cluster"))
+        noise = self._spelt(lambda d: hash_normal(F.col(cluster), d, seed=self.seed, stream="cluster"))
         p, beta, tau2, sigma2 = len(self.formula.names), self.beta, self.tau**2, self.sigma**2
         columns = clusters.columns
         known = clusters.join(self.cluster_means, cluster, "left").select(
@@ -98,8 +100,11 @@ class Predictor:
             F.coalesce(F.col("n"), F.lit(0)).cast("double").alias("_n"),
             F.coalesce("y_mean", F.lit(0.0)).alias("_y"),
             F.coalesce("x_mean", F.array_repeat(F.lit(0.0), p)).alias("_x"),
-            noise.alias("_z"),
         )
+        # a few bytes a cluster become all its draws: dealt by number, as by bytes one task would have very many
+        known = known.repartition(shuffle_partitions(clusters.sparkSession), F.xxhash64(cluster))
+        # a lambda keeps the spelt out noise out of a whole stage's one method, for which it is too long
+        known = known.withColumn("_x", F.transform("_x", lambda v: v)).withColumn("_z", noise)
 
         def task(batches) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -139,7 +144,7 @@ class Predictor:
         """
         cluster = self.formula.cluster
         clusters = rows.select(cluster).where(F.col(cluster).isNotNull()).distinct()
-        known = attach(rows, self.effects(clusters), cluster, [unit], "left", hot)
+        known = attach(rows, self.effects(clusters), cluster, [unit], "left", hot, deal=True)
         tau = F.array(*[F.lit(float(t)) for t in self.tau])
         new = self._each(lambda d: tau[d - 1] * hash_normal(F.col(cluster), d, seed=self.seed, stream="cluster"))
         cells = [F.struct(F.lit(a).alias("arm"), self.design(arm=F.lit(a)).alias("_x")) for a in arms]
