@@ -220,6 +220,8 @@ def test_predictions_are_dealt_over_all_tasks_of_a_shuffle(spark, units, given):
     clusters = units.select("cluster_id").distinct()
     assert predictor.effects(clusters).rdd.getNumPartitions() == tasks
     assert predictor.table(units, ARMS).rdd.getNumPartitions() == tasks
+    assigned = interim.assigned_clusters(units, ARMS, STRATA, 7)
+    assert interim.place(units, assigned, predictor).rdd.getNumPartitions() == tasks
 
 
 @pytest.mark.parametrize("how", ["left", "inner"])

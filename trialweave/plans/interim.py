@@ -139,7 +139,7 @@ def place(units: DataFrame, assigned: DataFrame, predictor: Predictor, hot: Sequ
     Units of clusters without an arm leave; so do, as they have no prediction, units with a missing predictor.
     """
     keyed = predictor.effects(assigned.withColumnRenamed("treatment", "arm"))
-    placed = attach(units.withColumnRenamed("arm", "old_arm"), keyed, "cluster_id", ["unit_id"], "inner", hot)
+    placed = attach(units.withColumnRenamed("arm", "old_arm"), keyed, "cluster_id", ["unit_id"], "inner", hot, deal=True)
     return placed.where(~F.exists(predictor.design(), lambda x: x.isNull()))
 
 
