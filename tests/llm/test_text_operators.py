@@ -5,6 +5,7 @@ import math
 import random
 import re
 import tracemalloc
+from difflib import SequenceMatcher
 from itertools import combinations
 
 import numpy as np
@@ -527,6 +528,60 @@ def test_both_passages_of_one_chain_are_given():
         assert got == [(40, 100, 40, 100, 60), second], (gap, other)
 
 
+def test_equal_runs_match_difflib(monkeypatch):
+    rng = np.random.default_rng(11)
+    for i in range(600):
+        n, m, v = (int(rng.integers(1, x)) for x in (90, 90, 60))
+        a, b = rng.integers(0, v, n).astype(np.uint32), rng.integers(0, v, m).astype(np.uint32)
+        if i % 3 == 0:
+            b = np.concatenate([b[:5], a[: n // 2], b[5:], a[n // 3 :]])
+        if i % 5 == 0:
+            a = np.tile(a[:7], 12)
+        want = [tuple(x) for x in SequenceMatcher(None, a.tolist(), b.tolist(), autojunk=False).get_matching_blocks()[:-1]]
+        monkeypatch.setattr(passages, "SHORT", int(rng.choice([0, 1 << 13])))
+        assert passages.matching_runs(a, b) == want
+
+
+def test_sequences_left_out_before_alignment_hold_no_passage():
+    rng = np.random.default_rng(12)
+    pairs = []
+    for i in range(400):
+        a, b = rng.integers(0, 25 + i, 86).astype(np.uint32), rng.integers(0, 25 + i, 86).astype(np.uint32)
+        size = int(rng.integers(20, 60))
+        b[10 : 10 + size] = a[12 : 12 + size]
+        b[rng.integers(0, 86, i % 12)] = 10**6
+        pairs.append((a, b))
+    held = passages.may_hold(*(pa.array([p[i].tobytes() for p in pairs], pa.binary()) for i in (0, 1)))
+    found = np.array([bool(passages.passage_parts(a, b, -2, 6)) for a, b in pairs])
+    assert not (found & ~held).any() and found.any() and not held.all()
+
+
+def test_places_of_a_crowded_seed_meet_few_holders_first_and_then_all_others(spark, monkeypatch):
+    rng = random.Random(87)
+    fresh = lambda n: [f"v{rng.randrange(50_000)}" for _ in range(n)]
+    line, other, rows = fresh(27), fresh(18), []
+    for _ in range(150):  # alike around the line, but no passage: what follows it is out of order
+        rows.append(fresh(40) + line + rng.sample(other, 18) + fresh(30))
+    whole = fresh(28) + line + fresh(28)
+    rows.append(fresh(20) + [f"x{w}" if w % 6 == 2 and not 28 <= w < 55 else v for w, v in enumerate(whole)] + fresh(20))
+    rows.append(fresh(20) + whole + fresh(20))
+    made, real = [], passages._crowd_pairs
+
+    def pairs(met, skip, take):
+        made.append(real(met, skip, take))
+        return made[-1]
+
+    monkeypatch.setattr(passages, "_crowd_pairs", pairs)
+    got = passages.repeated_passages(docs(spark, [" ".join(r) for r in rows])).collect()
+    assert {(r.doc_id, r.other_id) for r in got} == {(151, 150)}
+    met = [{(r.doc_id, r.x, r.other) for r in df.collect()} for df in made]
+    places = {(d, x) for d, x, _ in met[0]}
+    assert len(met) > 2 and len(met[0]) <= passages.TRIES * len(places)
+    seen = set().union(*met)
+    assert sum(map(len, met)) == len(seen)  # none twice
+    assert all({o for d, _, o in seen if d == i} == set(range(i)) for i in range(1, 150))  # and none left out
+
+
 def test_chains_match_brute_force():
     rng = np.random.default_rng(9)
     for _ in range(60):
