@@ -567,8 +567,8 @@ def test_places_of_a_crowded_seed_meet_few_holders_first_and_then_all_others(spa
     rows.append(fresh(20) + whole + fresh(20))
     made, real = [], passages._crowd_pairs
 
-    def pairs(met, skip, take):
-        made.append(real(met, skip, take))
+    def pairs(met, take):
+        made.append(real(met, take))
         return made[-1]
 
     monkeypatch.setattr(passages, "_crowd_pairs", pairs)
@@ -577,9 +577,21 @@ def test_places_of_a_crowded_seed_meet_few_holders_first_and_then_all_others(spa
     met = [{(r.doc_id, r.x, r.other) for r in df.collect()} for df in made]
     places = {(d, x) for d, x, _ in met[0]}
     assert len(met) > 2 and len(met[0]) <= passages.TRIES * len(places)
-    seen = set().union(*met)
-    assert sum(map(len, met)) == len(seen)  # none twice
-    assert all({o for d, _, o in seen if d == i} == set(range(i)) for i in range(1, 150))  # and none left out
+    assert met[0] < met[1] < met[2]
+    assert all({o for d, _, o in met[-1] if d == i} == set(range(i)) for i in range(100, 150))  # none left out
+
+
+def test_of_places_that_share_as_much_the_first_is_met():
+    rng = np.random.default_rng(13)
+    words = rng.integers(0, 1 << 32, (3, 94), dtype=np.uint32)
+    words[1, :20] = words[0, :20]  # 74 words apart
+    sketch = passages.sketches(words[[0, 0, 1, 2, 0, 0]], np.ones((6, 94), bool))
+    columns = [[7] * 6, [0] * 6, [0] * 6, [2] * 6, [3, 3, 5, 6, 9, 12], [40, 8, 1, 0, 77, 5]]
+    rows = pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), blocks.binary(sketch)], names=list("hijsdpw"))
+    for take, more in ((1, 1), (8, 0)):
+        got = [tuple(r.values()) for b in passages._compare(iter([rows]), take) for r in b.to_pylist()]
+        want = [(9, 3, 77, 8, 0), (12, 3, 5, 8, more), (12, 9, 5, 77, more)]
+        assert sorted(got) == [w for w in want if take > 1 or w[1] == 3]
 
 
 def test_chains_match_brute_force():
