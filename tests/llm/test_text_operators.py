@@ -542,6 +542,60 @@ def test_equal_runs_match_difflib(monkeypatch):
         assert passages.matching_runs(a, b) == want
 
 
+def test_equal_runs_of_many_pairs_match_difflib(monkeypatch):
+    rng = np.random.default_rng(14)
+    for i in range(900):
+        n, m, v = (int(rng.integers(1, x)) for x in (100, 100, 30))
+        a, b = rng.integers(0, v, n).astype(np.uint32), rng.integers(0, v, m).astype(np.uint32)
+        if i % 3 == 0:
+            b = np.concatenate([b[:5], a[: n // 2], b[5:], a[n // 3 :]])
+        if i % 5 == 0:
+            a = np.tile(b[: 1 + i % 4], 30)
+        want = [tuple(x) for x in SequenceMatcher(None, a.tolist(), b.tolist(), autojunk=False).get_matching_blocks()[:-1]]
+        for name, sizes in (("SHORT", (0, 30, 300)), ("PAIRS", (1, 5, 40, 300, 10**6)), ("RUNS", (1, 2, 7, 50))):
+            monkeypatch.setattr(passages, name, int(rng.choice(sizes)))
+        assert passages.matching_runs(a, b) == want, i
+
+
+def test_aligning_long_near_copies_takes_little_memory():
+    rng = np.random.default_rng(15)
+    share = 1 / np.arange(1, 2001) ** 1.5
+    a = rng.choice(2000, 3000, p=share / share.sum()).astype(np.uint32)
+    b = np.delete(a, rng.integers(0, 3000, 40))  # not equal in place
+    want = [tuple(x) for x in SequenceMatcher(None, a.tolist(), b.tolist(), autojunk=False).get_matching_blocks()[:-1]]
+    tracemalloc.start()
+    assert passages.matching_runs(a, b) == want
+    assert tracemalloc.get_traced_memory()[1] < 30 << 20  # over 100 MB where all pairs of equal words are listed
+    one = np.zeros(3000, np.uint32)  # one word: nine million pairs
+    assert passages.matching_runs(one, one[:2900]) == [(0, 0, 2900)]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100 << 20
+
+
+def test_matches_made_and_chained_in_portions_are_the_same(monkeypatch):
+    rng = np.random.default_rng(16)
+    lines = rng.integers(0, 1 << 62, (60, 40)).astype(np.uint64)
+    rows = []
+    for d in range(300):
+        own = np.concatenate([lines[k] for k in (0, *rng.integers(1, 60, 3))])
+        rows.append((own, (own >> np.uint64(20)).astype(np.uint32) | np.uint32(1), np.full(160, d), np.arange(160, dtype=np.int32)))
+    h, context, doc, at = (np.concatenate(c) for c in zip(*rows))
+    packed = pa.RecordBatch.from_arrays(
+        [pa.array([0], pa.int32()), pa.array([passages._pack_seeds(h, context, doc, at)], pa.binary())], names=["bucket", "rows"]
+    )
+
+    def result(made, chained):
+        monkeypatch.setattr(passages, "MATCHED", made)
+        monkeypatch.setattr(passages, "CHAINED", chained)
+        sent = list(passages._links(iter([packed]), 4))
+        sent = pa.Table.from_batches(sent).sort_by("bucket").combine_chunks().to_batches()
+        return len(sent[0]), sorted((tuple(r.values()) for b in passages._chain(iter(sent), 4) for r in b.to_pylist()), key=str)
+
+    (few, whole), (many, parts) = result(10**9, 10**9), result(20_000, 10_000)
+    assert many > few and parts == whole and {r[1] is None for r in whole} == {True, False}
+
+
 def test_sequences_left_out_before_alignment_hold_no_passage():
     rng = np.random.default_rng(12)
     pairs = []
@@ -594,6 +648,16 @@ def test_of_places_that_share_as_much_the_first_is_met():
         assert sorted(got) == [w for w in want if take > 1 or w[1] == 3]
 
 
+def test_pairs_of_places_are_handed_on_a_few_at_once(monkeypatch):
+    monkeypatch.setattr(passages, "PAIRED", 1000)
+    words = np.tile(np.random.default_rng(17).integers(0, 1 << 32, 94, dtype=np.uint32), (200, 1))
+    columns = [[7] * 200, [0] * 200, [0] * 200, [2] * 200, range(200), [5] * 200]
+    sketch = blocks.binary(passages.sketches(words, np.ones((200, 94), bool)))
+    rows = pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), sketch], names=list("hijsdpw"))
+    got = list(passages._compare(iter([rows]), 512))
+    assert sum(b.num_rows for b in got) == 200 * 199 // 2 and max(b.num_rows for b in got) < 1200
+
+
 def test_chains_match_brute_force():
     rng = np.random.default_rng(9)
     for _ in range(60):
